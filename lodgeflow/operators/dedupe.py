@@ -22,26 +22,31 @@ from lodgeflow.functions.text import norm_lower, url_clean
 
 
 def _first_seq_flag(keys: DataFrame, key_cols, order: str, flag: str) -> DataFrame:
+    # seq is unique across the whole input, so the first seq names the row
     return keys.groupBy(*key_cols).agg(F.min(order).alias(order)).select(order, F.lit(True).alias(flag))
 
 
-def url_survivors(narrow: DataFrame, order: str = "seq") -> DataFrame:
-    """Rows kept by the url rule: blank url, or first row of its cleaned url."""
+def url_survivors(narrow: DataFrame, order: str = "seq", by=()) -> DataFrame:
+    """Rows kept by the url rule: blank url, or first row of its cleaned url.
+
+    ``by`` names columns that split the input into independent runs (e.g. one
+    crawl snapshot each); keys are only compared inside a run.
+    """
     has_url = F.col("url") != ""
-    firsts = _first_seq_flag(narrow.where(has_url).select(url_clean("url").alias("_u"), order),
-                             ["_u"], order, "_first_url")
+    firsts = _first_seq_flag(narrow.where(has_url).select(*by, url_clean("url").alias("_u"), order),
+                             [*by, "_u"], order, "_first_url")
     return (narrow.join(firsts, order, "left")
             .where(~has_url | F.col("_first_url").isNotNull()).drop("_first_url"))
 
 
-def title_price_survivors(narrow: DataFrame, order: str = "seq") -> DataFrame:
+def title_price_survivors(narrow: DataFrame, order: str = "seq", by=()) -> DataFrame:
     """Rows kept by the title rule: empty raw title, or first row of (stripped title, price).
 
     Empty-title rows are always kept but their key still counts, so a later
     whitespace-only title with the same price is dropped.
     """
-    firsts = _first_seq_flag(narrow.select(norm_lower("title").alias("_t"), "price", order),
-                             ["_t", "price"], order, "_first_key")
+    firsts = _first_seq_flag(narrow.select(*by, norm_lower("title").alias("_t"), "price", order),
+                             [*by, "_t", "price"], order, "_first_key")
     return (narrow.join(firsts, order, "left")
             .where((F.col("title") == "") | F.col("_first_key").isNotNull()).drop("_first_key"))
 
@@ -58,7 +63,7 @@ def dedupe_title_price(df: DataFrame, order: str = "seq") -> DataFrame:
     return _keep(df, title_price_survivors(df.select(order, "title", "price"), order), order)
 
 
-def dedupe(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Url rule, then title+price rule among url survivors."""
-    narrow = df.select(order, "url", "title", "price")
-    return _keep(df, title_price_survivors(url_survivors(narrow, order), order), order)
+def dedupe(df: DataFrame, order: str = "seq", by=()) -> DataFrame:
+    """Url rule, then title+price rule among url survivors (per ``by`` run if given)."""
+    narrow = df.select(order, *by, "url", "title", "price")
+    return _keep(df, title_price_survivors(url_survivors(narrow, order, by), order, by), order)

@@ -466,3 +466,174 @@ def q_url_clean(spark, sf):
   {O.strip('lower(city)')} AS city_key FROM fx"""))
 def q_py_strip(spark, sf):
     return fx(spark, sf).select("seq", norm_lower("title").alias("title_key"), norm_lower("city").alias("city_key"))
+
+
+# ---------------------------------------------------------------- sinks and the seen store
+
+from lodgeflow.plans import publish as PB  # noqa: E402
+from lodgeflow.session import scratch_path  # noqa: E402
+from lodgeflow.sources.tables import read_seen  # noqa: E402
+from lodgeflow.streaming import monitor as MN  # noqa: E402
+
+CSV_SQL_COLS = {
+    "housing_type": f"{O.TYPE_LABEL_SQL} AS housing_type",
+    "location_tier": f"{O.TIER_LABEL_SQL} AS location_tier",
+    "is_recent": "CASE WHEN is_recent THEN 'NEW (48h)' ELSE '' END AS is_recent",
+    "price": f"{O.price_label_sql('N/A')} AS price",
+}
+
+
+@query("export_csv", O.with_(O.ctes_search(), "SELECT " + ", ".join(CSV_SQL_COLS.get(c, c) for c in P.CSV_COLUMNS)
+                             + " FROM s"))
+def q_export_csv(spark, sf):
+    """The CSV rows: 23 columns in export order with display labels."""
+    return PB.csv_frame(searched(spark, sf))
+
+
+_GROUP_KEY_SQL = "CASE priority_group " + " ".join(f"WHEN {g} THEN '{k}'" for g, k, _ in P.PRIORITY_GROUPS) + " END"
+
+
+@query("export_json_groups", O.with_(O.ctes_search(), f"SELECT {_sel(SEARCH_COLS)}, {_GROUP_KEY_SQL} AS group_key FROM s"))
+def q_export_json_groups(spark, sf):
+    """Listings with the export group they are written under."""
+    return PB.with_group(searched(spark, sf)).select(*SEARCH_COLS, "group_key")
+
+
+@query("export_metadata", O.with_(O.ctes_search(), f"""SELECT 'Mom' AS resident, CAST(64 AS BIGINT) AS resident_age,
+  CAST(1300 AS BIGINT) AS monthly_income, '{PR.state}' AS search_state, '${PR.min_rent}-${PR.max_rent}' AS rent_range,
+  '{", ".join(PR.bedrooms)}' AS bedrooms, count(*) AS total_results, '{PR.as_of.replace(" ", "T")}' AS scraped_at
+  FROM s"""))
+def q_export_metadata(spark, sf):
+    return PB.run_metadata(searched(spark, sf), PR)
+
+
+STORE_COLS = ["listing_id", "title", "price", "url", "source", "first_seen", "batch_id"]
+
+
+def _store_out(df: DataFrame) -> DataFrame:
+    return df.select(*[_ts_text(c).alias(c) if c == "first_seen" else F.col(c) for c in STORE_COLS])
+
+
+def _written_seen(spark, sf) -> str:
+    path = scratch_path(spark, "seen")
+    PB.append_seen(seen_fixture(spark, sf), path)
+    return path
+
+
+@query("seen_scan", O.with_(O.ctes_fixture() + [SEEN_SQL], """SELECT listing_id, title, price, url, source,
+  strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, batch_id FROM seen"""))
+def q_seen_scan(spark, sf):
+    """The seen store read back from its partitioned folder."""
+    return _store_out(read_seen(spark, _written_seen(spark, sf)))
+
+
+APPEND_SQL = O.with_(O.ctes_search() + [SEEN_SQL, f"""store AS (
+  SELECT listing_id, title, price, url, source, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, batch_id
+  FROM seen UNION ALL
+  SELECT {O.listing_id_sql()}, title, price, url, source, '{PR.as_of}', CAST({CURRENT_BATCH} AS BIGINT) FROM s
+  WHERE {O.listing_id_sql()} NOT IN (SELECT listing_id FROM seen))"""], "SELECT * FROM store")
+
+
+def _appended_store(spark, sf) -> str:
+    path = _written_seen(spark, sf)
+    new = JN.new_listings(searched(spark, sf), read_seen(spark, path))
+    PB.append_seen(PB.seen_rows(new, CURRENT_BATCH, F.to_timestamp(F.lit(PR.as_of))), path)
+    return path
+
+
+@query("seen_append", APPEND_SQL)
+def q_seen_append(spark, sf):
+    """The store after this run's new listings were appended as batch 1998."""
+    return _store_out(read_seen(spark, _appended_store(spark, sf)))
+
+
+@query("seen_registry", APPEND_SQL.replace("SELECT * FROM store", """SELECT listing_id, min(first_seen) AS first_seen,
+  count(*) AS sightings FROM store GROUP BY listing_id"""))
+def q_seen_registry(spark, sf):
+    """One row per id of the store: first time seen and number of sightings."""
+    reg = MN.seen_registry(spark, _appended_store(spark, sf))
+    return reg.select("listing_id", _ts_text("first_seen").alias("first_seen"), "sightings")
+
+
+@query("alert_text", O.with_(O.ctes_search() + [SEEN_SQL, f"""n AS (SELECT *, row_number() OVER (ORDER BY type_ord,
+  tier_ord, recent_ord, price_key, seq) AS alert_no FROM s WHERE {O.listing_id_sql()} NOT IN
+  (SELECT listing_id FROM seen))"""], f"SELECT seq, alert_no, {O.alert_sql('alert_no')} AS alert FROM n"))
+def q_alert_text(spark, sf):
+    """Numbered console alert blocks for this run's new listings, in rank order."""
+    ranked = RK.rank_listings(_new(spark, sf), "alert_no")
+    return ranked.select("seq", "alert_no", LB.alert_block(F.col("alert_no")).alias("alert"))
+
+
+# ---------------------------------------------------------------- streaming
+
+ALERT_COLS = ["seq", "snapshot", "listing_id", "title", "price", "location_tier", "is_recent", "priority_group"]
+
+
+def _snapshots(spark, sf) -> DataFrame:
+    return fx(spark, sf).withColumn("snapshot", F.year("crawled_at").cast("bigint"))
+
+
+def _stage(spark, sf, where: str) -> str:
+    """Write crawl snapshots (one folder per snapshot) as the stream's input files."""
+    path = scratch_path(spark, "snapshots")
+    (_snapshots(spark, sf).where(where).select(*MN.SNAPSHOT_SCHEMA.fieldNames())
+     .write.mode("append").partitionBy("snapshot").parquet(path))
+    return path
+
+
+def _stream_sql(where: str, seen: bool) -> str:
+    ctes = O.ctes_fixture() + [f"fs AS (SELECT *, CAST(year(crawled_at) AS BIGINT) AS snapshot FROM fx WHERE {where})"]
+    ctes += O.ctes_filter("fs", "f")
+    ctes += [
+        "d_u AS (SELECT * FROM f QUALIFY url = '' OR row_number() OVER "
+        "(PARTITION BY snapshot, url = '', lower(rtrim(url, '/')) ORDER BY seq) = 1)",
+        f"d AS (SELECT * FROM d_u QUALIFY title = '' OR row_number() OVER "
+        f"(PARTITION BY snapshot, {O.strip('lower(title)')}, price ORDER BY seq) = 1)",
+    ]
+    ctes += O.ctes_classify("d", "c") + O.ctes_keys("c", "k")
+    if seen:
+        ctes += [SEEN_SQL]
+    filt = "WHERE listing_id NOT IN (SELECT listing_id FROM seen)" if seen else ""
+    ctes += [f"i AS (SELECT *, {O.listing_id_sql()} AS listing_id FROM k)",
+             f"n AS (SELECT * FROM i {filt} QUALIFY snapshot = min(snapshot) OVER (PARTITION BY listing_id))"]
+    return O.with_(ctes, f"SELECT {_sel(ALERT_COLS)} FROM n")
+
+
+def _run(query_handle) -> None:
+    query_handle.awaitTermination()
+    if query_handle.exception() is not None:
+        raise RuntimeError(str(query_handle.exception()))
+
+
+@query("stream_monitor", _stream_sql("TRUE", seen=False))
+def q_stream_monitor(spark, sf):
+    """Two polls of the monitor over the crawl snapshots (to 1997, then the rest).
+
+    The second poll restarts from the first one's checkpoint; alerts are
+    read back from the partitioned alert folder.
+    """
+    src = scratch_path(spark, "snapshots")
+    out, ckpt = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
+    snaps = _snapshots(spark, sf).select(*MN.SNAPSHOT_SCHEMA.fieldNames())
+    for cond in ("snapshot <= 1997", "snapshot > 1997"):
+        snaps.where(cond).write.mode("append").partitionBy("snapshot").parquet(src)
+        _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True))
+    return spark.read.parquet(f"{out}/alerts").select(*ALERT_COLS)
+
+
+@query("monitor_once", _stream_sql("crawled_at >= TIMESTAMP '1998-01-01 00:00:00'", seen=True))
+def q_monitor_once(spark, sf):
+    """One cycle over the crawls from 1998 on, against the store of earlier crawls."""
+    src = _stage(spark, sf, "snapshot >= 1998")
+    out, ckpt = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
+    _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True, seed_store=_written_seen(spark, sf)))
+    return spark.read.parquet(f"{out}/alerts").select(*ALERT_COLS)
+
+
+@query("stream_first_seen", O.with_(O.ctes_fixture(), f"SELECT DISTINCT {O.listing_id_sql()} AS listing_id FROM fx"))
+def q_stream_first_seen(spark, sf):
+    """Each listing id once, the first time the stream carries it (stateful dedupe)."""
+    src = _stage(spark, sf, "true")
+    out, ckpt = scratch_path(spark, "first-seen"), scratch_path(spark, "first-seen-ckpt")
+    _run(MN.first_seen(spark, src, out, ckpt))
+    return spark.read.parquet(out).select("listing_id")
