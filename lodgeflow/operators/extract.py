@@ -49,6 +49,7 @@ CARD_FALLBACK_RE = "|".join(
     for t in ("div", "li", "tr"))
 CONTAINER_TAGS = ("div", "tr", "li", "article", "section")
 ANCHOR_RE = r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+TEL_PREFIX = "tel:"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------
 
@@ -120,7 +121,7 @@ def sqft(text, pattern: str = SQFT_RE["sqft_sf"]) -> Column:
 def phone(text, tel: Column | None = None) -> Column:
     """A tel: link target wins; else the first US number in the text; else ''."""
     found = py_strip(F.regexp_extract(col(text), PHONE_RE, 1))
-    parts = [F.nullif(py_strip(F.replace(tel, F.lit("tel:"), F.lit(""))), F.lit(""))] if tel is not None else []
+    parts = [F.nullif(py_strip(F.replace(tel, F.lit(TEL_PREFIX), F.lit(""))), F.lit(""))] if tel is not None else []
     return F.coalesce(*parts, F.nullif(found, F.lit("")), F.lit(""))
 
 

@@ -637,3 +637,7 @@ def q_stream_first_seen(spark, sf):
     out, ckpt = scratch_path(spark, "first-seen"), scratch_path(spark, "first-seen-ckpt")
     _run(MN.first_seen(spark, src, out, ckpt))
     return spark.read.parquet(out).select("listing_id")
+
+
+# extraction queries register themselves into QUERIES / SQL on import
+from lodgeflow.plans import catalog_extract  # noqa: E402,F401

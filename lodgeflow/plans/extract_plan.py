@@ -63,7 +63,8 @@ LISTING_FIELDS = ["title", "price", "bedrooms", "bathrooms", "sqft", "address",
 
 
 def _conform(df: DataFrame) -> DataFrame:
-    cols = [F.col(c) if c in df.columns else F.lit(None) for c in LISTING_FIELDS]
+    numeric = ("price", "bathrooms", "sqft")
+    cols = [F.col(c) if c in df.columns else (F.lit(None) if c in numeric else F.lit("")) for c in LISTING_FIELDS]
     return df.select(*PAGE_COLS, "strategy", "item_pos",
                      *[c.alias(n) for c, n in zip(cols, LISTING_FIELDS)])
 
@@ -75,6 +76,16 @@ def all_strategies(pages: DataFrame, params: P.SearchParams = P.DEFAULT) -> Data
             .unionByName(_conform(script_strategy(pages, params))))
 
 
+def candidates(pages: DataFrame, params: P.SearchParams = P.DEFAULT) -> DataFrame:
+    """All strategies' listings, written once to the shared checkpoint folder.
+
+    They feed several aggregates and joins (quality, choice, page prefix);
+    the stored rows are narrow (no html), so this is the natural stage cut.
+    """
+    checkpoint_dir(pages.sparkSession)
+    return all_strategies(pages, params).checkpoint(eager=True)
+
+
 def order_key() -> F.Column:
     """Crawl order as one number: source, search city, page, strategy, position."""
     src_ord = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, (_, s, _, _) in enumerate(P.SOURCES)],
@@ -88,11 +99,7 @@ def order_key() -> F.Column:
 def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap: int = 5) -> DataFrame:
     """Listings of all pages: LISTING columns plus page coordinates and strategy."""
     pages = PG.error_policy(PG.page_limit(pages, cap))
-    # The candidates of all strategies feed several aggregates and joins: write
-    # them once (narrow rows, no html) to the shared checkpoint folder.
-    checkpoint_dir(pages.sparkSession)
-    cands = all_strategies(pages, params).checkpoint(eager=True)
-    chosen = PG.choose_strategy(cands)
+    chosen = PG.choose_strategy(candidates(pages, params))
     chosen = PG.page_prefix(chosen, pages)
     market = F.col("source").isin(*MARKET)
     tagged = EX.tag_search_city(chosen.where(market), params.city).unionByName(chosen.where(~market))
