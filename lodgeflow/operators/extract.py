@@ -291,8 +291,7 @@ def _by_source(exprs: dict, default: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
-def _rule_price(rule: HtmlRule, card: Column, text: Column) -> Column:
-    elem = element_text(card, "span", "price")
+def _rule_price(rule: HtmlRule, text: Column, elem: Column) -> Column:
     src = F.when(elem != "", elem).otherwise(text) if rule.price_elem else text
     kind = rule.price[0]
     if kind == "first":
@@ -305,60 +304,90 @@ def _rule_price(rule: HtmlRule, card: Column, text: Column) -> Column:
     if rule.income:
         p = income_based(p, text, rule.income)
     if rule.enrich:
-        p = F.coalesce(p, price_min(text, 50, 3000, True))
+        p = F.coalesce(p, F.col("_enrich_price"))
     return p
 
 
+# Parts of a card read by several rules: computed once per card as columns.
+_STAGED = {
+    "_t": lambda card: text_of(card),
+    "_el_price": lambda card: element_text(card, "span", "price"),
+    "_el_beds": lambda card: element_text(card, "span", "beds"),
+    "_el_baths": lambda card: element_text(card, "span", "baths"),
+    "_el_sqft": lambda card: element_text(card, "span", "sqft"),
+    "_el_addr": lambda card: element_text(card, "div", "address"),
+    "_el_hood": lambda card: element_text(card, "span", "hood"),
+    "_tel": lambda card: F.regexp_extract(card, r'href="(tel:[^"]*)"', 1),
+    "_href": lambda card: F.regexp_extract(card, r'(?s)<a\s[^>]*?href="([^"]*)"', 1),
+    "_link_text": lambda card: py_strip(text_of(F.regexp_extract(card, r"(?s)<a\s[^>]*>(.*?)</a>", 1))),
+    "_datetime": lambda card: F.regexp_extract(card, r'datetime="([^"]*)"', 1),
+}
+
+
 def html_listings(cards_df: DataFrame, default_city: str, default_state: str) -> DataFrame:
     """Listing rows from cards (needs ``source`` and ``card`` columns) by the per-source rules."""
     card = F.col("card")
-    text = text_of(card)
-    link_href = F.regexp_extract(card, r'(?s)<a\s[^>]*?href="([^"]*)"', 1)
-    link_text = py_strip(text_of(F.regexp_extract(card, r"(?s)<a\s[^>]*>(.*?)</a>", 1)))
+    staged = cards_df.withColumns({k: f(card) for k, f in _STAGED.items()})
+    text = F.col("_t")
+    src = F.col("source")
+
+    def only(pred, expr):
+        # evaluate a shared part only on the rows of the sources that read it
+        users = [r.source for r in HTML_RULES if pred(r)]
+        return F.when(src.isin(*users), expr)
+    staged = staged.withColumns({
+        "_enrich_price": only(lambda r: r.enrich, price_min(text, 50, 3000, True)),
+        "_enrich_beds": only(lambda r: r.enrich, bedrooms(text)),
+        "_enrich_baths": only(lambda r: r.enrich, bathrooms(text)),
+        "_posted": only(lambda r: r.date, posted(text)),
+        "_phone": only(lambda r: r.source not in ("apartments.com", "zillow", "rent.com"), phone(text)),
+        "_csz": only(lambda r: r.csz == "nc", city_state_zip(text, default_city, default_state)),
+        "_street": only(lambda r: r.address == "street", street(text)),
+        "_split": only(lambda r: r.csz == "split", split_address(F.col("_el_addr"), default_city)),
+    })
     base = _by_source({s: F.lit(b) for _, s, _, b in P.SOURCES}, F.lit(""))
-    tel = F.regexp_extract(card, r'href="(tel:[^"]*)"', 1)
-    csz = city_state_zip(text, default_city, default_state)
+    csz, sp = F.col("_csz"), F.col("_split")
     fields = {"price": {}, "bedrooms": {}, "bathrooms": {}, "sqft": {}, "address": {}, "city": {}, "state": {},
               "zip_code": {}, "phone": {}, "date_posted": {}, "neighborhood": {}, "amenities": {}}
     for r in HTML_RULES:
-        fields["price"][r.source] = _rule_price(r, card, text)
-        beds_src = element_text(card, "span", "beds") if r.beds_elem else text
+        fields["price"][r.source] = _rule_price(r, text, F.col("_el_price"))
+        beds_src = F.col("_el_beds") if r.beds_elem else text
         b = bedrooms(beds_src, BEDS_RE[r.beds], studio_first=(r.source == "apartments.com")) if r.beds else F.lit("")
         if r.enrich:
-            b = F.coalesce(F.nullif(b, F.lit("")), F.nullif(bedrooms(text), F.lit("")), F.lit(""))
+            b = F.coalesce(F.nullif(b, F.lit("")), F.nullif(F.col("_enrich_beds"), F.lit("")), F.lit(""))
         fields["bedrooms"][r.source] = b
-        ba = bathrooms(element_text(card, "span", "baths") if r.source in ("apartments.com", "zillow", "rent.com")
-                       else text, BATHS_RE[r.baths]) if r.baths else F.lit(None).cast("double")
+        elem_baths = r.source in ("apartments.com", "zillow", "rent.com")
+        ba = bathrooms(F.col("_el_baths") if elem_baths else text, BATHS_RE[r.baths]) if r.baths \
+            else F.lit(None).cast("double")
         if r.enrich:
-            ba = F.coalesce(ba, bathrooms(text))
+            ba = F.coalesce(ba, F.col("_enrich_baths"))
         fields["bathrooms"][r.source] = ba
-        fields["sqft"][r.source] = sqft(element_text(card, "span", "sqft") if r.source != "gosection8.com" else text,
+        fields["sqft"][r.source] = sqft(F.col("_el_sqft") if r.source != "gosection8.com" else text,
                                         SQFT_RE[r.sqft]) if r.sqft else F.lit(None).cast("bigint")
-        addr_el = element_text(card, "div", "address")
-        hood = element_text(card, "span", "hood")
-        fields["address"][r.source] = {"element": addr_el, "street": street(text), "hood": hood}[r.address]
-        fields["neighborhood"][r.source] = hood if r.address == "hood" else F.lit("")
+        fields["address"][r.source] = {"element": F.col("_el_addr"), "street": F.col("_street"),
+                                       "hood": F.col("_el_hood")}[r.address]
+        fields["neighborhood"][r.source] = F.col("_el_hood") if r.address == "hood" else F.lit("")
         if r.csz == "nc":
-            c, s, z = csz["city"], csz["state"], csz["zip_code"]
+            c, s_, z = csz["city"], csz["state"], csz["zip_code"]
         elif r.csz == "split":
-            sp = split_address(addr_el, default_city)
             c = F.coalesce(F.nullif(sp["city"], F.lit("")), F.lit(default_city))
-            s = F.coalesce(F.nullif(sp["state"], F.lit("")), F.lit(default_state))
+            s_ = F.coalesce(F.nullif(sp["state"], F.lit("")), F.lit(default_state))
             z = sp["zip_code"]
         else:
-            c, s, z = F.lit(default_city), F.lit(default_state), F.lit("")
-        fields["city"][r.source], fields["state"][r.source], fields["zip_code"][r.source] = c, s, z
-        fields["phone"][r.source] = phone(text, tel if r.source in ("apartments.com", "zillow", "rent.com") else None)
-        d = posted(text) if r.date else F.lit("")
+            c, s_, z = F.lit(default_city), F.lit(default_state), F.lit("")
+        fields["city"][r.source], fields["state"][r.source], fields["zip_code"][r.source] = c, s_, z
+        fields["phone"][r.source] = phone(text, F.col("_tel")) if r.source in ("apartments.com", "zillow", "rent.com") \
+            else F.col("_phone")
+        d = F.col("_posted") if r.date else F.lit("")
         if r.source == "craigslist":
-            d = F.coalesce(F.nullif(F.regexp_extract(card, r'datetime="([^"]*)"', 1), F.lit("")), posted(text))
+            d = F.coalesce(F.nullif(F.col("_datetime"), F.lit("")), F.col("_posted"))
         fields["date_posted"][r.source] = d
         fields["amenities"][r.source] = amenities(text) if r.amenities else F.lit("")
     default_type = _by_source({r.source: F.lit(r.default_type) for r in HTML_RULES}, F.lit(P.TYPE_MARKET))
-    out = cards_df.select(
-        "*",
-        link_text.alias("title"),
-        F.when(link_href != "", absolute_url(link_href, base)).otherwise(F.lit("")).alias("url"),
+    out = staged.select(
+        *cards_df.columns,
+        F.col("_link_text").alias("title"),
+        F.when(F.col("_href") != "", absolute_url(F.col("_href"), base)).otherwise(F.lit("")).alias("url"),
         *[_by_source(v, F.lit(None)).alias(k) for k, v in fields.items()],
         senior_type(text, F.col("source"), default_type).alias("housing_type"),
     )

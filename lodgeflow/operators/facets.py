@@ -74,3 +74,27 @@ def strategy_quality(df: DataFrame, page_keys=("page_key",)) -> DataFrame:
 def last_check(seen: DataFrame) -> DataFrame:
     """When something new was last recorded: the latest first_seen."""
     return seen.agg(F.max("first_seen").alias("last_check"))
+
+
+def group_arrays(df: DataFrame, chunk: int = 500) -> DataFrame:
+    """Listings of each priority group as rank-ordered arrays of at most ``chunk`` entries.
+
+    One array per group would put a whole group (possibly a third of all
+    rows) into one task; chunks keep every array and task bounded.  Positions
+    come from the distributed global rank, shifted by each group's first rank
+    (one row per group, broadcast).
+    """
+    from lodgeflow.operators.rank import SORT_KEYS, global_rank, with_sort_keys
+    keyed = with_sort_keys(df if "priority_group" in df.columns else df.withColumn("priority_group",
+                                                                                   priority_group()))
+    ranked = global_rank(keyed.select("priority_group", *SORT_KEYS, "title"), ["priority_group", *SORT_KEYS], "_r")
+    starts = ranked.groupBy("priority_group").agg(F.min("_r").alias("_start"))
+    pos = ranked.join(F.broadcast(starts), "priority_group") \
+        .withColumn("group_pos", F.col("_r") - F.col("_start") + 1)
+    chunk_no = F.floor((F.col("group_pos") - 1) / chunk).cast("bigint")
+    grouped = pos.groupBy("priority_group", chunk_no.alias("chunk_no")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.struct("group_pos", "seq", "title"))).alias("_rows"))
+    return grouped.select("priority_group", "chunk_no", "n",
+                          F.transform("_rows", lambda r: r["seq"]).alias("seqs"),
+                          F.transform("_rows", lambda r: r["title"]).alias("titles"))

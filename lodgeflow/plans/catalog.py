@@ -641,3 +641,13 @@ def q_stream_first_seen(spark, sf):
 
 # extraction queries register themselves into QUERIES / SQL on import
 from lodgeflow.plans import catalog_extract  # noqa: E402,F401
+
+
+@query("group_arrays", O.with_(O.ctes_search() + [
+    "r AS (SELECT *, row_number() OVER (PARTITION BY priority_group ORDER BY type_ord, tier_ord, recent_ord, "
+    "price_key, seq) AS group_pos FROM s)"],
+    """SELECT priority_group, CAST((group_pos - 1) // 500 AS BIGINT) AS chunk_no, count(*) AS n,
+  list(seq ORDER BY group_pos) AS seqs, list(title ORDER BY group_pos) AS titles FROM r GROUP BY ALL"""))
+def q_group_arrays(spark, sf):
+    """Each priority group's listings as rank-ordered arrays of at most 500 entries."""
+    return AG.group_arrays(searched(spark, sf), 500)
