@@ -76,25 +76,53 @@ def areas_dim(spark, params: P.SearchParams = P.DEFAULT) -> DataFrame:
     return spark.createDataFrame(rows, "tier string, tier_ord int, ord int, name string")
 
 
+def _contains_matches(narrow: DataFrame, areas: DataFrame) -> DataFrame:
+    """(seq, tier) for every area name contained in ``_text``, without pairing all rows.
+
+    Exact and distributed: with k the shortest area name length, a text
+    contains an area iff at some position its k characters equal the area's
+    first k and the whole name follows there.  Texts emit their k-grams, the
+    join is an equi-join on the gram (hot grams are split by AQE skew
+    handling) and each candidate is verified in place.
+    """
+    k = areas.agg(F.min(F.length("_area")).alias("k")).first()["k"] or 1
+    grams = narrow.select("seq", "_text", F.explode(F.sequence(F.lit(1), F.greatest(
+        F.length("_text") - k + 1, F.lit(1)))).alias("_pos")) \
+        .select("seq", "_text", "_pos", F.substring("_text", F.col("_pos"), k).alias("_gram"))
+    seeds = areas.select("_tier", "_area", F.substring("_area", 1, k).alias("_gram"))
+    cand = grams.join(seeds, "_gram")
+    hit = F.substring(F.col("_text"), F.col("_pos"), F.length("_area")) == F.col("_area")
+    return cand.where(hit).select("seq", "_tier").distinct()
+
+
 def tier_join(df: DataFrame, areas: DataFrame, zips: DataFrame) -> DataFrame:
-    """Location tier as a theta join to an area table (for area lists too long for literals).
+    """Location tier as a join to an area table (for area lists too long for literals).
 
     Matches are: city equal to the area (both tiers), a preferred zip, or the
     area name contained in the address text.  Preferred-by-text outranks
     expanded-by-city, as in the literal form.  Only narrow columns enter the
-    join; the area table is size-checked before it is broadcast.
+    joins.  The area table is broadcast after a bounded size check; beyond the
+    bound, city equality is a shuffle equi-join and containment uses k-gram
+    seeds (see ``_contains_matches``), so no join pairs every row with every area.
     """
     text = F.lower(F.concat_ws(" ", "address", "neighborhood", "full_address"))
     narrow = df.select("seq", norm_lower("city").alias("_city"), text.alias("_text"),
                        effective_zip().alias("_zip"))
     a = areas.select(F.col("tier_ord").alias("_tier"), F.lower("name").alias("_area"))
+    small = a.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
     # rank: 0 preferred (exact or text), 1 expanded by city, 2 expanded by text
-    hits = narrow.join(bounded_broadcast(a), (F.col("_city") == F.col("_area")) | F.col("_text").contains(F.col("_area")))
-    hit_rank = F.when(F.col("_tier") == 0, 0).when(F.col("_city") == F.col("_area"), 1).otherwise(2)
+    if small:
+        hits = narrow.join(F.broadcast(a), (F.col("_city") == F.col("_area")) | F.col("_text").contains(F.col("_area")))
+        ranks = hits.select("seq", F.when(F.col("_tier") == 0, 0).when(F.col("_city") == F.col("_area"), 1)
+                            .otherwise(2).alias("_r"))
+    else:
+        by_city = narrow.join(a, F.col("_city") == F.col("_area")) \
+            .select("seq", F.when(F.col("_tier") == 0, 0).otherwise(1).alias("_r"))
+        by_text = _contains_matches(narrow, a).select("seq", F.when(F.col("_tier") == 0, 0).otherwise(2).alias("_r"))
+        ranks = by_city.unionByName(by_text)
     zip_hits = narrow.join(bounded_broadcast(zips.select(F.col("zip_code").alias("_zip"))), "_zip", "left_semi") \
         .select("seq", F.lit(0).alias("_r"))
-    best = (hits.select("seq", hit_rank.alias("_r")).unionByName(zip_hits)
-            .groupBy("seq").agg(F.min("_r").alias("_r")))
+    best = ranks.unionByName(zip_hits).groupBy("seq").agg(F.min("_r").alias("_r"))
     tier = F.when(F.col("_r") == 0, P.TIER_PREFERRED).when(F.col("_r").isin(1, 2), P.TIER_EXPANDED) \
         .otherwise(P.TIER_OTHER)
     return df.join(best, "seq", "left").withColumn("location_tier", tier).drop("_r")

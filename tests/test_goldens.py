@@ -57,3 +57,14 @@ def test_markdown_row(listings):
     assert row.startswith("| Call | ?bd/1.5ba | Charlotte | 1 Main St, Charlotte, NC | [704.555.1234](tel:7045551234) |")
     assert ("A" * 45 + "...") in row and row.endswith("| [zillow](https://x/1) | [Map](" + P.DIRECTIONS_PREFIX
                                                        + "1+Main+St%2C+Charlotte%2C+NC) |")
+
+
+def test_tier_join_large_area_path_matches_literals(spark, monkeypatch):
+    """Beyond the broadcast bound the k-gram join gives the same tiers as the literal rules."""
+    from lodgeflow.operators import joins as JN
+    from lodgeflow.sources.fixture import fixture_listings
+    fx = classify(fixture_listings(spark, "/root/testdata/sf0.001"), P.ORACLE)
+    want = {r.seq: r.location_tier for r in fx.select("seq", "location_tier").collect()}
+    monkeypatch.setattr(JN, "BROADCAST_ROW_LIMIT", 5)
+    got = JN.tier_join(fx.drop("location_tier"), JN.areas_dim(spark, P.ORACLE), JN.zips_dim(spark))
+    assert {r.seq: r.location_tier for r in got.select("seq", "location_tier").collect()} == want
