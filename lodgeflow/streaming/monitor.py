@@ -88,8 +88,26 @@ def monitor(spark: SparkSession, source_path: str, out_path: str, checkpoint: st
     return writer.start()
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Large, never-expiring key state belongs in RocksDB (off-heap, spills to local disk,
+    snapshots to the checkpoint folder); only set when the deployment chose nothing."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def first_seen(spark: SparkSession, source_path: str, out_path: str, checkpoint: str):
-    """Ids emitted the first time ever: one stateful dedupe over the whole stream."""
+    """Ids emitted the first time ever: one stateful dedupe over the whole stream.
+
+    The state holds every id ever seen (the store never expires, as in the
+    reference), partitioned by id across state-store partitions; each batch
+    shuffles only its own rows.
+    """
+    use_rocksdb_state(spark)
     stream = snapshot_stream(spark, source_path).withColumn("listing_id", listing_id())
     return (stream.select("listing_id", "snapshot").dropDuplicates(["listing_id"])
             .writeStream.format("parquet").option("path", out_path)
