@@ -75,7 +75,8 @@ def top_n(df: DataFrame, group: str = "priority_group", n: int = 30) -> DataFram
     """
     keyed = with_sort_keys(df)
     w = Window.partitionBy(group).orderBy(*[F.col(k) for k in SORT_KEYS])
-    top = keyed.withColumn("group_pos", F.row_number().over(w)).where(F.col("group_pos") <= n)
+    top = keyed.withColumn("group_pos", F.row_number().over(w)).where(F.col("group_pos") <= n) \
+        .withColumn("group_pos", F.col("group_pos").cast("bigint"))
     sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
     # one row per group value: the group dimension is fixed (four groups)
     return (top.join(F.broadcast(sizes), group)

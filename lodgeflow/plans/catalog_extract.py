@@ -51,7 +51,7 @@ def _w(ctes, sql):
 def q_scan_pages(spark, sf):
     """Crawled pages with the site they came from (host of the url)."""
     return driver_pages(spark, sf).select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-                                          .alias("source"), "url", F.length("html").alias("n_chars"))
+                                          .alias("source"), "url", F.length("html").cast("bigint").alias("n_chars"))
 
 
 _CARDS_SQL = ["c0 AS (SELECT page_id, regexp_extract_all(html, " + OX.q(EX.CARD_RE) + ") AS m, "
