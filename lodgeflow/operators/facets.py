@@ -63,14 +63,6 @@ def facet_values(df: DataFrame, columns=("source", "city")) -> DataFrame:
     return out.orderBy("facet", "value")
 
 
-def strategy_quality(df: DataFrame, page_keys=("page_key",)) -> DataFrame:
-    """Completeness per page and strategy: priced rows, rows with bedrooms, rows."""
-    return df.groupBy(*page_keys, "strategy").agg(
-        F.count_if(F.col("price").isNotNull()).alias("priced"),
-        F.count_if(F.col("bedrooms") != "").alias("bedded"),
-        F.count(F.lit(1)).alias("rows"))
-
-
 def last_check(seen: DataFrame) -> DataFrame:
     """When something new was last recorded: the latest first_seen."""
     return seen.agg(F.max("first_seen").alias("last_check"))

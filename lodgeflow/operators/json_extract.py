@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
-from lodgeflow.functions.text import col, contains_any, py_strip
+from lodgeflow.functions.text import col, contains_any
 from lodgeflow.session import checkpoint_dir
 
 # ---------------------------------------------------------------------------
@@ -505,7 +505,3 @@ def script_to_listing(hits: DataFrame, default_city: str, default_state: str) ->
         "state": F.coalesce(F.nullif(F.col("state"), F.lit("")), F.lit(default_state)),
         "bedrooms": F.coalesce(F.col("bedrooms"), F.lit("")),
     })
-
-
-def strip_text(c) -> Column:
-    return py_strip(col(c))

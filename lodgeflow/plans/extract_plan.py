@@ -22,7 +22,6 @@ from lodgeflow.operators import pages as PG
 from lodgeflow.session import checkpoint_dir
 
 PAGE_COLS = ["source", "search_city", "city_ord", "page_no"]
-STRATEGY_ORD = {"script": 0, "jsonld": 1, "html": 2}
 MARKET = ("apartments.com", "zillow", "rent.com")
 CONTAINER_SOURCES = ("nchousingsearch.org", "affordablehousing.com", "gosection8.com")
 

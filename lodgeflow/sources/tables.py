@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodgeflow import schema
 
@@ -31,20 +29,3 @@ def read_seen(spark: SparkSession, path: str) -> DataFrame:
     if path and _exists(spark, path):
         return spark.read.schema(schema.SEEN).parquet(path)
     return spark.createDataFrame([], schema.SEEN)
-
-
-def empty_like(spark: SparkSession, struct: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], struct)
-
-
-def with_columns_of(df: DataFrame, struct: T.StructType) -> DataFrame:
-    """Project to a schema: missing strings become '', other missing columns null."""
-    cols = []
-    for f in struct.fields:
-        if f.name in df.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            cols.append(F.lit("").alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*cols)
