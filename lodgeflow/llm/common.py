@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow.session import scratch_path
@@ -16,7 +16,7 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = re.compile(rb"[ \t-\r]")
 
-__all__ = ["SPACES", "SPACE_RE", "ascii_lower", "drop_path", "n_words", "read_table", "word_blocks", "written"]
+__all__ = ["SPACES", "SPACE_RE", "ascii_lower", "n_words", "read_table", "word_blocks", "written"]
 
 
 def ascii_lower(text: Column) -> Column:
@@ -46,17 +46,11 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         pos = cut
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write to the shared folder of ``spark.checkpoint.dir`` and read back: cuts
-    lineage, and a lost executor costs no recomputation of what is written."""
+    lineage, and a lost executor costs no recomputation of what is written. ``by``
+    names columns that become folders, for reads of one of their values."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder that :func:`written` made and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
