@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgeflow.llm.common import read_table
+from pyspark.sql import functions as F
+
+from lodgeflow.llm.common import UPPER, read_table
+from lodgeflow.llm.decontam import BREAK_RE, decontaminate
+from lodgeflow.llm.line_dedup import dedup_lines
 from lodgeflow.llm.simhash import simhash_components
 
 QUERIES = {}
 SQL = {}
+_LOW = f"'{UPPER}', '{UPPER.lower()}'"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 def _query(f):
@@ -20,3 +26,60 @@ def _query(f):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents (3-word shingles, 2 bits)."""
     return simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+
+
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of 40 code points or more in 5 documents or more stay in the last one only."""
+    done = dedup_lines(read_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op7_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents),
+keyed AS (SELECT *, trim(translate(line, {_LOW}), {_SPACES}) AS key FROM lines),
+often AS (
+  SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.*, o.key IS NOT NULL AND k.doc_id <> o.top AS gone FROM keyed k LEFT JOIN often o ON k.key = o.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13-word windows of all benchmark items in all documents; 5 % of hit words contaminate."""
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    done = decontaminate(docs, items, window=13, share=20)
+    return done.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+
+
+SQL["op10_decontamination"] = f"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOW}), '{BREAK_RE}'), lambda x: x <> '') AS w
+  FROM documents),
+iw AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOW}), '{BREAK_RE}'), lambda x: x <> '') AS w
+  FROM benchmark),
+grams AS (
+  SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS gram
+  FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM iw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM grams),
+places AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n),
+found AS (
+  SELECT DISTINCT p.doc_id, p.i, p.n, g.item_id FROM places p JOIN grams g ON g.n = p.n AND g.gram = list_slice(p.w, p.i, p.i + p.n - 1)),
+hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
