@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lodgeflow.llm.common import UPPER, read_table
+from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
 from lodgeflow.llm.line_dedup import dedup_lines
+from lodgeflow.llm.mixing import curriculum
 from lodgeflow.llm.simhash import simhash_components
 
 QUERIES = {}
@@ -83,3 +84,38 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@_query
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under the curriculum of weights 5, 2, 1, in order of their first training position."""
+    plan = curriculum(read_table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), cap=3)
+    return (plan.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+SQL["op3_mixing"] = f"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE_RE}'), lambda x: x <> ''))::BIGINT AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+  FROM d GROUP BY source),
+f AS (SELECT *, source_size * 3.0::DOUBLE / weight AS filled FROM s),
+o AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+         - 3.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY filled, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+         / sum(weight) OVER (ORDER BY filled, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM f),
+t AS (
+  SELECT source, source_size, least(source_size * 3.0::DOUBLE, weight * (SELECT coalesce(max(level), 0) FROM o WHERE level < filled)) AS target
+  FROM o),
+c AS (
+  SELECT d.*, source_size, target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR), doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE + size / 2.0::DOUBLE AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * ((middle < target)::INT + (source_size + middle < target)::INT + (2 * source_size + middle < target)::INT) AS taken
+FROM c"""
