@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
 from lodgeflow.llm.line_dedup import dedup_lines
 from lodgeflow.llm.mixing import curriculum
+from lodgeflow.llm.quality import judge
 from lodgeflow.llm.simhash import simhash_components
 
-QUERIES = {}
+QUERIES = {"pipeline": corpus_pipeline.run}
 SQL = {}
 _LOW = f"'{UPPER}', '{UPPER.lower()}'"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -119,3 +121,9 @@ c AS (
 SELECT doc_id, size, source_size, target,
        size * ((middle < target)::INT + (source_size + middle < target)::INT + (2 * source_size + middle < target)::INT) AS taken
 FROM c"""
+
+
+@_query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality and toxicity of all documents; sites are source and language."""
+    return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), host="source", path="lang")
