@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodgeflow.llm.chat import format_chats, loss_text, parse
 from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
 from lodgeflow.llm.line_dedup import dedup_lines
 from lodgeflow.llm.mixing import curriculum
 from lodgeflow.llm.quality import judge
 from lodgeflow.llm.simhash import simhash_components
+from lodgeflow.llm.urlfilter import judge_urls
 
 QUERIES = {"pipeline": corpus_pipeline.run}
 SQL = {}
@@ -127,3 +129,64 @@ FROM c"""
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior quality and toxicity of all documents; sites are source and language."""
     return judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), host="source", path="lang")
+
+
+@_query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that tries to break the template, formatted and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    done = format_chats(table.union(extra)).select(
+        "conv_id", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SQL["op2_chat"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, contains(role || chr(0) || text, '### ') OR contains(role || chr(0) || text, '</turn>') OR contains(role, ': ')
+         OR contains(role || chr(0) || text, '\\0') OR contains(role || chr(0) || text, '\\1')
+         OR contains(role || chr(0) || text, '\\2') OR contains(role, '\\3') AS bad
+  FROM t),
+f AS (
+  SELECT *, CASE WHEN bad THEN replace(replace(replace(text, '\\', '\\0'), '</turn>', '\\1'), '### ', '\\2') ELSE text END AS x,
+         CASE WHEN bad THEN replace(replace(replace(replace(role, '\\', '\\0'), '</turn>', '\\1'), '### ', '\\2'), ': ', '\\3') ELSE role END AS y
+  FROM e)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(x) + length(y) + 14)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url under four rules of allowed and blocked sites."""
+    rules = spark.sql("""SELECT * FROM VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+                         ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') AS rules(host, path, action)""")
+    return judge_urls(read_table(spark, sf_dir, "pages"), rules)
+
+
+SQL["op4_url_filter"] = f"""
+WITH r AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOW}) AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM r),
+m AS (
+  SELECT *, CASE
+    WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
