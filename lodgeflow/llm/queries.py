@@ -10,6 +10,7 @@ import corpus_pipeline
 from lodgeflow.llm.chat import format_chats, loss_text, parse
 from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
+from lodgeflow.llm.embed_dedup import near_vectors
 from lodgeflow.llm.line_dedup import dedup_lines
 from lodgeflow.llm.mixing import curriculum
 from lodgeflow.llm.quality import judge
@@ -190,3 +191,9 @@ m AS (
     WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
   FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
+
+
+@_query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label at a cosine of 0.93."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
