@@ -12,6 +12,7 @@ from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
 from lodgeflow.llm.embed_dedup import near_vectors
 from lodgeflow.llm.line_dedup import dedup_lines
+from lodgeflow.llm.lm import lm_score
 from lodgeflow.llm.mixing import curriculum
 from lodgeflow.llm.quality import judge
 from lodgeflow.llm.simhash import simhash_components
@@ -197,3 +198,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings of equal label at a cosine of 0.93."""
     return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@_query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a Katz bigram model of nine tenths of them."""
+    return lm_score(read_table(spark, sf_dir, "documents"))
