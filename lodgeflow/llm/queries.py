@@ -16,6 +16,7 @@ from lodgeflow.llm.lm import lm_score
 from lodgeflow.llm.mixing import curriculum
 from lodgeflow.llm.quality import judge
 from lodgeflow.llm.simhash import simhash_components
+from lodgeflow.llm.substring import dedup_substrings
 from lodgeflow.llm.urlfilter import judge_urls
 
 QUERIES = {"pipeline": corpus_pipeline.run}
@@ -204,3 +205,26 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under a Katz bigram model of nine tenths of them."""
     return lm_score(read_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that an earlier document holds go from all documents."""
+    done = dedup_substrings(read_table(spark, sf_dir, "documents"), window=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op9_substring_dedup"] = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE_RE}'), lambda x: x <> '') AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT gram, min(doc_id) AS least FROM win GROUP BY gram HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN first USING (gram) WHERE least < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
