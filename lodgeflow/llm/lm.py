@@ -110,6 +110,7 @@ def _score(n: int, v: int, d1: np.ndarray, d2: np.ndarray, unknown: float, n_doc
         begins = history[one] == BEGIN
         ch = np.where(begins, n_docs, c[at[np.maximum(one - 1, 0)]])
         w = at[one]
+        del pair, tok
         d = d2[np.minimum(cp, CUT + 1)]
         with np.errstate(divide="ignore"):
             lp = np.where(cp > 0, np.log10(d * cp / (ch + 1)), np.log10(p1[w]))
@@ -130,15 +131,14 @@ def _score(n: int, v: int, d1: np.ndarray, d2: np.ndarray, unknown: float, n_doc
         new = np.flatnonzero(np.r_[True, (bd[1:] != bd[:-1]) | (bh[1:] != bh[:-1])]) if len(bd) else np.zeros(0, int)
         times = np.diff(np.r_[new, len(bd)])
         a, b, m = docs, len(hs), len(new)
-        none = lambda k: [None] * k
-        cols = {
-            "part": [0] * a + [1] * b + [2] * m, "id": row["ids"] + none(b + m), "unit": [row["unit"]] * (a + b + m),
-            "row": [*range(a), *none(b), *bd[new].tolist()], "held": row["flags"] + none(b + m),
-            "n_tokens": sizes.tolist() + none(b + m), "n_known": total((c > 0)[at].astype(np.int64)).tolist() + none(b + m),
-            "base": total(base[at]).tolist() + none(b + m), "score": total(lp[pat]).tolist() + none(b + m),
-            "h": none(a) + hs.view(np.int64).tolist() + bh[new].view(np.int64).tolist(), "n": none(a) + hc.tolist() + times.tolist(),
-            "follow": none(a) + follow.tolist() + none(m), "taken": none(a) + left.tolist() + none(m)}
-        return pa.table({k: pa.array(cols[k], t) for k, t in fields})
+        numbers = {
+            "part": (np.zeros(a, np.int32), np.ones(b, np.int32), np.full(m, 2, np.int32)), "id": (row["ids"], None, None),
+            "unit": (np.full(a, row["unit"]), None, np.full(m, row["unit"])), "row": (np.arange(a), None, bd[new]), "held": (row["flags"], None, None),
+            "n_tokens": (sizes, None, None), "n_known": (total((c > 0)[at].astype(np.int64)), None, None), "base": (total(base[at]), None, None),
+            "score": (total(lp[pat]), None, None), "h": (None, hs.view(np.int64), bh[new].view(np.int64)), "n": (None, hc, times),
+            "follow": (None, follow, None), "taken": (None, left, None)}
+        return pa.table({k: pa.chunked_array(
+            [pa.nulls(size, t) if x is None else pa.array(x, t) for x, size in zip(numbers[k], (a, b, m))]).combine_chunks() for k, t in fields})
 
     fields = [("part", pa.int32()), ("id", id_type), ("unit", pa.int64()), ("row", pa.int32()), ("held", pa.bool_()), ("n_tokens", pa.int64()),
               ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("h", pa.int64()), ("n", pa.int64()),

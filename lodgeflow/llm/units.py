@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lodgeflow.llm.common import written
 
-UNIT_BYTES = 12 << 20
+UNIT_BYTES = 8 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -57,7 +57,7 @@ def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """64-bit hash of each word; forgets when it gets large."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:
