@@ -84,16 +84,20 @@ class Classifier:
             self.by_kind.setdefault(kind + b"^" * bool(kind), {})[word] = i
         self.mean, self.scale, self.quality, self.toxic = mean, scale, quality, toxic
 
-    def logits(self, rows: list[tuple[int, list[float], set[bytes]]]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of good quality and of toxicity."""
-        x = _expand(np.array([r[1] for r in rows], float).reshape(-1, len(SHAPE)))
-        q = ((x - self.mean) / self.scale) @ self.quality[:-1] + self.quality[-1]
-        t = np.full(len(rows), self.toxic[-1])
-        for i, r in enumerate(rows):
-            for kind, words in stems(r[2]):
+    def logits(self, texts: Iterator[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Words, and log-odds of good quality and of toxicity. One text's words at a time."""
+        sizes, shapes, toxic = [], [], []
+        for n, features, kinds in map(shape, texts):
+            t = self.toxic[-1]
+            for kind, words in stems(kinds):
                 ours = self.by_kind.get(kind, {})
-                t[i] += sum(self.toxic[ours[w]] for w in ours.keys() & words)
-        return np.clip(q, -30, 30), np.clip(t, -30, 30)
+                t += sum(self.toxic[ours[w]] for w in ours.keys() & words)
+            sizes.append(n)
+            shapes.append(features)
+            toxic.append(t)
+        x = _expand(np.array(shapes, float).reshape(-1, len(SHAPE)))
+        q = ((x - self.mean) / self.scale) @ self.quality[:-1] + self.quality[-1]
+        return sizes, np.clip(q, -30, 30), np.clip(np.array(toxic, float), -30, 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS,
@@ -107,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "__id")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):     # their words are much larger
             got = [shape(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column("__id"), b.column("quality"), b.column("toxic"), pa.array([g[1] for g in got], pa.list_(pa.float64())),
@@ -148,10 +152,9 @@ def evidence(docs: DataFrame, model: Classifier, id_col: str, text_col: str, hos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shape(t.as_py()) for t in b.column("text")]
-            q, t = model.logits(got)
+            n, q, t = model.logits(t.as_py() for t in b.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([g[0] for g in got], pa.int64()), pa.array(q), pa.array(t)],
+                [b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64()), pa.array(q), pa.array(t)],
                 ["id", "host", "path", "n_words", "quality_logit", "toxic_logit"])
 
     kind = narrow.schema["id"].dataType.simpleString()
