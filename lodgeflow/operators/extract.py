@@ -198,6 +198,12 @@ def origin(url) -> Column:
 
 # ------------------------------------------------------------------ frame operators
 
+def has_cards(card_re: str = CARD_RE, fallback_re: str | None = CARD_FALLBACK_RE) -> Column:
+    """Whether :func:`cards` finds any in the page, told in the row."""
+    html = F.col("html")
+    return html.rlike(card_re) | (html.rlike(fallback_re) if fallback_re else F.lit(False))
+
+
 def cards(pages: DataFrame, keys=("page_key",), card_re: str = CARD_RE,
           fallback_re: str | None = CARD_FALLBACK_RE) -> DataFrame:
     """One row per card: (keys..., pos, card).  Fallback patterns only where the main ones found none."""

@@ -15,9 +15,12 @@ from lodgeflow.functions.labels import is_subsidized
 from lodgeflow.functions.text import norm_lower
 
 
-def rent_predicate(min_rent: int, max_rent: int) -> Column:
-    """Market rows must lie in [min, max]; subsidized rows only under 1.5 x max."""
+def rent_predicate(min_rent: int, max_rent: int | None) -> Column:
+    """Market rows must lie in [min, max]; subsidized rows only under 1.5 x max.
+    Without a maximum there is no upper test."""
     p = F.col("price")
+    if max_rent is None:
+        return p.isNull() | is_subsidized() | (p >= min_rent)
     return p.isNull() | F.when(is_subsidized(), p <= F.lit(float(max_rent) * P.SUBSIDIZED_PRICE_FACTOR)) \
         .otherwise(p.between(min_rent, max_rent))
 
@@ -37,7 +40,7 @@ def state_predicate(state: str, restrict: bool) -> Column:
     return (F.col("state") == "") | (F.upper(F.col("state")) == state.upper())
 
 
-def rent_filter(df: DataFrame, min_rent: int = 0, max_rent: int = P.DEFAULT_MAX_RENT) -> DataFrame:
+def rent_filter(df: DataFrame, min_rent: int = 0, max_rent: int | None = None) -> DataFrame:
     return df.where(rent_predicate(min_rent, max_rent))
 
 

@@ -9,6 +9,8 @@ narrow explode per nesting level, then a relational pruning step.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,6 @@ WALK_MARKER_KEYS = {
 }
 SELF_NAME_KEYS = ("listingName", "propertyName", "name", "title")      # apartments.com only
 SELF_DATA_KEYS = ("rent", "price", "address", "location")
-WALK_MAX_DEPTH = 10
 JSONLD_RE = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 SCRIPT_RE = r"(?is)<script([^>]*)>(.*?)</script>"
 WINDOW_RE = r"(?s)(?:window\.__\w+__|window\.\w+Data)\s*=\s*(\{.+?\});"
@@ -204,13 +205,13 @@ def jsonld_housing_type(source: Column, senior_hint: Column, senior_page: Column
 
 # ------------------------------------------------------------------ script data
 
-def script_blocks(pages: DataFrame, keys, min_len: int = 50) -> DataFrame:
+def script_blocks(pages: DataFrame, keys, min_len: int = 0) -> DataFrame:
     """Script JSON: __NEXT_DATA__ / application/json scripts and window.X = {...}; assignments."""
     scripts = pages.select(*keys, F.posexplode(F.arrays_zip(
         F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(1)).alias("attrs"),
         F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(2)).alias("body"))).alias("script_no", "s"))
     attrs, body = F.lower(F.col("s.attrs")), F.col("s.body")
-    is_data = attrs.contains('id="__next_data__"') | attrs.contains("application/json")
+    is_data = attrs.rlike("""id=["']__next_data__["']""") | attrs.contains("application/json")
     whole = scripts.where(is_data & (F.length(body) >= min_len)) \
         .select(*keys, "script_no", F.lit(0).alias("part"), F.try_parse_json(body).alias("v"))
     assigned = scripts.where(~is_data & (F.length(body) >= min_len)).select(
@@ -231,14 +232,15 @@ def _key_list(source: Column, table: dict) -> Column:
     return F.coalesce(out, F.array().cast("array<string>"))
 
 
-def json_walk(blocks: DataFrame, keys, max_depth: int = WALK_MAX_DEPTH) -> DataFrame:
+def json_walk(blocks: DataFrame, keys, max_depth: int | None = None) -> DataFrame:
     """Listing objects inside script data, as (keys..., script_no, part, hit_path, item).
 
     Semantics of the recursive search: at an object, (apartments.com) the object
     itself when it has a name-like and a data-like key; then every element of a
     known-key array and the hits below known-key objects; only when that gave
     nothing, the hits below all children.  In an array, an object with a marker
-    key is a hit, other containers are searched.  Nothing below depth 10.
+    key is a hit, other containers are searched, to any depth unless ``max_depth``
+    is given.  No script data gives no rows.
 
     Job: one explode per level over the frontier (checkpointed to the shared
     folder each level, so plans stay small and a lost executor recomputes one
@@ -252,9 +254,9 @@ def json_walk(blocks: DataFrame, keys, max_depth: int = WALK_MAX_DEPTH) -> DataF
     frontier = blocks.select(*bk, F.lit("").alias("path"), F.col("v").alias("node"),
                              F.array().cast("array<struct<anc:string,keyed:boolean>>").alias("steps"))
     hits = []
-    for depth in range(max_depth + 1):
+    for depth in count():
         frontier = frontier.checkpoint(eager=True)
-        if frontier.isEmpty():
+        if depth and (frontier.isEmpty() or (max_depth is not None and depth > max_depth)):
             break
         known = _key_list(src, WALK_KNOWN_KEYS)
         markers = _key_list(src, WALK_MARKER_KEYS)
@@ -273,13 +275,13 @@ def json_walk(blocks: DataFrame, keys, max_depth: int = WALK_MAX_DEPTH) -> DataF
         known_arrays = kids.where(keyed & is_array("child")).select(
             *bk, kpath.alias("kp"), kstep.alias("steps"),
             F.posexplode(vget("child", "$", "array<variant>")).alias("i", "el")) \
-            .select(*bk, F.concat("kp", F.lit("/"), F.lpad(F.col("i").cast("string"), 6, "0")).alias("path"),
+            .select(*bk, F.concat("kp", F.lit("/"), F.lpad(F.col("i").cast("string"), 10, "0")).alias("path"),
                     F.col("el").alias("node"), "steps")
         next_obj = kids.where((keyed & is_object("child")) | (~keyed & (is_object("child") | is_array("child")))) \
             .select(*bk, kpath.alias("path"), F.col("child").alias("node"), kstep.alias("steps"))
         els = arr.select(*bk, "path", "steps", markers.alias("_markers"),
                          F.posexplode(vget("node", "$", "array<variant>")).alias("i", "el"))
-        epath = F.concat("path", F.lit("/"), F.lpad(F.col("i").cast("string"), 6, "0"))
+        epath = F.concat("path", F.lit("/"), F.lpad(F.col("i").cast("string"), 10, "0"))
         estep = F.array_append("steps", _step(F.col("path"), True))
         marked = is_object("el") & F.exists(F.map_keys(vget("el", "$", "map<string,variant>")),
                                             lambda k: F.array_contains(F.col("_markers"), k))
@@ -287,7 +289,7 @@ def json_walk(blocks: DataFrame, keys, max_depth: int = WALK_MAX_DEPTH) -> DataF
         next_arr = els.where(~marked & (is_object("el") | is_array("el"))) \
             .select(*bk, epath.alias("path"), F.col("el").alias("node"), estep.alias("steps"))
         hits += [selfhit, known_arrays, arr_hits]
-        frontier = next_obj.unionByName(next_arr) if depth < max_depth else next_obj.limit(0)
+        frontier = next_obj.unionByName(next_arr)
     raw = hits[0]
     for h in hits[1:]:
         raw = raw.unionByName(h)

@@ -29,8 +29,7 @@ CONTAINER_SOURCES = ("nchousingsearch.org", "affordablehousing.com", "gosection8
 def html_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
     """Card listings; pages of card-less sources fall back to plausible containers."""
     cards = EX.cards(pages, PAGE_COLS)
-    bare = pages.where(F.col("source").isin(*CONTAINER_SOURCES)).join(
-        cards.select(*PAGE_COLS).distinct(), PAGE_COLS, "left_anti")
+    bare = pages.where(F.col("source").isin(*CONTAINER_SOURCES) & ~EX.has_cards())
     conts = EX.container_fallback(bare, PAGE_COLS)
     hud = F.col("source") == "hud.gov"
     all_cards = cards.unionByName(conts).where(~hud | EX.state_gate(EX.text_of(F.col("card"))))
@@ -54,7 +53,9 @@ def script_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
     hits = JX.json_walk(blocks, PAGE_COLS)
     out = JX.script_to_listing(hits, params.city, params.state).withColumn("housing_type", F.lit(P.TYPE_MARKET))
     pos = F.row_number().over(Window.partitionBy(*PAGE_COLS).orderBy("script_no", "part", "hit_path")) - 1
-    return EX.admit(out).withColumns({"strategy": F.lit("script"), "item_pos": pos})
+    # only one source asks its script rows for a title or url
+    admitted = out.where((F.col("source") != "apartments.com") | (F.col("title") != "") | (F.col("url") != ""))
+    return admitted.withColumns({"strategy": F.lit("script"), "item_pos": pos})
 
 
 LISTING_FIELDS = ["title", "price", "bedrooms", "bathrooms", "sqft", "address", "city", "state", "zip_code",
@@ -95,11 +96,20 @@ def order_key() -> F.Column:
             + F.col("item_pos").cast("bigint"))
 
 
-def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap: int = 5) -> DataFrame:
-    """Listings of all pages: LISTING columns plus page coordinates and strategy."""
-    pages = PG.error_policy(PG.page_limit(pages, cap))
+def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap: int | None = None,
+                     stop_at_errors: bool = False, stop_at_empty: bool = False) -> DataFrame:
+    """Listings of all pages: LISTING columns plus page coordinates and strategy.
+
+    Every page that was fetched counts; one that failed has no listings. The crawl's
+    own cuts are offered for comparison with it: ``cap`` pages a search,
+    ``stop_at_errors`` (see error_policy) and ``stop_at_empty`` (see page_prefix).
+    """
+    if cap is not None:
+        pages = PG.page_limit(pages, cap)
+    pages = PG.error_policy(pages) if stop_at_errors else pages.where(F.col("error").isNull())
     chosen = PG.choose_strategy(candidates(pages, params))
-    chosen = PG.page_prefix(chosen, pages)
+    if stop_at_empty:
+        chosen = PG.page_prefix(chosen, pages)
     market = F.col("source").isin(*MARKET)
     tagged = EX.tag_search_city(chosen.where(market), params.city).unionByName(chosen.where(~market))
     out = tagged.withColumn("seq", order_key())

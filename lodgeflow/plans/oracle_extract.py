@@ -304,7 +304,7 @@ def ctes_script_listings() -> list[str]:
         f"CASE source WHEN 'zillow' THEN date_posted ELSE '' END AS date_posted FROM rc "
         f"WHERE source IN ('apartments.com', 'zillow', 'rent.com'))",
         "sl AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, city_ord, page_no ORDER BY seq) - 1 AS INTEGER)"
-        " AS item_pos FROM sx WHERE title <> '' OR url <> '')",
+        " AS item_pos FROM sx WHERE source <> 'apartments.com' OR title <> '' OR url <> '')",
     ]
 
 

@@ -13,33 +13,30 @@ KNOWN = JX.WALK_KNOWN_KEYS
 MARKERS = JX.WALK_MARKER_KEYS
 
 
-def recursive_hits(node, source, depth=0):
-    """Direct recursion with the search semantics (the brute-force reference)."""
-    if depth > 10:
-        return []
-    out = []
-    if isinstance(node, dict):
-        if source == "apartments.com" and any(k in node for k in JX.SELF_NAME_KEYS) and \
-                any(k in node for k in JX.SELF_DATA_KEYS):
-            out.append(node)
-        for k in KNOWN[source]:
-            if k in node:
-                v = node[k]
-                if isinstance(v, list):
-                    out.extend(v)
-                elif isinstance(v, dict):
-                    out.extend(recursive_hits(v, source, depth + 1))
-        if not out:
-            for v in node.values():
-                if isinstance(v, (dict, list)):
-                    out.extend(recursive_hits(v, source, depth + 1))
-    elif isinstance(node, list):
-        for el in node:
-            if isinstance(el, dict) and any(k in el for k in MARKERS[source]):
-                out.append(el)
-            elif isinstance(el, (dict, list)):
-                out.extend(recursive_hits(el, source, depth + 1))
-    return out
+def recursive_hits(root, source):
+    """The live-hit rule over an enumeration of all paths: a hit counts unless an object
+    above it, that it passes through a key of no meaning, has a hit through a known one."""
+    hits, todo = [], [(root, ())]
+    while todo:
+        node, steps = todo.pop()
+        through = lambda known: (*steps, (id(node), known))
+        if isinstance(node, list):
+            for x in node:
+                if isinstance(x, dict) and set(x) & set(MARKERS[source]):
+                    hits.append((x, steps))
+                elif isinstance(x, (dict, list)):
+                    todo.append((x, steps))
+        elif isinstance(node, dict):
+            if source == "apartments.com" and set(node) & set(JX.SELF_NAME_KEYS) and set(node) & set(JX.SELF_DATA_KEYS):
+                hits.append((node, through(True)))
+            for key, x in node.items():
+                known = key in KNOWN[source]
+                if known and isinstance(x, list):
+                    hits += [(y, through(True)) for y in x]
+                if isinstance(x, dict) or isinstance(x, list) and not known:
+                    todo.append((x, through(known)))
+    known_hits = {at for _, steps in hits for at, known in steps if known}
+    return [x for x, steps in hits if not any(at in known_hits and not known for at, known in steps)]
 
 
 def random_doc(rng, source, depth=0):
@@ -150,3 +147,26 @@ def test_strategy_choice(spark):
     assert ("zillow", "script") in got and ("zillow", "jsonld") not in got     # tie: script first
     assert ("affordablehousing.com", "jsonld") in got                          # html empty: fallback
     assert {("hud.gov", "jsonld"), ("hud.gov", "html")} <= got                 # union
+
+
+def _walk(spark, *bodies):
+    rows = [("rent.com", f"<script type='application/json'>{b}</script>") for b in bodies]
+    pages = spark.createDataFrame(rows, "source string, html string")
+    return JX.json_walk(JX.script_blocks(pages, ["source"]), ["source"])
+
+
+def test_walk_has_no_depth_or_length_limit_and_survives_no_scripts(spark):
+    deep = '{"a":' * 14 + '[{"rent":1}]' + "}" * 14
+    assert _walk(spark, deep, '[{"rent":1}]', "").count() == 2
+    assert _walk(spark, "").count() == 0
+
+
+def test_walk_paths_hold_any_array_index(spark):
+    hits = _walk(spark, '[{},{"rent":1},{"rent":2}]')
+    assert sorted(r.hit_path for r in hits.collect()) == ["/0000000001", "/0000000002"]
+
+
+def test_no_maximum_rent_means_no_upper_test(listings):
+    from lodgeflow.operators import filters as FL
+    df = listings(dict(title="a", price=250000.0), dict(title="b", price=5.0), dict(title="c", price=None))
+    assert sorted(r.title for r in FL.rent_filter(df, 10).collect()) == ["a", "c"]

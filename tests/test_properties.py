@@ -10,20 +10,12 @@ from lodgeflow.operators.rank import global_rank
 
 
 def greedy(rows):
-    """The sequential rule, row by row in seq order."""
-    seen_urls, seen_keys, out = set(), set(), []
-    for r in sorted(rows, key=lambda r: r["seq"]):
-        if r["url"]:
-            u = r["url"].rstrip("/").lower()
-            if u in seen_urls:
-                continue
-            seen_urls.add(u)
-        key = (r["title"].lower().strip(), r["price"])
-        if key in seen_keys and r["title"]:
-            continue
-        seen_keys.add(key)
-        out.append(r["seq"])
-    return out
+    """First row of each url, blank ones apart; of these, the first of each title and
+    price, where a row without any title stays."""
+    url = lambda r: (r["url"].rstrip("/").lower(), "") if r["url"] else (None, r["seq"])
+    named = lambda r: (r["title"].lower().strip(), r["price"])
+    one = [r for r in rows if r["seq"] == min(x["seq"] for x in rows if url(x) == url(r))]
+    return [r["seq"] for r in one if not r["title"] or r["seq"] == min(x["seq"] for x in one if named(x) == named(r))]
 
 
 row = st.fixed_dictionaries({
