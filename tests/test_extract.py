@@ -150,9 +150,9 @@ def test_strategy_choice(spark):
 
 
 def _walk(spark, *bodies):
-    rows = [("rent.com", f"<script type='application/json'>{b}</script>") for b in bodies]
-    pages = spark.createDataFrame(rows, "source string, html string")
-    return JX.json_walk(JX.script_blocks(pages, ["source"]), ["source"])
+    rows = [("rent.com", i, f"<script type='application/json'>{b}</script>") for i, b in enumerate(bodies)]
+    pages = spark.createDataFrame(rows, "source string, page int, html string")
+    return JX.json_walk(JX.script_blocks(pages, ["source", "page"]), ["source", "page"])
 
 
 def test_walk_has_no_length_limit_and_survives_no_scripts(spark):
@@ -168,5 +168,5 @@ def test_walk_paths_hold_any_array_index(spark):
 
 def test_no_maximum_rent_means_no_upper_test(listings):
     from lodgeflow.operators import filters as FL
-    df = listings(dict(title="a", price=250000.0), dict(title="b", price=5.0), dict(title="c", price=None))
+    df = listings(*(dict(seq=i, title=t, price=p) for i, (t, p) in enumerate([("a", 250000.0), ("b", 5.0), ("c", None)])))
     assert sorted(r.title for r in FL.rent_filter(df, 10).collect()) == ["a", "c"]
