@@ -168,5 +168,5 @@ def test_walk_paths_hold_any_array_index(spark):
 
 def test_no_maximum_rent_means_no_upper_test(listings):
     from lodgeflow.operators import filters as FL
-    df = listings(*(dict(seq=i, title=t, price=p) for i, (t, p) in enumerate([("a", 250000.0), ("b", 5.0), ("c", None)])))
+    df = listings(*(dict(seq=i, title=t, price=p) for i, (t, p) in enumerate([("a", 250000), ("b", 5), ("c", None)])))
     assert sorted(r.title for r in FL.rent_filter(df, 10).collect()) == ["a", "c"]
