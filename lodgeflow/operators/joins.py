@@ -56,7 +56,7 @@ def new_listings(df: DataFrame, seen: DataFrame) -> DataFrame:
     when the store is actually small.
     """
     keyed = df if "listing_id" in df.columns else with_listing_id(df)
-    return keyed.join(seen.select("listing_id").distinct(), "listing_id", "left_anti")
+    return keyed.join(seen.select("listing_id"), "listing_id", "left_anti")
 
 
 def zips_dim(spark, zips=P.PREFERRED_ZIPS) -> DataFrame:

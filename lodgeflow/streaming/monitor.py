@@ -54,7 +54,7 @@ def new_in_batch(batch: DataFrame, seen: DataFrame, params: P.SearchParams) -> D
     result = classify(dedupe(filter_listings(batch, params), by=("snapshot",)), params)
     result = with_sort_keys(result.withColumn("priority_group", priority_group())) \
         .withColumn("listing_id", listing_id())
-    fresh = result.join(seen.select("listing_id").distinct(), "listing_id", "left_anti")
+    fresh = result.join(seen.select("listing_id"), "listing_id", "left_anti")
     first = fresh.groupBy("listing_id").agg(F.min("snapshot").alias("_first"))
     return fresh.join(first, "listing_id").where(F.col("snapshot") == F.col("_first")).drop("_first")
 
