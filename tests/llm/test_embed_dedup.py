@@ -1,6 +1,7 @@
 """Embedding near-dedup against brute force: recall of the index, exact counts on what it finds."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodgeflow.llm import embed_dedup
@@ -76,3 +77,28 @@ def test_pairs_count_once_over_several_cells(spark):
     got, want = run(spark, rows, probes=3), brute(rows)
     assert all(g[1] <= w[1] for g, w in zip(sorted(got), sorted(want)))
     assert sum(g[1] for g in got) / sum(w[1] for w in want) > 0.9
+
+def test_every_link_of_a_large_group_of_near_copies(spark):
+    """80,000 rows, a third of them distinct near copies at cosines of about 0.95."""
+    rng = np.random.default_rng(3)
+    n, group = 80_000, 26_667
+    x = rng.normal(size=(n, 64))
+    x[:group] = embed_dedup.unit(rng.normal(size=(1, 64))) + rng.normal(size=(group, 64)) * np.sqrt((1 / 0.95 - 1) / 64)
+    x = np.float32(embed_dedup.unit(x)[rng.permutation(n)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x), "label": np.zeros(n, np.int32)}),
+                               "vec_id long, embedding array<float>, label int")
+    r = near_vectors(df).toPandas().sort_values("vec_id")
+    u = embed_dedup.unit(x)
+    some = rng.permutation(n)[:3000]
+    dots = u[some] @ u.T
+    low, high = (dots >= 0.93 + 1e-12).sum(axis=1) - 1, (dots >= 0.93 - 1e-12).sum(axis=1) - 1
+    got = r.n_links.to_numpy()[some]
+    assert len(r) == n and high.sum() > 1_000_000 and ((low <= got) & (got <= high)).all()
+
+
+def test_cells_leave_no_link_out_and_skip_far_cells(spark):
+    """Tight clusters in many cells: exact counts and components."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, [float(v) for v in np.float32(base[i % 40] + 0.2 * rng.normal(size=16))], i % 2) for i in range(900)]
+    assert run(spark, rows, block=32) == brute(rows)
