@@ -19,6 +19,7 @@ from lodgeflow import schema
 from lodgeflow.operators import extract as EX
 from lodgeflow.operators import json_extract as JX
 from lodgeflow.operators import pages as PG
+from lodgeflow.operators.rank import global_rank
 from lodgeflow.session import checkpoint_dir
 
 PAGE_COLS = ["source", "search_city", "city_ord", "page_no"]
@@ -86,14 +87,25 @@ def candidates(pages: DataFrame, params: P.SearchParams = P.DEFAULT) -> DataFram
     return all_strategies(pages, params).checkpoint(eager=True)
 
 
-def order_key() -> F.Column:
-    """Crawl order as one number: source, search city, page, strategy, position."""
+def _order_columns() -> list[F.Column]:
+    """Crawl order: source, search city, page, strategy, position."""
     src_ord = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, (_, s, _, _) in enumerate(P.SOURCES)],
                          F.lit(7))
     strat = PG.strategy_rank(F.col("source"), F.col("strategy"))
-    return (F.shiftleft(src_ord.cast("bigint"), 56) + F.shiftleft(F.col("city_ord").cast("bigint"), 28)
-            + F.shiftleft(F.col("page_no").cast("bigint"), 18) + F.shiftleft(strat.cast("bigint"), 14)
-            + F.col("item_pos").cast("bigint"))
+    return [src_ord, F.col("city_ord"), F.col("page_no"), strat, F.col("item_pos")]
+
+
+def order_key() -> F.Column:
+    """Crawl order as one number, for rows that :func:`_fits` holds for."""
+    src_ord, city, page, strat, item = [c.cast("bigint") for c in _order_columns()]
+    return (F.shiftleft(src_ord, 56) + F.shiftleft(city, 28) + F.shiftleft(page, 18) + F.shiftleft(strat, 14) + item)
+
+
+def _fits() -> F.Column:
+    """Whether city, page and position fit into their bits of :func:`order_key`."""
+    fit = (F.col("city_ord").between(0, (1 << 28) - 1) & F.col("page_no").between(0, (1 << 10) - 1)
+           & F.col("item_pos").between(0, (1 << 14) - 1))
+    return F.coalesce(fit, F.lit(False))
 
 
 def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap: int | None = None,
@@ -107,10 +119,15 @@ def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap:
     if cap is not None:
         pages = PG.page_limit(pages, cap)
     pages = PG.error_policy(pages) if stop_at_errors else pages.where(F.col("error").isNull())
-    chosen = PG.choose_strategy(candidates(pages, params))
+    found = candidates(pages, params)
+    chosen = PG.choose_strategy(found)
     if stop_at_empty:
         chosen = PG.page_prefix(chosen, pages)
     market = F.col("source").isin(*MARKET)
     tagged = EX.tag_search_city(chosen.where(market), params.city).unionByName(chosen.where(~market))
-    out = tagged.withColumn("seq", order_key())
-    return schema.normalize(out)
+    # seq must be unique: where a field outgrows its bits, rows are numbered in the same order instead
+    if found.agg(F.every(_fits()).alias("fit")).first()["fit"] is False:
+        keys = [f"_o{i}" for i in range(5)]
+        numbered = global_rank(tagged.withColumns(dict(zip(keys, _order_columns()))), keys, "seq")
+        return schema.normalize(numbered.drop(*keys))
+    return schema.normalize(tagged.withColumn("seq", order_key()))

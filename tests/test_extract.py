@@ -170,3 +170,22 @@ def test_no_maximum_rent_means_no_upper_test(listings):
     from lodgeflow.operators import filters as FL
     df = listings(*(dict(seq=i, title=t, price=p) for i, (t, p) in enumerate([("a", 250000), ("b", 5), ("c", None)])))
     assert sorted(r.title for r in FL.rent_filter(df, 10).collect()) == ["a", "c"]
+
+
+def _fetched(spark, *rows):
+    from lodgeflow.schema import PAGE
+    return spark.createDataFrame([(s, "Charlotte", c, p, "", html, None, None) for s, c, p, html in rows], PAGE)
+
+
+def test_seq_is_unique_and_in_crawl_order_on_long_pages_and_late_pages(spark):
+    from lodgeflow.plans.extract_plan import extract_listings
+    card = "<article><a href='/x' href=\"/{0}\">Flat {0} in Charlotte, NC 28205</a></article>"
+    items = json.dumps([{"@type": "Apartment", "name": f"Home {i}", "url": f"/h{i}"} for i in range(20_000)])
+    pages = _fetched(spark, ("hud.gov", 0, 1, f'<script type="application/ld+json">{items}</script>' + card.format("a") + card.format("b")),
+                     ("craigslist", 0, 2000, card.format("late")), ("craigslist", 1, 976, card.format("next city")),
+                     ("craigslist", 0, 3, card.format("early")))
+    rows = extract_listings(pages).orderBy("seq").select("seq", "source", "title").collect()
+    assert len(rows) == 20_005 and len({r.seq for r in rows}) == len(rows)
+    assert [r.title.split(" in ")[0] for r in rows if r.source == "craigslist"] == ["Flat early", "Flat late", "Flat next city"]
+    hud = [r.title for r in rows if r.source == "hud.gov"]
+    assert hud[:20_000] == [f"Home {i}" for i in range(20_000)]
