@@ -10,6 +10,7 @@ the DOM text convention: tags removed, the five basic entities decoded.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +49,8 @@ CARD_FALLBACK_RE = "|".join(
     rf'(?s)<{t}\b[^>]*class="[^"]*(?:listing|result|property|placard|card)[^"]*"[^>]*>.*?</{t}>'
     for t in ("div", "li", "tr"))
 CONTAINER_TAGS = ("div", "tr", "li", "article", "section")
+CONTAINER_WORDS_RE = r"(?i)(?:bed|br|studio|apartment|housing)"
+STATE_RE = r"(?i)(?:nc|north carolina)"
 ANCHOR_RE = r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 TEL_PREFIX = "tel:"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -216,22 +219,39 @@ def cards(pages: DataFrame, keys=("page_key",), card_re: str = CARD_RE,
 
 
 def container_fallback(pages: DataFrame, keys=("page_key",), min_len: int = 30, inclusive: bool = False,
-                       need_price: bool = True) -> DataFrame:
+                       need_price: bool = True, words: str = CONTAINER_WORDS_RE, tags=CONTAINER_TAGS,
+                       also: str | None = None) -> DataFrame:
     """Containers whose text is long enough and looks like a listing, for pages without cards.
 
     A container is the text from an opening tag to the first closing tag of the
-    same name (innermost-first reading of nested markup).
+    same name (innermost-first reading of nested markup). ``also`` is a further
+    pattern that the text must hold.
     """
     arrays = [F.regexp_extract_all(F.col("html"), F.lit(rf"(?s)<{t}\b[^>]*>.*?</{t}>"), F.lit(0))
-              for t in CONTAINER_TAGS]
+              for t in tags]
     conts = pages.select(*keys, F.posexplode(F.concat(*arrays)).alias("pos", "card"))
     t = text_of(F.col("card"))
     n = F.length(py_strip(t))
     gate = (n >= min_len) if inclusive else (n > min_len)
-    kw = t.rlike(r"(?i)(?:bed|br|studio|apartment|housing)")
     if need_price:
         gate = gate & t.rlike(r"\$\d+")
-    return conts.where(gate & kw)
+    if also:
+        gate = gate & t.rlike(also)
+    return conts.where(gate & t.rlike(words))
+
+
+# FIXED VALUES: what counts as a container of a page without cards, per source.
+CONTAINER_RULES = {
+    "nchousingsearch.org": dict(tags=("div", "tr", "li", "article"), inclusive=True),
+    "affordablehousing.com": dict(tags=("div", "section"), need_price=False, words=r"(?i)(?:apartment|housing)", also=STATE_RE),
+    "gosection8.com": dict(tags=("div", "tr", "li"), words=r"(?i)(?:bed|br|studio|section)"),
+}
+
+
+def source_containers(pages: DataFrame, keys) -> DataFrame:
+    """The containers of each source's pages by its own rule; other sources have none."""
+    parts = [container_fallback(pages.where(F.col("source") == s), keys, **rule) for s, rule in CONTAINER_RULES.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def card_gate(df: DataFrame, kind: str = "housing") -> DataFrame:

@@ -35,6 +35,7 @@ SELF_NAME_KEYS = ("listingName", "propertyName", "name", "title")      # apartme
 SELF_DATA_KEYS = ("rent", "price", "address", "location")
 JSONLD_RE = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 SCRIPT_RE = r"(?is)<script([^>]*)>(.*?)</script>"
+PLACARDS_RE = r'(?s)"placards?"\s*:\s*(\[.+?\])'
 WINDOW_RE = r"(?s)(?:window\.__\w+__|window\.\w+Data)\s*=\s*(\{.+?\});"
 # ---------------------------------------------------------------------------
 
@@ -206,7 +207,11 @@ def jsonld_housing_type(source: Column, senior_hint: Column, senior_page: Column
 # ------------------------------------------------------------------ script data
 
 def script_blocks(pages: DataFrame, keys, min_len: int = 0) -> DataFrame:
-    """Script JSON: __NEXT_DATA__ / application/json scripts and window.X = {...}; assignments."""
+    """Script JSON: __NEXT_DATA__ / application/json scripts and window.X = {...}; assignments.
+
+    For apartments.com also each placards array found in the text of any script, as an
+    object of that one key; they come first, so their script numbers are negative.
+    """
     scripts = pages.select(*keys, F.posexplode(F.arrays_zip(
         F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(1)).alias("attrs"),
         F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(2)).alias("body"))).alias("script_no", "s"))
@@ -217,7 +222,14 @@ def script_blocks(pages: DataFrame, keys, min_len: int = 0) -> DataFrame:
     assigned = scripts.where(~is_data & (F.length(body) >= min_len)).select(
         *keys, "script_no", F.posexplode(F.regexp_extract_all(body, F.lit(WINDOW_RE), F.lit(1))).alias("part", "raw")) \
         .select(*keys, "script_no", (F.col("part") + 1).alias("part"), F.try_parse_json("raw").alias("v"))
-    return whole.unionByName(assigned).where(F.col("v").isNotNull())
+    bodies = F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(2))
+    placards = pages.where(F.col("source") == "apartments.com") \
+        .select(*keys, F.size(bodies).alias("n"), F.posexplode(bodies).alias("script_no", "body")) \
+        .where(F.length("body") >= min_len) \
+        .select(*keys, (F.col("script_no") - F.col("n")).alias("script_no"),
+                F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(PLACARDS_RE), F.lit(1))).alias("part", "raw")) \
+        .select(*keys, "script_no", "part", F.try_parse_json(F.concat(F.lit('{"placards":'), F.col("raw"), F.lit("}"))).alias("v"))
+    return whole.unionByName(assigned).unionByName(placards).where(F.col("v").isNotNull())
 
 
 def _step(anc: Column, keyed: bool | Column) -> Column:

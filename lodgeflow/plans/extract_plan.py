@@ -24,14 +24,13 @@ from lodgeflow.session import checkpoint_dir
 
 PAGE_COLS = ["source", "search_city", "city_ord", "page_no"]
 MARKET = ("apartments.com", "zillow", "rent.com")
-CONTAINER_SOURCES = ("nchousingsearch.org", "affordablehousing.com", "gosection8.com")
 
 
 def html_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
     """Card listings; pages of card-less sources fall back to plausible containers."""
     cards = EX.cards(pages, PAGE_COLS)
-    bare = pages.where(F.col("source").isin(*CONTAINER_SOURCES) & ~EX.has_cards())
-    conts = EX.container_fallback(bare, PAGE_COLS)
+    bare = pages.where(F.col("source").isin(*EX.CONTAINER_RULES) & ~EX.has_cards())
+    conts = EX.source_containers(bare, PAGE_COLS)
     hud = F.col("source") == "hud.gov"
     all_cards = cards.unionByName(conts).where(~hud | EX.state_gate(EX.text_of(F.col("card"))))
     out = EX.html_listings(all_cards, params.city, params.state)

@@ -189,3 +189,30 @@ def test_seq_is_unique_and_in_crawl_order_on_long_pages_and_late_pages(spark):
     assert [r.title.split(" in ")[0] for r in rows if r.source == "craigslist"] == ["Flat early", "Flat late", "Flat next city"]
     hud = [r.title for r in rows if r.source == "hud.gov"]
     assert hud[:20_000] == [f"Home {i}" for i in range(20_000)]
+
+
+def test_containers_of_each_source_follow_its_own_rule(spark):
+    from lodgeflow.plans.extract_plan import html_strategy
+    from lodgeflow.params import DEFAULT
+    link = '<a href="/{0}">{1}</a>'
+    exact = "Studio flat for $700 per month"
+    assert len(exact) == 30
+    body = ("<div>" + link.format("no-price", "Quiet senior apartment homes in Concord, NC") + "</div>"
+            "<li>" + link.format("section", "Section eight voucher home for $900") + "</li>"
+            "<tr>" + link.format("exact", exact) + "</tr>"
+            "<section>" + link.format("part", "Housing for families at $800 in North Carolina") + "</section>")
+    pages = _fetched(spark, *[(s, 0, 1, body) for s in EX.CONTAINER_RULES])
+    got = {(r.source, r.url.rsplit("/", 1)[1]) for r in html_strategy(pages, DEFAULT).collect()}
+    assert got == {("affordablehousing.com", "no-price"), ("affordablehousing.com", "part"),
+                   ("gosection8.com", "section"), ("nchousingsearch.org", "exact")}
+
+
+def test_placards_arrays_in_any_script_are_found(spark):
+    from lodgeflow.plans.extract_plan import script_strategy
+    from lodgeflow.params import DEFAULT
+    body = ('<script>var a = 1;</script><script>load({ "placards" : [{"title":"Elm Court","url":"/elm"},{"name":"Oak"}] });'
+            'load({"placard":[{"name":"Pine"}]});</script>')
+    data = '<script type="application/json">{"listings":[{"name":"Data"}]}</script>'
+    pages = _fetched(spark, ("apartments.com", 0, 1, data + body), ("zillow", 0, 1, body))
+    rows = script_strategy(pages, DEFAULT).orderBy("item_pos").collect()
+    assert [(r.source, r.title) for r in rows] == [("apartments.com", t) for t in ("Elm Court", "Oak", "Pine", "Data")]
