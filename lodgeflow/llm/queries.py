@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodgeflow.llm.audit import divergence
 from lodgeflow.llm.chat import format_chats, loss_text, parse
-from lodgeflow.llm.common import SPACE_RE, UPPER, read_table
+from lodgeflow.llm.common import SPACE_RE, SPACES, UPPER, read_table
 from lodgeflow.llm.decontam import BREAK_RE, decontaminate
 from lodgeflow.llm.embed_dedup import near_vectors
+from lodgeflow.llm.extract_text import extract_text
 from lodgeflow.llm.line_dedup import dedup_lines
 from lodgeflow.llm.lm import lm_score
 from lodgeflow.llm.mixing import curriculum
+from lodgeflow.llm.periods import periodic_runs
 from lodgeflow.llm.quality import judge
 from lodgeflow.llm.simhash import simhash_components
 from lodgeflow.llm.substring import dedup_substrings
@@ -26,6 +28,11 @@ _LOW = f"'{UPPER}', '{UPPER.lower()}'"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+def _div(a, b):
+    """Whole-number division."""
+    return F.call_function("div", a, b)
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -231,6 +238,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)"""
 
 
+@_query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    done = extract_text(read_table(spark, sf_dir, "pages"), keep=("url",))
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+SQL["op11_html_extraction"] = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS body FROM a),
+c AS (SELECT page_id, url, regexp_replace(replace(body, '&quot;', '"'), '&amp;?', '&', 'g') AS body FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(body, '[\x09-\x0D ]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+
 @_query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ, and by which terms, over all documents."""
@@ -267,3 +289,24 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
   FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, after a tenth of them (by crc32 of the id) got a periodic tail."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), _div(h, F.lit(10)).alias("g"))
+    body = F.btrim("text", F.lit(SPACES))
+    docs = docs.withColumn("w", F.when((F.col("h") % 10 == 0) & (F.octet_length(body) > 0), F.split(body, SPACE_RE)))
+    docs = docs.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rest = F.col("n") - F.col("a")
+    docs = docs.withColumn("p", (F.lit(1) + _div(rest, F.lit(3) + F.col("g") % 8)).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    docs = docs.select("doc_id", F.when(F.col("w").isNotNull(), F.array_join(F.concat(
+        F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), rest)), " ")).otherwise(F.col("text")).alias("text"))
+    done = periodic_runs(docs, power=3, least=24)
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best,
+                       _div(F.col("best.length") * 1000, F.col("best.period")).alias("exponent_milli"),
+                       F.sha2(said, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
