@@ -1,17 +1,14 @@
-"""HTML extraction: pages -> cards -> listing fields.
+"""HTML extraction: cards -> listing fields.
 
-Per-site parsers are re-aimed as one rule-driven job.  A page row is split
-into cards with ``regexp_extract_all`` + ``posexplode`` (narrow: no shuffle);
-each field is a regex column function; per-source differences are rows of
-``HTML_RULES`` turned into CASE branches on ``source``.  Card text follows
-the DOM text convention: tags removed, the five basic entities decoded.
+The cards of listing pages and the texts of their fields come from
+:mod:`lodgeflow.operators.markup`; here each field is a column function over
+them, with the sources' differences as branches on ``source``.  For pages of no
+known source, ``cards`` splits a page by patterns (narrow: no shuffle); their
+text has tags removed and the five basic entities decoded.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +50,7 @@ CONTAINER_WORDS_RE = r"(?i)(?:bed|br|studio|apartment|housing)"
 STATE_RE = r"(?i)(?:nc|north carolina)"
 ANCHOR_RE = r"(?s)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
 TEL_PREFIX = "tel:"
+SCHEME_RE = "^[A-Za-z][A-Za-z0-9+.-]*:"
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 # ---------------------------------------------------------------------------
 
@@ -188,10 +186,9 @@ def state_gate(text) -> Column:
 
 
 def absolute_url(href, base) -> Column:
-    """Relative links joined to the source base url; absolute ones kept; '' stays ''."""
+    """Relative links joined to the site's url; those with a scheme, fragments and '' kept as they are."""
     h = col(href)
-    return (F.when(h == "", F.lit(""))
-            .when(h.startswith("http"), h)
+    return (F.when((h == "") | h.startswith("#") | h.rlike(SCHEME_RE), h)
             .otherwise(F.concat(col(base), F.lit("/"), F.ltrim(h, F.lit("/")))))
 
 
@@ -201,12 +198,6 @@ def origin(url) -> Column:
 
 # ------------------------------------------------------------------ frame operators
 
-def has_cards(card_re: str = CARD_RE, fallback_re: str | None = CARD_FALLBACK_RE) -> Column:
-    """Whether :func:`cards` finds any in the page, told in the row."""
-    html = F.col("html")
-    return html.rlike(card_re) | (html.rlike(fallback_re) if fallback_re else F.lit(False))
-
-
 def cards(pages: DataFrame, keys=("page_key",), card_re: str = CARD_RE,
           fallback_re: str | None = CARD_FALLBACK_RE) -> DataFrame:
     """One row per card: (keys..., pos, card).  Fallback patterns only where the main ones found none."""
@@ -240,20 +231,6 @@ def container_fallback(pages: DataFrame, keys=("page_key",), min_len: int = 30,
     return conts.where(gate & t.rlike(words))
 
 
-# FIXED VALUES: what counts as a container of a page without cards, per source.
-CONTAINER_RULES = {
-    "nchousingsearch.org": dict(tags=("div", "tr", "li", "article"), inclusive=True),
-    "affordablehousing.com": dict(tags=("div", "section"), need_price=False, words=r"(?i)(?:apartment|housing)", also=STATE_RE),
-    "gosection8.com": dict(tags=("div", "tr", "li"), words=r"(?i)(?:bed|br|studio|section)"),
-}
-
-
-def source_containers(pages: DataFrame, keys) -> DataFrame:
-    """The containers of each source's pages by its own rule; other sources have none."""
-    parts = [container_fallback(pages.where(F.col("source") == s), keys, **rule) for s, rule in CONTAINER_RULES.items()]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def card_gate(df: DataFrame, kind: str = "housing") -> DataFrame:
     t = text_of(F.col("card"))
     return df.where(housing_gate(t) if kind == "housing" else state_gate(t))
@@ -269,155 +246,106 @@ def links(pages: DataFrame, keys=("page_id",), base: Column | None = None) -> Da
                       py_strip(text_of(F.col("a.inner"))).alias("text"))
 
 
-@dataclass(frozen=True)
-class HtmlRule:
-    """How one source reads a listing card."""
-
-    source: str
-    default_type: str
-    price: tuple           # ("min", lo, hi, lo_inclusive) | ("first",) | ("min_all",)
-    price_elem: bool       # read price from the price element when present
-    income: str | None     # income-based pattern, or None
-    beds: str | None       # key of BEDS_RE, or None
-    beds_elem: bool
-    baths: str | None
-    sqft: str | None
-    csz: str               # "nc" (City, NC 12345) | "split" (rsplit address) | "default"
-    address: str           # "element" | "street" | "hood"
-    enrich: bool           # fill-only-if-missing pass over the card text
-    date: bool
-    amenities: bool = False
-
-
-# FIXED VALUES: per-source card rules (one row per source).
-HTML_RULES = (
-    HtmlRule("nchousingsearch.org", "subsidized", ("min", 0, 2000, False), True, INCOME_OR_CALL_RE,
-             "bed_br", False, "bath_ba_word", None, "nc", "element", False, False, True),
-    HtmlRule("hud.gov", "subsidized", ("min", 0, 2000, False), False, None,
-             None, False, None, None, "nc", "street", False, False),
-    HtmlRule("affordablehousing.com", "subsidized", ("min", 0, 2000, False), False, INCOME_RE,
-             "bed_br", False, None, None, "nc", "element", False, False),
-    HtmlRule("gosection8.com", "section8", ("min", 0, 2000, False), True, None,
-             "bed_br_bd_gs8", False, "bath_ba", "sqft_sf", "nc", "element", False, True),
-    HtmlRule("apartments.com", "market", ("min_all",), True, None,
-             "bed_br_bd", True, "number", "sqft", "split", "element", True, True),
-    HtmlRule("craigslist", "market", ("first",), True, None,
-             "br_only", True, None, "ft", "default", "hood", True, True),
-    HtmlRule("zillow", "market", ("first",), True, None,
-             "bed_br_bd", True, "number", None, "default", "element", True, True),
-    HtmlRule("rent.com", "market", ("first",), True, None,
-             "bed_br_bd", True, "number", None, "default", "element", True, True),
-)
-
-
-def _by_source(exprs: dict, default: Column) -> Column:
-    out = None
-    for src, e in exprs.items():
-        out = F.when(F.col("source") == src, e) if out is None else out.when(F.col("source") == src, e)
-    return default if out is None else out.otherwise(default)
-
-
-def _rule_price(rule: HtmlRule, text: Column, elem: Column) -> Column:
-    src = F.when(elem != "", elem).otherwise(text) if rule.price_elem else text
-    kind = rule.price[0]
-    if kind == "first":
-        p = price_first(elem)                      # the first amount of the price element only
-    elif kind == "min_all":
-        p = price_min(elem)                        # smallest amount of the price element
-    else:
-        _, lo, hi, inc = rule.price
-        p = price_min(src, lo, hi, inc)
-    if rule.income:
-        p = income_based(p, text, rule.income)
-    if rule.enrich:
-        p = F.coalesce(p, F.col("_enrich_price"))
-    return p
-
-
-# Parts of a card read by several rules: computed once per card as columns.
-_STAGED = {
-    "_t": lambda card: text_of(card),
-    "_el_price": lambda card: element_text(card, "span", "price"),
-    "_el_beds": lambda card: element_text(card, "span", "beds"),
-    "_el_baths": lambda card: element_text(card, "span", "baths"),
-    "_el_sqft": lambda card: element_text(card, "span", "sqft"),
-    "_el_addr": lambda card: element_text(card, "div", "address"),
-    "_el_hood": lambda card: element_text(card, "span", "hood"),
-    "_tel": lambda card: F.regexp_extract(card, r'href="(tel:[^"]*)"', 1),
-    "_href": lambda card: F.regexp_extract(card, r'(?s)<a\s[^>]*?href="([^"]*)"', 1),
-    "_link_text": lambda card: py_strip(text_of(F.regexp_extract(card, r"(?s)<a\s[^>]*>(.*?)</a>", 1))),
-    "_datetime": lambda card: F.regexp_extract(card, r'datetime="([^"]*)"', 1),
+# FIXED VALUES: housing type of each source's listings before keywords, and how its links join its base url.
+DEFAULT_TYPES = {
+    "nchousingsearch.org": "subsidized", "hud.gov": "subsidized", "affordablehousing.com": "subsidized", "gosection8.com": "section8",
+    "apartments.com": "market", "craigslist": "market", "zillow": "market", "rent.com": "market",
 }
+JOINS_ALL_LINKS = ("nchousingsearch.org", "hud.gov", "affordablehousing.com", "gosection8.com")   # others: those that begin with / only
+NO_LINKS_RE = r"^(?:#|javascript)"                                                                # nchousingsearch.org, links besides the title
 
 
-def html_listings(cards_df: DataFrame, default_city: str, default_state: str) -> DataFrame:
-    """Listing rows from cards (needs ``source`` and ``card`` columns) by the per-source rules."""
-    card = F.col("card")
-    staged = cards_df.withColumns({k: f(card) for k, f in _STAGED.items()})
-    text = F.col("_t")
-    src = F.col("source")
-
-    def only(pred, expr):
-        # evaluate a shared part only on the rows of the sources that read it
-        users = [r.source for r in HTML_RULES if pred(r)]
-        return F.when(src.isin(*users), expr)
-    staged = staged.withColumns({
-        "_enrich_price": only(lambda r: r.enrich, price_min(text, 50, 3000, True)),
-        "_enrich_beds": only(lambda r: r.enrich, bedrooms(text)),
-        "_enrich_baths": only(lambda r: r.enrich, bathrooms(text)),
-        "_posted": only(lambda r: r.date, posted(text)),
-        "_phone": only(lambda r: r.source not in ("apartments.com", "zillow", "rent.com"), phone(text)),
-        "_csz": only(lambda r: r.csz == "nc", city_state_zip(text, default_city, default_state)),
-        "_street": only(lambda r: r.address == "street", street(text)),
-        "_split": only(lambda r: r.csz == "split", split_address(F.col("_el_addr"), default_city)),
+def link_url(href, source: Column) -> Column:
+    """A listing's link as its source reads it: joined to the base url, or left as it is; '' and null give ''."""
+    h = F.coalesce(col(href), F.lit(""))
+    base = F.coalesce(*[F.when(source == s, F.lit(b)) for _, s, _, b in P.SOURCES], F.lit(""))
+    slash = h.startswith("/")
+    joined = (F.when(source == "gosection8.com", F.when(slash, F.concat(base, h)).otherwise(F.concat(base, F.lit("/"), h)))
+              .otherwise(F.concat(base, F.lit("/"), F.ltrim(h, F.lit("/")))))
+    return (F.when((h == "") | h.startswith("http"), h)
+            .when(source.isin(*JOINS_ALL_LINKS), joined)
+            .otherwise(F.when(slash, F.concat(base, h)).otherwise(h)))
+
+
+def _last_detail(kind, value) -> Column:
+    """The last value among the detail texts of one kind that give one."""
+    found = F.filter(F.transform("_details", lambda d: F.when(kind(d), value(d))), lambda v: v.isNotNull())
+    return F.try_element_at(found, F.lit(-1))
+
+
+def html_listings(cards_df: DataFrame, city: str, state: str) -> DataFrame:
+    """Listing rows from card fragments (source, kind, text, parts, details): see markup.fragments.
+
+    Sources that read a field alike share a branch; the branches of one field are
+    told by lists of sources.
+    """
+    src, text = F.col("source"), F.col("text")
+    part = lambda k: F.col("parts").getItem(k)
+    some = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c], F.lit(""))
+    nch, hud, aff, gs8, apts, cl = "nchousingsearch.org", "hud.gov", "affordablehousing.com", "gosection8.com", "apartments.com", "craigslist"
+    listed = src.isin("zillow", "rent.com")
+    market = src.isin(apts, cl, "zillow", "rent.com")
+    df = cards_df.withColumns({
+        "_details": F.transform(F.coalesce("details", F.array().cast("array<string>")), lambda d: F.lower(d)),
+        "_el": F.coalesce(part("price"), F.lit("")),
+        "_meta": F.coalesce(part("housing"), part("meta"), F.lit("")),
+        "_link_ok": (src != nch) | ~F.coalesce(part("link_href"), F.lit("")).rlike(NO_LINKS_RE),
+    })
+    df = df.withColumns({
+        "_title_url": F.when(src.isin(nch, cl), link_url(part("title_href"), src)).otherwise(F.lit("")),
+        "_link_url": F.when(F.col("_link_ok"), link_url(part("link_href"), src)).otherwise(F.lit("")),
+        "_amount": F.when(src.isin(cl, "zillow", "rent.com"), price_first("_el")).when(src == apts, price_min("_el"))
+        .otherwise(price_min(F.when(src.isin(nch, gs8) & part("price").isNotNull(), part("price")).otherwise(text), 0, 2000, False)),
+        "_csz": F.when(~market, city_state_zip(text, city, state)),
+        "_split": F.when(src == apts, split_address(F.coalesce(part("address"), F.lit("")), city)),
+        "_posted": F.when(market | (src == gs8), posted(text)).otherwise(F.lit("")),
+        "_hood": F.btrim(F.coalesce(part("hood"), F.lit("")), F.lit("() ")),
     })
-    base = _by_source({s: F.lit(b) for _, s, _, b in P.SOURCES}, F.lit(""))
-    csz, sp = F.col("_csz"), F.col("_split")
-    fields = {"price": {}, "bedrooms": {}, "bathrooms": {}, "sqft": {}, "address": {}, "city": {}, "state": {},
-              "zip_code": {}, "phone": {}, "date_posted": {}, "neighborhood": {}, "amenities": {}}
-    for r in HTML_RULES:
-        fields["price"][r.source] = _rule_price(r, text, F.col("_el_price"))
-        beds_src = F.col("_el_beds") if r.beds_elem else text
-        b = bedrooms(beds_src, BEDS_RE[r.beds], studio_first=(r.source == "apartments.com")) if r.beds else F.lit("")
-        if r.enrich:
-            b = F.coalesce(F.nullif(b, F.lit("")), F.nullif(F.col("_enrich_beds"), F.lit("")), F.lit(""))
-        fields["bedrooms"][r.source] = b
-        elem_baths = r.source in ("apartments.com", "zillow", "rent.com")
-        ba = bathrooms(F.col("_el_baths") if elem_baths else text, BATHS_RE[r.baths]) if r.baths \
-            else F.lit(None).cast("double")
-        if r.enrich:
-            ba = F.coalesce(ba, F.col("_enrich_baths"))
-        fields["bathrooms"][r.source] = ba
-        fields["sqft"][r.source] = sqft(F.col("_el_sqft") if r.source != "gosection8.com" else text,
-                                        SQFT_RE[r.sqft]) if r.sqft else F.lit(None).cast("bigint")
-        fields["address"][r.source] = {"element": F.col("_el_addr"), "street": F.col("_street"),
-                                       "hood": F.col("_el_hood")}[r.address]
-        fields["neighborhood"][r.source] = F.col("_el_hood") if r.address == "hood" else F.lit("")
-        if r.csz == "nc":
-            c, s_, z = csz["city"], csz["state"], csz["zip_code"]
-        elif r.csz == "split":
-            c = F.coalesce(F.nullif(sp["city"], F.lit("")), F.lit(default_city))
-            s_ = F.coalesce(F.nullif(sp["state"], F.lit("")), F.lit(default_state))
-            z = sp["zip_code"]
-        else:
-            c, s_, z = F.lit(default_city), F.lit(default_state), F.lit("")
-        fields["city"][r.source], fields["state"][r.source], fields["zip_code"][r.source] = c, s_, z
-        fields["phone"][r.source] = phone(text, F.col("_tel")) if r.source in ("apartments.com", "zillow", "rent.com") \
-            else F.col("_phone")
-        d = F.col("_posted") if r.date else F.lit("")
-        if r.source == "craigslist":
-            d = F.coalesce(F.nullif(F.col("_datetime"), F.lit("")), F.col("_posted"))
-        fields["date_posted"][r.source] = d
-        fields["amenities"][r.source] = amenities(text) if r.amenities else F.lit("")
-    default_type = _by_source({r.source: F.lit(r.default_type) for r in HTML_RULES}, F.lit(P.TYPE_MARKET))
-    out = staged.select(
-        *cards_df.columns,
-        F.col("_link_text").alias("title"),
-        F.when(F.col("_href") != "", absolute_url(F.col("_href"), base)).otherwise(F.lit("")).alias("url"),
-        *[_by_source(v, F.lit(None)).alias(k) for k, v in fields.items()],
-        senior_type(text, F.col("source"), default_type).alias("housing_type"),
-    )
-    return out
+    is_bed = lambda d: contains_any(d, ("bed", "br")) | ((src == "zillow") & d.contains("bd"))
+    is_bath = lambda d: ~is_bed(d) & d.contains("ba")
+    is_area = lambda d: ~is_bed(d) & ~d.contains("ba") & F.when(
+        src == "zillow", contains_any(d, ("sqft", "sq ft"))).otherwise(contains_any(d, ("sq", "ft")))
+    number = lambda d, p: F.nullif(F.regexp_extract(d, p, 0), F.lit(""))
+    link_title = F.when(F.col("_link_ok") & (F.coalesce(part("link_href"), F.lit("")) != ""), part("link"))
+    title = (F.when(src.isin(aff, gs8), some(part("link"), part("title")))
+             .when(listed, some(part("link")))
+             .when(src == cl, some(part("title")))
+             .when((src == nch) & (F.col("_title_url") != ""), some(part("title")))
+             .otherwise(some(part("title"), link_title)))
+    beds = (F.when(src == apts, bedrooms(F.coalesce(part("beds"), F.lit("")), BEDS_RE["bed_br_bd"], studio_first=True))
+            .when(src == cl, bedrooms("_meta", BEDS_RE["br_only"]))
+            .when(listed, F.coalesce(_last_detail(is_bed, lambda d: F.coalesce(number(d, r"\d+"), F.when(d.contains("studio"), F.lit("Studio")))), F.lit("")))
+            .when(src == hud, F.lit("")).when(src == gs8, bedrooms(text, BEDS_RE["bed_br_bd_gs8"])).otherwise(bedrooms(text, BEDS_RE["bed_br"])))
+    baths = (F.when(src == nch, bathrooms(text)).when(src == gs8, bathrooms(text, BATHS_RE["bath_ba"]))
+             .when(src == apts, bathrooms(F.coalesce(part("baths"), F.lit("")), BATHS_RE["number"]))
+             .when(listed, _last_detail(is_bath, lambda d: number(d, r"[\d.]+")).try_cast("double")))
+    area = (F.when(src == apts, sqft(F.coalesce(part("sqft"), F.lit("")), SQFT_RE["sqft"])).when(src == cl, sqft("_meta", SQFT_RE["ft"]))
+            .when(src == gs8, sqft(text, SQFT_RE["sqft_sf"]))
+            .when(listed, F.replace(_last_detail(is_area, lambda d: number(d, r"[\d,]+")), F.lit(","), F.lit("")).try_cast("bigint")))
+    amount = F.col("_amount")
+    price = (F.when(src == nch, income_based(amount, text, INCOME_OR_CALL_RE)).when(src == aff, income_based(amount, text, INCOME_RE))
+             .when(market, F.coalesce(amount, price_min(text, 50, 3000, True))).otherwise(amount))
+    tel = F.when(F.coalesce(part("phone_href"), F.lit("")).startswith(TEL_PREFIX), part("phone_href"))
+    by_element = src.isin(apts, "zillow", "rent.com")
+    called = F.when(by_element & tel.isNotNull(), py_strip(F.replace(tel, F.lit(TEL_PREFIX), F.lit("")))) \
+        .when(by_element & part("phone").isNotNull(), phone(part("phone"))).otherwise(F.lit(""))
+    csz, sp, plain = F.col("_csz"), F.col("_split"), src.isin(cl, "zillow", "rent.com")
+    kind_type = F.when((src == aff) & (F.col("kind") == "senior"), F.lit(P.TYPE_SENIOR)).otherwise(
+        F.coalesce(*[F.when(src == s, F.lit(t)) for s, t in DEFAULT_TYPES.items()], F.lit(P.TYPE_MARKET)))
+    return df.select(
+        *cards_df.columns, title.alias("title"),
+        F.when(src.isin(nch, cl) & (F.col("_title_url") != ""), F.col("_title_url")).when(src == cl, F.lit("")).otherwise(F.col("_link_url")).alias("url"),
+        price.alias("price"), F.when(market, some(beds, bedrooms(text))).otherwise(beds).alias("bedrooms"),
+        F.when(market, F.coalesce(baths, bathrooms(text))).otherwise(baths).alias("bathrooms"), area.alias("sqft"),
+        F.when(src == hud, street(text)).when(src == cl, F.col("_hood")).otherwise(F.coalesce(part("address"), F.lit(""))).alias("address"),
+        F.when(plain, F.lit(city)).when(src == apts, some(sp["city"], F.lit(city))).otherwise(csz["city"]).alias("city"),
+        F.when(plain, F.lit(state)).when(src == apts, some(sp["state"], F.lit(state))).otherwise(csz["state"]).alias("state"),
+        F.when(plain, F.lit("")).when(src == apts, sp["zip_code"]).otherwise(csz["zip_code"]).alias("zip_code"),
+        some(called, phone(text)).alias("phone"),
+        F.when(src == cl, some(part("date"), F.col("_posted"))).otherwise(F.col("_posted")).alias("date_posted"),
+        F.when(src == cl, F.col("_hood")).otherwise(F.lit("")).alias("neighborhood"),
+        F.when(src == nch, amenities(text)).otherwise(F.lit("")).alias("amenities"),
+        F.when((src == hud) & (F.col("kind") == "search"), F.lit(P.TYPE_SUBSIDIZED)).otherwise(senior_type(text, src, kind_type)).alias("housing_type"))
 
 
 def admit(df: DataFrame) -> DataFrame:

@@ -1,42 +1,55 @@
 """Embedded JSON: JSON-LD objects and script data, as VARIANT columns.
 
-Blocks are pulled out of the page with ``regexp_extract_all``, parsed with
-``try_parse_json`` (bad JSON becomes null and is skipped) and flattened
-with ``explode`` over ``array<variant>`` / ``map<string,variant>`` views.
-Listing objects inside script data are found by a level-wise walk: one
-narrow explode per nesting level, then a relational pruning step.
+The scripts come from the one pass over a page (:mod:`lodgeflow.operators.markup`),
+which also finds the listing objects inside data scripts.  Here they are parsed
+with ``try_parse_json`` (bad JSON becomes null and is skipped), flattened with
+``explode`` over ``array<variant>`` views and mapped to listing fields.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
 from lodgeflow.functions.text import col, contains_any
-from lodgeflow.session import checkpoint_dir
+from lodgeflow.operators.markup import fragments, walk_blocks
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: where listing objects hide in script data, per source family
+# FIXED VALUES: other names of one member, in the order they are tried
 # ---------------------------------------------------------------------------
-WALK_KNOWN_KEYS = {
-    "apartments.com": ("listings", "properties", "searchResults", "results", "placards", "listResults"),
-    "zillow": ("listResults", "searchResults", "cat1", "results", "mapResults", "relaxedResults"),
-    "rent.com": ("listings", "properties", "searchResults", "results"),
+JSONLD = {
+    "title": ("name", "headline"), "url": ("url", "@id"), "offers": ("offers",), "address": ("address",),
+    "beds": ("numberOfBedrooms", "numberOfRooms"), "baths": ("numberOfBathroomsTotal", "numberOfFullBathrooms"), "area": ("floorSize",),
+    "phone": ("telephone", "phone"), "name": ("name",), "text": ("description",),
+    "price": ("price",), "price_range": ("priceRange",), "low_price": ("lowPrice",),
+}
+JSONLD_OFFER = {"price": ("price", "lowPrice"), "url": ("url",)}
+JSONLD_ADDRESS = {"street": ("streetAddress",), "city": ("addressLocality",), "state": ("addressRegion",), "zip": ("postalCode",)}
+APARTMENTS = {
+    "title": ("propertyName", "listingName", "name", "title"), "url": ("listingUrl", "url", "detailUrl", "link"),
+    "rent": ("rent", "pricing"), "price": ("price", "rentRange"), "beds": ("bedrooms", "beds"), "baths": ("bathrooms", "baths"),
+    "address": ("address", "location"), "phone": ("phone", "phoneNumber", "contactPhone"),
 }
-WALK_MARKER_KEYS = {
-    "apartments.com": ("rent", "price", "propertyName", "listingName", "name"),
-    "zillow": ("zpid", "price", "address", "detailUrl"),
-    "rent.com": ("rent", "price", "propertyName", "listingUrl", "name"),
+APARTMENTS_RENT = {"amount": ("min", "low", "max")}
+APARTMENTS_ROOMS = {"least": ("min", "low")}
+APARTMENTS_ADDRESS = {"street": ("streetAddress", "street", "line1"), "city": ("city", "addressLocality"), "state": ("state", "addressRegion"),
+                      "zip": ("zip", "postalCode", "zipCode")}
+ZILLOW = {
+    "title": ("statusText", "title", "buildingName"), "url": ("detailUrl", "url"), "price": ("price", "unformattedPrice", "rentZestimate"),
+    "beds": ("beds", "bedrooms"), "baths": ("baths", "bathrooms"), "area": ("area", "livingArea"), "address": ("address",),
+    "street": ("addressStreet", "streetAddress"), "city": ("addressCity", "city"), "state": ("addressState", "state"),
+    "zip": ("addressZipcode", "zipcode"), "phone": ("phone", "phoneNumber", "contactPhone"), "date": ("datePosted", "listingDateTimeOnMarket"),
 }
-SELF_NAME_KEYS = ("listingName", "propertyName", "name", "title")      # apartments.com only
-SELF_DATA_KEYS = ("rent", "price", "address", "location")
-JSONLD_RE = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
-SCRIPT_RE = r"(?is)<script([^>]*)>(.*?)</script>"
-PLACARDS_RE = r'(?s)"placards?"\s*:\s*(\[.+?\])'
-WINDOW_RE = r"(?s)(?:window\.__\w+__|window\.\w+Data)\s*=\s*(\{.+?\});"
+ZILLOW_ADDRESS = {"street": ("streetAddress",), "city": ("city",), "state": ("state",), "zip": ("zipcode", "zip")}
+ZILLOW_HOME = ("price", "rentZestimate", "zestimate")
+RENT = {
+    "title": ("propertyName", "name", "title"), "url": ("listingUrl", "url", "detailUrl"), "rent": ("rent",), "price": ("price", "rent"),
+    "beds": ("bedrooms", "beds"), "baths": ("bathrooms", "baths"), "area": ("squareFeet", "sqft", "area"), "address": ("address",),
+    "pets": ("petPolicy", "pets"), "phone": ("phone", "phoneNumber"),
+}
+RENT_RENT = {"amount": ("min", "max")}
+RENT_ADDRESS = {"street": ("streetAddress", "line1"), "city": ("city",), "state": ("state",), "zip": ("zip", "postalCode")}
 # ---------------------------------------------------------------------------
 
 
@@ -46,29 +59,18 @@ def vget(v, path: str, typ: str = "variant") -> Column:
     return F.try_variant_get(col(v), path, typ)
 
 
-def vtype(v) -> Column:
-    return F.schema_of_variant(col(v))
+OBJECT, ARRAY, STRING, VOID = "{", "[", '"', "n"      # first characters of JSON texts
+FALSE_RE = r'^(?:""|false|null|\[\]|\{\}|-?0(?:\.0+)?(?:[eE][+-]?\d+)?)$'
 
 
-def truthy(v, t: Column | None = None) -> Column:
-    """Python truthiness of a JSON value: null, 0, '', false, [] and {} are false."""
-    v = col(v)
-    t = vtype(v) if t is None else t
-    return (F.when(v.isNull() | (t == "VOID"), F.lit(False))
-            .when(t == "STRING", vget(v, "$", "string") != "")
-            .when(t == "BOOLEAN", vget(v, "$", "boolean"))
-            .when(t.startswith("OBJECT"), F.size(vget(v, "$", "map<string,variant>")) > 0)
-            .when(t.startswith("ARRAY"), F.size(vget(v, "$", "array<variant>")) > 0)
-            .otherwise(F.coalesce(vget(v, "$", "double") != 0, F.lit(False))))
+def vtype(v) -> Column:
+    """The kind of a JSON value: the first character of its text (a digit or minus: a number); null for null."""
+    return F.substring(F.to_json(col(v)), 1, 1)
 
 
-def first_truthy(v, *keys) -> Column:
-    """``item.get(k1) or item.get(k2) or ...``: the first truthy member (variant), else the last."""
-    vals = [vget(v, f'$["{k}"]') for k in keys]
-    out = vals[-1]
-    for x in reversed(vals[:-1]):
-        out = F.when(truthy(x), x).otherwise(out)
-    return out
+def truthy(v) -> Column:
+    """Python truthiness of a JSON value: null, 0, '', false, [] and {} are false."""
+    return F.coalesce(~F.to_json(col(v)).rlike(FALSE_RE), F.lit(False))
 
 
 def vstr(v) -> Column:
@@ -77,20 +79,15 @@ def vstr(v) -> Column:
 
 
 def is_object(v) -> Column:
-    return F.coalesce(vtype(v).startswith("OBJECT"), F.lit(False))
+    return vget(v, "$", "map<string,variant>").isNotNull()
 
 
 def is_array(v) -> Column:
-    return F.coalesce(vtype(v).startswith("ARRAY"), F.lit(False))
+    return vget(v, "$", "array<variant>").isNotNull()
 
 
 def has_key(v, key: str) -> Column:
-    return vget(v, f'$["{key}"]').isNotNull() | (vtype(vget(v, f'$["{key}"]')) == "VOID")
-
-
-def has_any(v, keys) -> Column:
-    m = vget(v, "$", "map<string,variant>")
-    return F.coalesce(F.exists(F.map_keys(m), lambda k: k.isin(*keys)), F.lit(False))
+    return vget(v, f'$["{key}"]').isNotNull()
 
 
 def num_text_to_long(s: Column) -> Column:
@@ -108,20 +105,22 @@ def first_number(s: Column) -> Column:
 
 def studio_or_count(v) -> Column:
     """int(x) == 0 -> 'Studio', else str(int(x)); null when not an integer."""
-    n = F.when(vtype(v) == "STRING", vget(v, "$", "string").try_cast("bigint")).otherwise(vget(v, "$", "bigint"))
+    n = F.when(vtype(v) == STRING, vget(v, "$", "string").try_cast("bigint")).otherwise(vget(v, "$", "bigint"))
     return F.when(n == 0, F.lit("Studio")).when(n.isNotNull(), n.cast("string"))
 
 
 # ------------------------------------------------------------------ JSON-LD
 
+def jsonld_objects(scripts: DataFrame, keys) -> DataFrame:
+    """Every object of JSON-LD scripts (keys..., script_no, item): top-level arrays flattened, bad JSON skipped."""
+    parsed = scripts.select(*keys, "script_no", F.try_parse_json("item").alias("v")).where(F.col("v").isNotNull())
+    items = F.coalesce(vget("v", "$", "array<variant>"), F.array("v"))
+    return parsed.select(*keys, F.col("script_no").alias("block_no"), F.posexplode(items).alias("item_no", "item")).where(is_object("item"))
+
+
 def jsonld_blocks(pages: DataFrame, keys) -> DataFrame:
-    """Every JSON-LD object of a page: top-level arrays flattened, bad JSON skipped."""
-    blocks = pages.select(*keys, F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(JSONLD_RE), F.lit(1)))
-                          .alias("block_no", "raw"))
-    parsed = blocks.select(*keys, "block_no", F.try_parse_json("raw").alias("v")).where(F.col("v").isNotNull())
-    items = F.when(is_array("v"), vget("v", "$", "array<variant>")).otherwise(F.array("v"))
-    return parsed.select(*keys, "block_no", F.posexplode(items).alias("item_no", "item")) \
-        .where(is_object("item"))
+    """Every JSON-LD object of pages; block_no counts a page's scripts."""
+    return jsonld_objects(fragments(pages, keys, ("jsonld",)), keys)
 
 
 def expand_graph(items: DataFrame, keys, market_sources=("apartments.com", "zillow", "rent.com")) -> DataFrame:
@@ -147,197 +146,86 @@ def jsonld_admit(items: DataFrame) -> DataFrame:
     return items.where(ok)
 
 
-LD_KEYS = ("name", "headline", "description", "url", "@id", "offers", "price", "priceRange", "lowPrice",
-           "address", "numberOfBedrooms", "numberOfRooms", "numberOfBathroomsTotal", "numberOfFullBathrooms",
-           "floorSize", "telephone", "phone")
+def _members(df: DataFrame, base: str, names: dict, prefix: str) -> DataFrame:
+    """Stage the first true member of each alias list (else the last one) as a column ``prefix_field``, its type
+    as ``prefix_field_ty``. Staging keeps later rules small: they refer to columns, not to lookups."""
+    single = {k for ks in names.values() for k in ks if len(ks) > 1}
+    df = df.withColumns({f"{prefix}__{_n(k)}": vget(base, f'$["{k}"]') for k in {k for ks in names.values() for k in ks}})
+    df = df.withColumns({f"{prefix}__{_n(k)}_t": truthy(f"{prefix}__{_n(k)}") for k in single})
+
+    def chosen(ks) -> Column:
+        out = F.col(f"{prefix}__{_n(ks[-1])}")
+        for k in reversed(ks[:-1]):
+            out = F.when(F.col(f"{prefix}__{_n(k)}_t"), F.col(f"{prefix}__{_n(k)}")).otherwise(out)
+        return out
+    df = df.withColumns({f"{prefix}_{f}": chosen(ks) for f, ks in names.items()})
+    return df.withColumns({f"{prefix}_{f}_ty": vtype(f"{prefix}_{f}") for f in names})
+
+
+def _n(key: str) -> str:
+    """Column name of a member (column names are case-insensitive: zipCode != zipcode)."""
+    return "".join("_" + ch.lower() if ch.isupper() else ch for ch in key).replace("@", "at_")
+
+
+def _is(c: str, kind: str) -> Column:
+    return F.coalesce(F.col(c + "_ty") == kind, F.lit(False))
 
 
 def jsonld_to_listing(items: DataFrame, default_city: str, default_state: str) -> DataFrame:
-    """Field mapping of a schema.org object to listing columns (members staged as columns)."""
-    df = _pick(items, "item", LD_KEYS, "l_")
-    df = df.withColumn("l_offer", F.when(is_array(_n("l_", "offers")), vget(_n("l_", "offers"), "$[0]")).otherwise(F.col(_n("l_", "offers"))))
-    df = df.withColumn("l_offer", F.when(is_object("l_offer"), F.col("l_offer")))
-    df = _pick(df, "l_offer", ("price", "lowPrice", "url"), "lo_")
-    df = _pick(df, _n("l_", "address"), ("streetAddress", "addressLocality", "addressRegion", "postalCode"), "la_")
-    df = df.withColumns({"l_op": _or("lo_", ("price", "lowPrice")), "l_beds": _or("l_", ("numberOfBedrooms",
-                                                                                         "numberOfRooms")),
-                         "l_baths": _or("l_", ("numberOfBathroomsTotal", "numberOfFullBathrooms")),
-                         "l_tel": _or("l_", ("telephone", "phone")), "l_fs": vget(_n("l_", "floorSize"), "$.value"),
-                         "l_desc": vstr(_n("l_", "description"))})
-    title = vstr(_or("l_", ("name", "headline")))
+    """Field mapping of a schema.org object to listing columns."""
+    df = _members(items, "item", JSONLD, "l")
+    df = df.withColumn("l_offer", F.when(_is("l_offers", ARRAY), vget("l_offers", "$[0]")).otherwise(F.col("l_offers")))
+    df = _members(df, "l_offer", JSONLD_OFFER, "lo")
+    df = _members(df, "l_address", JSONLD_ADDRESS, "la")
+    df = df.withColumns({"l_size": vget("l_area", "$.value"), "l_desc": vstr("l_text")})
+    title = vstr("l_title")
     title = F.when(title != "", title).otherwise(F.substring("l_desc", 1, 60))
-    price_offer = F.when(truthy("l_op"), num_text_to_long(vstr("l_op")))
-    direct = None
-    for k in ("price", "priceRange", "lowPrice"):
-        n = F.when(F.col(_n("l_", k) + "_t"), first_number(vstr(_n("l_", k))))
-        direct = n if direct is None else F.coalesce(direct, n)
-    url = vstr(_or("l_", ("url", "@id")))
-    url = F.when(url != "", url).otherwise(vstr(_n("lo_", "url")))
-    addr_obj, addr_str = is_object(_n("l_", "address")), vtype(_n("l_", "address")) == "STRING"
-    address = F.when(addr_obj, vstr(_n("la_", "streetAddress"))).when(addr_str, vstr(_n("l_", "address"))).otherwise(F.lit(""))
-    city = F.when(addr_obj, F.coalesce(F.nullif(vstr(_or("la_", ("addressLocality",))), F.lit("")),
-                                       F.lit(default_city))).otherwise(F.lit(""))
-    state = F.when(addr_obj, F.coalesce(F.nullif(vstr(_n("la_", "addressRegion")), F.lit("")),
-                                        F.lit(default_state))).otherwise(F.lit(""))
-    zip_code = F.when(addr_obj, vstr(_n("la_", "postalCode"))).otherwise(F.lit(""))
-    low_desc = F.lower(F.col("l_desc"))
-    beds_desc = F.coalesce(F.nullif(F.regexp_extract(low_desc, r"(\d+)\s*(?:bed|br|bedroom)", 1), F.lit("")),
-                           F.when(low_desc.contains("studio"), F.lit("Studio")))
-    bedrooms = F.coalesce(studio_or_count("l_beds"), F.when(F.col("l_desc") != "", beds_desc), F.lit(""))
-    sqft = F.when(is_object(_n("l_", "floorSize")) & truthy("l_fs"), num_text_to_long(vstr("l_fs")))
-    name_desc = F.lower(F.concat(vstr(_n("l_", "name")), F.col("l_desc")))
+    amounts = [F.when(truthy("lo_price"), num_text_to_long(vstr("lo_price")))]
+    amounts += [F.when(truthy(c), first_number(vstr(c))) for c in ("l_price", "l_price_range", "l_low_price")]
+    url = vstr("l_url")
+    inside = _is("l_address", OBJECT)
+    in_place = lambda c, default: F.when(inside, F.coalesce(F.nullif(vstr(c), F.lit("")), F.lit(default))).otherwise(F.lit(""))
+    low = F.lower("l_desc")
+    beds_desc = F.coalesce(F.nullif(F.regexp_extract(low, r"(\d+)\s*(?:bed|br|bedroom)", 1), F.lit("")),
+                           F.when(low.contains("studio"), F.lit("Studio")))
     return df.select(
-        *items.columns, title.alias("title"), F.coalesce(price_offer, direct).alias("price"), url.alias("url"),
-        address.alias("address"), city.alias("city"), state.alias("state"), zip_code.alias("zip_code"),
-        bedrooms.alias("bedrooms"), vget("l_baths", "$", "double").alias("bathrooms"), sqft.alias("sqft"),
-        vstr("l_tel").alias("phone"), contains_any(name_desc, P.SENIOR_KEYWORDS).alias("senior_hint"))
-
-
-def jsonld_housing_type(source: Column, senior_hint: Column, senior_page: Column | None = None) -> Column:
-    """Subsidized sources: subsidized, senior on keywords (or on a senior search page);
-    section 8 source: section8; market sources: market."""
-    base = F.when(senior_page, F.lit(P.TYPE_SENIOR)).otherwise(F.lit(P.TYPE_SUBSIDIZED)) \
-        if senior_page is not None else F.lit(P.TYPE_SUBSIDIZED)
+        *items.columns, title.alias("title"), F.coalesce(*amounts).alias("price"), F.when(url != "", url).otherwise(vstr("lo_url")).alias("url"),
+        F.when(inside, vstr("la_street")).when(_is("l_address", STRING), vstr("l_address")).otherwise(F.lit("")).alias("address"),
+        in_place("la_city", default_city).alias("city"), in_place("la_state", default_state).alias("state"), in_place("la_zip", "").alias("zip_code"),
+        F.coalesce(studio_or_count("l_beds"), F.when(F.col("l_desc") != "", beds_desc), F.lit("")).alias("bedrooms"),
+        vget("l_baths", "$", "double").alias("bathrooms"),
+        F.when(_is("l_area", OBJECT) & truthy("l_size"), num_text_to_long(vstr("l_size"))).alias("sqft"), vstr("l_phone").alias("phone"),
+        contains_any(F.lower(F.concat(vstr("l_name"), F.col("l_desc"))), P.SENIOR_KEYWORDS).alias("senior_hint"))
+
+
+def jsonld_housing_type(source: Column, senior_hint: Column, kind: Column) -> Column:
+    """Section 8 source: section8; market sources: market; others subsidized, or senior on
+    keywords or a senior search page, but one source's search pages are subsidized whatever they say."""
     return (F.when(source == "gosection8.com", F.lit(P.TYPE_SECTION8))
+            .when((source == "hud.gov") & (kind == "search"), F.lit(P.TYPE_SUBSIDIZED))
             .when(source.isin("nchousingsearch.org", "hud.gov", "affordablehousing.com"),
-                  F.when(senior_hint, F.lit(P.TYPE_SENIOR)).otherwise(base))
+                  F.when(senior_hint | (kind == "senior"), F.lit(P.TYPE_SENIOR)).otherwise(F.lit(P.TYPE_SUBSIDIZED)))
             .otherwise(F.lit(P.TYPE_MARKET)))
 
 
 # ------------------------------------------------------------------ script data
 
-def script_blocks(pages: DataFrame, keys, min_len: int = 0) -> DataFrame:
-    """Script JSON: __NEXT_DATA__ / application/json scripts and window.X = {...}; assignments.
-
-    For apartments.com also each placards array found in the text of any script, as an
-    object of that one key; they come first, so their script numbers are negative.
-    """
-    scripts = pages.select(*keys, F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(2)).alias("body"))).alias("script_no", "s"))
-    attrs, body = F.lower(F.col("s.attrs")), F.col("s.body")
-    is_data = attrs.rlike("""id=["']__next_data__["']""") | attrs.contains("application/json")
-    whole = scripts.where(is_data & (F.length(body) >= min_len)) \
-        .select(*keys, "script_no", F.lit(0).alias("part"), F.try_parse_json(body).alias("v"))
-    assigned = scripts.where(~is_data & (F.length(body) >= min_len)).select(
-        *keys, "script_no", F.posexplode(F.regexp_extract_all(body, F.lit(WINDOW_RE), F.lit(1))).alias("part", "raw")) \
-        .select(*keys, "script_no", (F.col("part") + 1).alias("part"), F.try_parse_json("raw").alias("v"))
-    bodies = F.regexp_extract_all(F.col("html"), F.lit(SCRIPT_RE), F.lit(2))
-    placards = pages.where(F.col("source") == "apartments.com") \
-        .select(*keys, F.size(bodies).alias("n"), F.posexplode(bodies).alias("script_no", "body")) \
-        .where(F.length("body") >= min_len) \
-        .select(*keys, (F.col("script_no") - F.col("n")).alias("script_no"),
-                F.posexplode(F.regexp_extract_all(F.col("body"), F.lit(PLACARDS_RE), F.lit(1))).alias("part", "raw")) \
-        .select(*keys, "script_no", "part", F.try_parse_json(F.concat(F.lit('{"placards":'), F.col("raw"), F.lit("}"))).alias("v"))
-    return whole.unionByName(assigned).unionByName(placards).where(F.col("v").isNotNull())
-
-
-def _step(anc: Column, keyed: bool | Column) -> Column:
-    k = keyed if isinstance(keyed, Column) else F.lit(keyed)
-    return F.struct(anc.alias("anc"), k.alias("keyed"))
-
-
-def _key_list(source: Column, table: dict) -> Column:
-    out = F.lit(None).cast("array<string>")
-    for s, ks in table.items():
-        out = F.when(source == s, F.array(*[F.lit(k) for k in ks])).otherwise(out)
-    return F.coalesce(out, F.array().cast("array<string>"))
-
-
-def json_walk(blocks: DataFrame, keys, max_depth: int | None = None) -> DataFrame:
-    """Listing objects inside script data, as (keys..., script_no, part, hit_path, item).
-
-    Semantics of the recursive search: at an object, (apartments.com) the object
-    itself when it has a name-like and a data-like key; then every element of a
-    known-key array and the hits below known-key objects; only when that gave
-    nothing, the hits below all children.  In an array, an object with a marker
-    key is a hit, other containers are searched, to any depth unless ``max_depth``
-    is given.  No script data gives no rows.
-
-    Job: one explode per level over the frontier (checkpointed to the shared
-    folder each level, so plans stay small and a lost executor recomputes one
-    level), then pruning: a hit survives unless some ancestor reached it through
-    a fallback edge while that ancestor had a hit through a known key.
-    """
-    spark = blocks.sparkSession
-    checkpoint_dir(spark)
-    bk = [*keys, "script_no", "part"]
-    src = F.col("source")
-    frontier = blocks.select(*bk, F.lit("").alias("path"), F.col("v").alias("node"),
-                             F.array().cast("array<struct<anc:string,keyed:boolean>>").alias("steps"))
-    hits = []
-    for depth in count():
-        frontier = frontier.checkpoint(eager=True)
-        if depth and (frontier.isEmpty() or (max_depth is not None and depth > max_depth)):
-            break
-        known = _key_list(src, WALK_KNOWN_KEYS)
-        markers = _key_list(src, WALK_MARKER_KEYS)
-        obj = frontier.where(is_object("node"))
-        arr = frontier.where(is_array("node"))
-        # object itself (apartments.com)
-        selfhit = obj.where((src == "apartments.com") & has_any("node", SELF_NAME_KEYS)
-                            & has_any("node", SELF_DATA_KEYS)) \
-            .select(*bk, F.concat("path", F.lit("/@")).alias("path"), "node",
-                    F.array_append("steps", _step(F.col("path"), True)).alias("steps"))
-        kids = obj.select(*bk, "path", "steps", known.alias("_known"),
-                          F.explode(vget("node", "$", "map<string,variant>")).alias("k", "child"))
-        keyed = F.array_contains("_known", F.col("k"))
-        kpath = F.concat("path", F.lit("/"), F.col("k"))
-        kstep = F.array_append("steps", _step(F.col("path"), keyed))
-        known_arrays = kids.where(keyed & is_array("child")).select(
-            *bk, kpath.alias("kp"), kstep.alias("steps"),
-            F.posexplode(vget("child", "$", "array<variant>")).alias("i", "el")) \
-            .select(*bk, F.concat("kp", F.lit("/"), F.lpad(F.col("i").cast("string"), 10, "0")).alias("path"),
-                    F.col("el").alias("node"), "steps")
-        next_obj = kids.where((keyed & is_object("child")) | (~keyed & (is_object("child") | is_array("child")))) \
-            .select(*bk, kpath.alias("path"), F.col("child").alias("node"), kstep.alias("steps"))
-        els = arr.select(*bk, "path", "steps", markers.alias("_markers"),
-                         F.posexplode(vget("node", "$", "array<variant>")).alias("i", "el"))
-        epath = F.concat("path", F.lit("/"), F.lpad(F.col("i").cast("string"), 10, "0"))
-        estep = F.array_append("steps", _step(F.col("path"), True))
-        marked = is_object("el") & F.exists(F.map_keys(vget("el", "$", "map<string,variant>")),
-                                            lambda k: F.array_contains(F.col("_markers"), k))
-        arr_hits = els.where(marked).select(*bk, epath.alias("path"), F.col("el").alias("node"), estep.alias("steps"))
-        next_arr = els.where(~marked & (is_object("el") | is_array("el"))) \
-            .select(*bk, epath.alias("path"), F.col("el").alias("node"), estep.alias("steps"))
-        hits += [selfhit, known_arrays, arr_hits]
-        frontier = next_obj.unionByName(next_arr)
-    raw = hits[0]
-    for h in hits[1:]:
-        raw = raw.unionByName(h)
-    raw = raw.checkpoint(eager=True)
-    # prune: hk(anc) = some raw hit passes anc through a known key
-    steps = raw.select(*bk, "path", F.explode("steps").alias("st")) \
-        .select(*bk, "path", F.col("st.anc").alias("anc"), F.col("st.keyed").alias("keyed"))
-    hk = steps.groupBy(*bk, "anc").agg(F.bool_or("keyed").alias("hk"))
-    bad = steps.join(hk, [*bk, "anc"]).where(~F.col("keyed") & F.col("hk")).select(*bk, "path").distinct()
-    live = raw.join(bad, [*bk, "path"], "left_anti")
-    return live.withColumnRenamed("path", "hit_path").withColumnRenamed("node", "item").drop("steps")
-
-
-def _pick(df: DataFrame, base: str, keys, prefix: str) -> DataFrame:
-    """Stage members of a variant column as columns ``prefix+key`` with truth flags ``prefix+key_t``.
-
-    Staging keeps expressions small: later rules reference these columns
-    instead of repeating variant lookups inside nested conditions.
-    """
-    df = df.withColumns({_n(prefix, k): vget(base, f'$["{k}"]') for k in keys})
-    df = df.withColumns({_n(prefix, k) + "_ty": vtype(_n(prefix, k)) for k in keys})
-    return df.withColumns({_n(prefix, k) + "_t": truthy(_n(prefix, k), F.col(_n(prefix, k) + "_ty"))
-                           for k in keys})
-
+def script_blocks(pages: DataFrame, keys) -> DataFrame:
+    """Script data of pages as (keys..., script_no, part, v), by each source's rule: see markup._blocks."""
+    blocks = fragments(pages, keys, ("block",))
+    return blocks.select(*keys, "script_no", "part", F.try_parse_json("item").alias("v")).where(F.col("v").isNotNull())
 
-def _n(prefix: str, key: str) -> str:
-    """Column name of a staged member (column names are case-insensitive: zipCode != zipcode)."""
-    return prefix + "".join("_" + ch.lower() if ch.isupper() else ch for ch in key).replace("@", "at_")
 
+def json_walk(blocks: DataFrame, keys) -> DataFrame:
+    """Listing objects inside script data, as (keys..., script_no, part, pos, hit_path, item).
 
-def _or(prefix: str, keys) -> Column:
-    """Python's ``a or b or c`` over staged members: first truthy, else the last."""
-    out = F.col(_n(prefix, keys[-1]))
-    for k in reversed(keys[:-1]):
-        out = F.when(F.col(_n(prefix, k) + "_t"), F.col(_n(prefix, k))).otherwise(out)
-    return out
+    At an object, (apartments.com) the object itself when it has a name-like and a
+    data-like key; then every element of a known-key array and the hits below
+    known-key objects; only when that gave nothing, the hits below all children.
+    In an array, an object with a marker key is a hit, other containers are
+    searched, to any depth. ``pos`` counts a block's hits in that order.
+    """
+    return walk_blocks(blocks, [*keys, "script_no", "part"])
 
 
 def _abs(url: Column, base: Column) -> Column:
@@ -347,153 +235,84 @@ def _abs(url: Column, base: Column) -> Column:
 def _num_or_text(v) -> Column:
     """int for JSON numbers; first [digits,] group of strings; null otherwise."""
     t = vtype(v)
-    return (F.when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL"),
-                   vget(v, "$", "double").try_cast("bigint"))
-            .when(t == "STRING", first_number(vget(v, "$", "string"))))
-
-
-APTS_KEYS = ("rent", "pricing", "price", "rentRange", "bedrooms", "beds", "bathrooms", "baths", "address",
-             "location", "phone", "phoneNumber", "contactPhone", "propertyName", "listingName", "name", "title",
-             "listingUrl", "url", "detailUrl", "link")
-ZILLOW_KEYS = ("price", "unformattedPrice", "rentZestimate", "beds", "bedrooms", "baths", "bathrooms", "address",
-               "addressStreet", "streetAddress", "addressCity", "city", "addressState", "state", "addressZipcode",
-               "zipcode", "statusText", "title", "buildingName", "detailUrl", "url", "phone", "phoneNumber",
-               "contactPhone", "datePosted", "listingDateTimeOnMarket", "area", "livingArea")
-RENT_KEYS = ("rent", "price", "propertyName", "name", "title", "listingUrl", "url", "detailUrl", "bedrooms", "beds",
-             "bathrooms", "baths", "squareFeet", "sqft", "area", "address", "petPolicy", "pets", "phone",
-             "phoneNumber")
-OUT_FIELDS = ("title", "url", "price", "bedrooms", "bathrooms", "sqft", "address", "city", "state", "zip_code",
-              "phone", "date_posted", "pet_policy")
+    return (F.when(t.rlike("[-0-9]"), vget(v, "$", "double").try_cast("bigint"))
+            .when(t == STRING, first_number(vget(v, "$", "string"))))
 
 
-def _ty(c: str) -> Column:
-    return F.col(c + "_ty")
+OUT_FIELDS = ("title", "url", "price", "bedrooms", "bathrooms", "sqft", "address", "city", "state", "zip_code",
+              "phone", "date_posted", "pet_policy")
 
 
-def _obj(c: str) -> Column:
-    return F.coalesce(_ty(c).startswith("OBJECT"), F.lit(False))
+def _phone_of(c: str) -> Column:
+    return F.when(_is(c, OBJECT), vstr(vget(c, "$.number"))).otherwise(vstr(c))
 
 
-def _phone_of(c: str) -> Column:
-    return F.when(is_object(c), vstr(vget(c, "$.number"))).otherwise(vstr(c))
+def _given(c: str) -> Column:
+    """Whether a member is there and not null."""
+    return F.col(c).isNotNull() & (F.col(c + "_ty") != VOID)
 
 
 def _apts(df: DataFrame, base: str) -> DataFrame:
-    s, i = vstr, "i_"
-    df = _pick(df, "item", APTS_KEYS, i)
-    df = df.withColumns({"a_rent": _or(i, ("rent", "pricing")), "a_addr": _or(i, ("address", "location")),
-                         "a_beds": _or(i, ("bedrooms", "beds")), "a_baths": _or(i, ("bathrooms", "baths")),
-                         "a_pv": _or(i, ("price", "rentRange")), "a_ph": _or(i, ("phone", "phoneNumber",
-                                                                                  "contactPhone"))})
-    df = df.withColumns({f"{c}_ty": vtype(c) for c in ("a_rent", "a_addr", "a_beds", "a_baths")})
-    df = _pick(df, "a_rent", ("min", "low", "max"), "ar_")
-    df = _pick(df, "a_addr", ("streetAddress", "street", "line1", "city", "addressLocality", "state",
-                              "addressRegion", "zip", "postalCode", "zipCode"), "aa_")
-    df = _pick(df, "a_beds", ("min", "low"), "ab_")
-    df = _pick(df, "a_baths", ("min", "low"), "at_")
-    url = s(_or(i, ("listingUrl", "url", "detailUrl", "link")))
-    bmin = _or("ab_", ("min", "low"))
-    beds = (F.when(_obj("a_beds"), F.when(F.coalesce(vget(bmin, "$", "double"), F.lit(0.0)) != 0,
-                                          vget(bmin, "$", "bigint").cast("string")).otherwise(F.lit("Studio")))
-            .when(F.col("a_beds").isNotNull() & (_ty("a_beds") != "VOID"), studio_or_count("a_beds")))
-    addr_str = _ty("a_addr") == "STRING"
+    df = _members(df, "item", APARTMENTS, "i")
+    df = _members(_members(df, "i_rent", APARTMENTS_RENT, "ir"), "i_address", APARTMENTS_ADDRESS, "ia")
+    df = _members(_members(df, "i_beds", APARTMENTS_ROOMS, "ib"), "i_baths", APARTMENTS_ROOMS, "it")
+    inside = _is("i_address", OBJECT)
+    in_place = lambda c: F.when(inside, vstr(c)).otherwise(F.lit(""))
+    beds = (F.when(_is("i_beds", OBJECT), F.when(F.coalesce(vget("ib_least", "$", "double"), F.lit(0.0)) != 0,
+                                                   vget("ib_least", "$", "bigint").cast("string")).otherwise(F.lit("Studio")))
+            .when(_given("i_beds"), studio_or_count("i_beds")))
     return df.select(
-        "*",
-        s(_or(i, ("propertyName", "listingName", "name", "title"))).alias("title"),
-        _abs(url, F.lit(base)).alias("url"),
-        F.coalesce(F.when(_obj("a_rent"), _num_or_text(_or("ar_", ("min", "low", "max")))),
-                   _num_or_text("a_pv")).alias("price"),
-        beds.alias("bedrooms"),
-        F.when(_obj("a_baths"), vget(_or("at_", ("min", "low")), "$", "double"))
-        .otherwise(vget("a_baths", "$", "double")).alias("bathrooms"),
+        "*", vstr("i_title").alias("title"), _abs(vstr("i_url"), F.lit(base)).alias("url"),
+        F.coalesce(F.when(_is("i_rent", OBJECT), _num_or_text("ir_amount")), _num_or_text("i_price")).alias("price"), beds.alias("bedrooms"),
+        F.when(_is("i_baths", OBJECT), vget("it_least", "$", "double")).otherwise(vget("i_baths", "$", "double")).alias("bathrooms"),
         F.lit(None).cast("bigint").alias("sqft"),
-        F.when(_obj("a_addr"), s(_or("aa_", ("streetAddress", "street", "line1")))).when(addr_str, s("a_addr"))
-        .otherwise(F.lit("")).alias("address"),
-        F.when(_obj("a_addr"), s(_or("aa_", ("city", "addressLocality")))).otherwise(F.lit("")).alias("city"),
-        F.when(_obj("a_addr"), s(_or("aa_", ("state", "addressRegion")))).otherwise(F.lit("")).alias("state"),
-        F.when(_obj("a_addr"), s(_or("aa_", ("zip", "postalCode", "zipCode")))).otherwise(F.lit("")).alias("zip_code"),
-        _phone_of("a_ph").alias("phone"), F.lit("").alias("date_posted"), F.lit("").alias("pet_policy"))
+        F.when(_is("i_address", STRING), vstr("i_address")).otherwise(in_place("ia_street")).alias("address"),
+        in_place("ia_city").alias("city"), in_place("ia_state").alias("state"), in_place("ia_zip").alias("zip_code"),
+        _phone_of("i_phone").alias("phone"), F.lit("").alias("date_posted"), F.lit("").alias("pet_policy"))
 
 
 def _zillow(df: DataFrame, base: str, default_city: str, default_state: str) -> DataFrame:
-    s, i = vstr, "i_"
-    df = _pick(df, "item", ZILLOW_KEYS, i)
-    a = _n(i, "address")
-    df = _pick(df, a, ("streetAddress", "city", "state", "zipcode", "zip"), "za_")
-    homeinfo = [vget("item", f"$.hdpData.homeInfo.{k}", "double") for k in ("price", "rentZestimate", "zestimate")]
-    is_obj, is_str = _obj(a), _ty(a) == "STRING"
-    df = df.withColumns({
-        "z_street0": F.when(is_obj, s(_n("za_", "streetAddress"))).when(is_str, s(a)).otherwise(F.lit("")),
-        "z_city0": F.when(is_obj, F.coalesce(vget(_n("za_", "city"), "$", "string"), F.lit(default_city)))
-        .when(is_str, F.lit(default_city)).otherwise(F.lit("")),
-        "z_state0": F.when(is_obj, F.coalesce(vget(_n("za_", "state"), "$", "string"), F.lit(default_state)))
-        .when(is_str, F.lit(default_state)).otherwise(F.lit("")),
-        "z_zip0": F.when(is_obj, s(_or("za_", ("zipcode", "zip")))).otherwise(F.lit("")),
-        "z_price": _or(i, ("price", "unformattedPrice", "rentZestimate")),
-        "z_ph": _or(i, ("phone", "phoneNumber", "contactPhone")),
-    })
-    street = F.when(F.col("z_street0") != "", F.col("z_street0")).otherwise(s(_or(i, ("addressStreet",
-                                                                                  "streetAddress"))))
-    df = df.withColumn("z_street", street)
-    z_title = s(_or(i, ("statusText", "title", "buildingName")))
+    df = _members(_members(df, "item", ZILLOW, "i"), "i_address", ZILLOW_ADDRESS, "ia")
+    home = [vget("item", f"$.hdpData.homeInfo.{k}", "double") for k in ZILLOW_HOME]
+    inside, line = _is("i_address", OBJECT), _is("i_address", STRING)
+
+    def place(c: str, default: str) -> Column:
+        """The address's own, unless it is the default, which a member beside the address may tell better."""
+        own = (F.when(inside, F.coalesce(vget(f"ia_{c}", "$", "string"), F.lit(default))).when(line, F.lit(default)).otherwise(F.lit("")))
+        beside = F.coalesce(F.nullif(vstr(f"i_{c}"), F.lit("")), F.lit(default))
+        return F.when(own.isin("", default), beside).otherwise(own)
+    df = df.withColumn("z_street", F.when(inside, vstr("ia_street")).when(line, vstr("i_address")).otherwise(F.lit("")))
+    df = df.withColumn("z_street", F.when(F.col("z_street") != "", F.col("z_street")).otherwise(vstr("i_street")))
+    own_zip = F.when(inside, vstr("ia_zip")).otherwise(F.lit(""))
     return df.select(
-        "*",
-        F.when(z_title != "", z_title).otherwise(F.col("z_street")).alias("title"),
-        _abs(s(_or(i, ("detailUrl", "url"))), F.lit(base)).alias("url"),
-        F.coalesce(_num_or_text("z_price"), *[F.when(h > 0, h.cast("bigint")) for h in homeinfo]).alias("price"),
-        studio_or_count(_or(i, ("beds", "bedrooms"))).alias("bedrooms"),
-        vget(_or(i, ("baths", "bathrooms")), "$", "double").alias("bathrooms"),
-        vget(_or(i, ("area", "livingArea")), "$", "bigint").alias("sqft"),
-        F.col("z_street").alias("address"),
-        F.when((F.col("z_city0") == "") | (F.col("z_city0") == default_city),
-               F.coalesce(F.nullif(s(_or(i, ("addressCity", "city"))), F.lit("")), F.lit(default_city)))
-        .otherwise(F.col("z_city0")).alias("city"),
-        F.when((F.col("z_state0") == "") | (F.col("z_state0") == default_state),
-               F.coalesce(F.nullif(s(_or(i, ("addressState", "state"))), F.lit("")), F.lit(default_state)))
-        .otherwise(F.col("z_state0")).alias("state"),
-        F.when(F.col("z_zip0") != "", F.col("z_zip0")).otherwise(s(_or(i, ("addressZipcode", "zipcode"))))
-        .alias("zip_code"),
-        _phone_of("z_ph").alias("phone"),
-        s(_or(i, ("datePosted", "listingDateTimeOnMarket"))).alias("date_posted"),
-        F.lit("").alias("pet_policy"))
+        "*", F.when(vstr("i_title") != "", vstr("i_title")).otherwise(F.col("z_street")).alias("title"),
+        _abs(vstr("i_url"), F.lit(base)).alias("url"),
+        F.coalesce(_num_or_text("i_price"), *[F.when(h > 0, h.cast("bigint")) for h in home]).alias("price"),
+        studio_or_count("i_beds").alias("bedrooms"), vget("i_baths", "$", "double").alias("bathrooms"), vget("i_area", "$", "bigint").alias("sqft"),
+        F.col("z_street").alias("address"), place("city", default_city).alias("city"), place("state", default_state).alias("state"),
+        F.when(own_zip != "", own_zip).otherwise(vstr("i_zip")).alias("zip_code"), _phone_of("i_phone").alias("phone"),
+        vstr("i_date").alias("date_posted"), F.lit("").alias("pet_policy"))
 
 
 def _rent(df: DataFrame, base: str, default_city: str, default_state: str) -> DataFrame:
-    s, i = vstr, "i_"
-    df = _pick(df, "item", RENT_KEYS, i)
-    rent, a = _n(i, "rent"), _n(i, "address")
-    df = _pick(df, rent, ("min", "max"), "rr_")
-    df = _pick(df, a, ("streetAddress", "line1", "city", "state", "zip", "postalCode"), "ra_")
-    df = df.withColumns({"r_beds": _or(i, ("bedrooms", "beds")), "r_baths": _or(i, ("bathrooms", "baths")),
-                         "r_sqft": _or(i, ("squareFeet", "sqft", "area")), "r_pets": _or(i, ("petPolicy", "pets")),
-                         "r_pv": _or(i, ("price", "rent"))})
-    df = df.withColumns({f"{c}_ty": vtype(c) for c in ("r_beds", "r_baths", "r_sqft", "r_pets")})
-    is_obj = _obj(a)
-    bmin = vget("r_beds", "$.min")
-    beds = (F.when(_obj("r_beds"), F.when(F.coalesce(vget(bmin, "$", "double"), F.lit(0.0)) == 0, F.lit("Studio"))
-                   .otherwise(vstr(bmin)))
-            .when(F.col("r_beds").isNotNull() & (_ty("r_beds") != "VOID"), studio_or_count("r_beds")))
+    df = _members(df, "item", RENT, "i")
+    df = _members(_members(df, "i_rent", RENT_RENT, "ir"), "i_address", RENT_ADDRESS, "ia")
+    inside = _is("i_address", OBJECT)
+    in_place = lambda c, default: F.when(inside, F.coalesce(vget(c, "$", "string"), F.lit(default))).otherwise(F.lit(""))
+    fewest = vget("i_beds", "$.min")
+    beds = (F.when(_is("i_beds", OBJECT), F.when(F.coalesce(vget(fewest, "$", "double"), F.lit(0.0)) == 0, F.lit("Studio"))
+                   .otherwise(vstr(fewest)))
+            .when(_given("i_beds"), studio_or_count("i_beds")))
+    least = lambda c, kind: F.when(_is(c, OBJECT), vget(c, "$.min", kind)).otherwise(vget(c, "$", kind))
     return df.select(
-        "*",
-        s(_or(i, ("propertyName", "name", "title"))).alias("title"),
-        _abs(s(_or(i, ("listingUrl", "url", "detailUrl"))), F.lit(base)).alias("url"),
-        F.when(_obj(rent), _num_or_text(_or("rr_", ("min", "max"))))
-        .when(F.col(rent + "_t"), _num_or_text("r_pv")).alias("price"),
-        beds.alias("bedrooms"),
-        F.when(_obj("r_baths"), vget("r_baths", "$.min", "double")).otherwise(vget("r_baths", "$", "double"))
-        .alias("bathrooms"),
-        F.when(_obj("r_sqft"), vget("r_sqft", "$.min", "bigint")).otherwise(vget("r_sqft", "$", "bigint"))
-        .alias("sqft"),
-        F.when(is_obj, s(_or("ra_", ("streetAddress", "line1")))).when(_ty(a) == "STRING", s(a))
-        .otherwise(F.lit("")).alias("address"),
-        F.when(is_obj, F.coalesce(vget(_n("ra_", "city"), "$", "string"), F.lit(default_city)))
-        .otherwise(F.lit("")).alias("city"),
-        F.when(is_obj, F.coalesce(vget(_n("ra_", "state"), "$", "string"), F.lit(default_state)))
-        .otherwise(F.lit("")).alias("state"),
-        F.when(is_obj, s(_or("ra_", ("zip", "postalCode")))).otherwise(F.lit("")).alias("zip_code"),
-        s(_or(i, ("phone", "phoneNumber"))).alias("phone"), F.lit("").alias("date_posted"),
-        F.when(_obj("r_pets"), F.when(truthy(vget("r_pets", "$.allowed")), F.lit("Cats/Dogs"))
-               .otherwise(F.lit("No Pets"))).otherwise(vstr("r_pets")).alias("pet_policy"))
+        "*", vstr("i_title").alias("title"), _abs(vstr("i_url"), F.lit(base)).alias("url"),
+        F.when(_is("i_rent", OBJECT), _num_or_text("ir_amount")).when(truthy("i_rent"), _num_or_text("i_price")).alias("price"),
+        beds.alias("bedrooms"), least("i_baths", "double").alias("bathrooms"), least("i_area", "bigint").alias("sqft"),
+        F.when(inside, vstr("ia_street")).when(_is("i_address", STRING), vstr("i_address")).otherwise(F.lit("")).alias("address"),
+        in_place("ia_city", default_city).alias("city"), in_place("ia_state", default_state).alias("state"),
+        F.when(inside, vstr("ia_zip")).otherwise(F.lit("")).alias("zip_code"), vstr("i_phone").alias("phone"), F.lit("").alias("date_posted"),
+        F.when(_is("i_pets", OBJECT), F.when(truthy(vget("i_pets", "$.allowed")), F.lit("Cats/Dogs"))
+               .otherwise(F.lit("No Pets"))).otherwise(vstr("i_pets")).alias("pet_policy"))
 
 
 def script_to_listing(hits: DataFrame, default_city: str, default_state: str) -> DataFrame:

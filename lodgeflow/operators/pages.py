@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgeflow.operators.joins import bounded_broadcast
+from lodgeflow.operators.markup import fragments
 
 PAGE_KEYS = ("source", "city_ord", "page_no")
 SEARCH_KEYS = ("source", "city_ord")
 
 # FIXED VALUES: strategy policies per source.
 # "best": richest of script/jsonld/html; "first": first non-empty in the given order;
-# "union": all listed strategies.
+# "union": all listed strategies (of search pages; other kinds of page take the first).
 STRATEGY_POLICY = {
     "nchousingsearch.org": ("first", ("html", "jsonld")),
     "affordablehousing.com": ("first", ("html", "jsonld")),
@@ -34,7 +34,23 @@ ERROR_POLICY = {
     "nchousingsearch.org": "source", "apartments.com": "source", "zillow": "source", "rent.com": "source",
     "craigslist": "source", "affordablehousing.com": "stop", "gosection8.com": "stop", "hud.gov": "stop",
 }
+# Pages of these kinds lie outside a search's page sequence: if one fails, only it is lost.
+SINGLE_KINDS = ("locator", "senior")
 PAGE_CAP_OVERRIDE = {"hud.gov": 3}   # min(cap, 3)
+# Where a source's paging ends: by a link to a next page, or by a stated total of listings, so many a page.
+NEXT_LINK_SOURCES = ("apartments.com", "craigslist")
+TOTAL_RE = r"of\s+([\d,]+)"
+TOTAL_PAGE_SIZE = {"craigslist": 120}
+
+
+def with_kind(pages: DataFrame) -> DataFrame:
+    """Pages with their kind: search (also where it is not told), locator or senior."""
+    kind = F.coalesce(F.col("kind"), F.lit("search")) if "kind" in pages.columns else F.lit("search")
+    return pages.withColumn("kind", kind)
+
+
+def _searched():
+    return ~F.col("kind").isin(*SINGLE_KINDS)
 
 
 def strategy_rank(source, strategy):
@@ -65,11 +81,11 @@ def best_strategy(listings: DataFrame, keys=PAGE_KEYS) -> DataFrame:
 
 def fallback_strategy(listings: DataFrame, keys=PAGE_KEYS) -> DataFrame:
     """Per page, rows of the first non-empty strategy in policy order ('union' keeps all)."""
-    ranked = listings.withColumn("_ord", strategy_rank(F.col("source"), F.col("strategy")))
+    ranked = with_kind(listings).withColumn("_ord", strategy_rank(F.col("source"), F.col("strategy")))
     first = ranked.groupBy(*keys).agg(F.min("_ord").alias("_first"))
-    union = F.col("source").isin(*[s for s, (p, _) in STRATEGY_POLICY.items() if p == "union"])
-    return (ranked.join(first, list(keys)).where(union | (F.col("_ord") == F.col("_first")))
-            .drop("_ord", "_first"))
+    union = F.col("source").isin(*[s for s, (p, _) in STRATEGY_POLICY.items() if p == "union"]) & _searched()
+    out = ranked.join(first, list(keys)).where(union | (F.col("_ord") == F.col("_first")))
+    return out.select(*listings.columns)
 
 
 def choose_strategy(listings: DataFrame, keys=PAGE_KEYS) -> DataFrame:
@@ -82,30 +98,45 @@ def choose_strategy(listings: DataFrame, keys=PAGE_KEYS) -> DataFrame:
 
 
 def page_limit(pages: DataFrame, cap: int = 5) -> DataFrame:
-    """Pages beyond the per-source page cap are not read."""
+    """Search pages beyond the per-source page cap are not read."""
     lim = F.lit(cap)
     for src, c in PAGE_CAP_OVERRIDE.items():
         lim = F.when(F.col("source") == src, F.lit(min(cap, c))).otherwise(lim)
-    return pages.where(F.col("page_no") <= lim)
+    return with_kind(pages).where(~_searched() | (F.col("page_no") <= lim)).select(*pages.columns)
 
 
 def error_policy(pages: DataFrame) -> DataFrame:
-    """Fetch errors: some sources lose everything, others keep the pages before the error."""
-    err = F.col("error").isNotNull()
-    whole = pages.where(err).select("source").distinct().where(
-        F.col("source").isin(*[s for s, p in ERROR_POLICY.items() if p == "source"]))
-    first_err = pages.where(err).groupBy(*SEARCH_KEYS).agg(F.min("page_no").alias("_err"))
-    stop = F.col("source").isin(*[s for s, p in ERROR_POLICY.items() if p == "stop"])
-    out = pages.join(bounded_broadcast(whole), "source", "left_anti")
-    out = out.join(first_err, list(SEARCH_KEYS), "left")
-    keep = F.col("_err").isNull() | (stop & (F.col("page_no") < F.col("_err")))
-    return out.where(keep & ~err).drop("_err")
+    """Fetch errors: some sources lose everything, others keep the pages of that search before
+    the error; a page outside the sequence is lost alone."""
+    cols, pages = pages.columns, with_kind(pages)
+    failed = pages.where(F.col("error").isNotNull())
+    lost = failed.where(F.col("source").isin(*[s for s, p in ERROR_POLICY.items() if p == "source"])).select("source").distinct()
+    first = failed.where(_searched()).groupBy(*SEARCH_KEYS).agg(F.min("page_no").alias("_err"))
+    out = pages.join(lost, "source", "left_anti").join(first, list(SEARCH_KEYS), "left")
+    before = ~_searched() | F.col("_err").isNull() | (F.col("page_no") < F.col("_err"))
+    return out.where(before & F.col("error").isNull()).select(*cols)
 
 
 def page_prefix(listings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages after the first page of a search that yielded nothing do not count."""
+    """Search pages after the first page of a search that yielded nothing do not count."""
+    cols, listings = listings.columns, with_kind(listings)
     counts = listings.groupBy(*PAGE_KEYS).agg(F.count(F.lit(1)).alias("_n"))
-    empties = (pages.select(*PAGE_KEYS).join(counts, list(PAGE_KEYS), "left").where(F.col("_n").isNull())
+    stops = F.col("source") != "hud.gov"                       # reads all its pages, empty or not
+    empties = (with_kind(pages).where(_searched() & stops).select(*PAGE_KEYS).join(counts, list(PAGE_KEYS), "left").where(F.col("_n").isNull())
                .groupBy(*SEARCH_KEYS).agg(F.min("page_no").alias("_empty")))
     return (listings.join(empties, list(SEARCH_KEYS), "left")
-            .where(F.col("_empty").isNull() | (F.col("page_no") < F.col("_empty"))).drop("_empty"))
+            .where(~_searched() | F.col("_empty").isNull() | (F.col("page_no") < F.col("_empty"))).select(*cols))
+
+
+def paging_stops(pages: DataFrame) -> DataFrame:
+    """Search pages after the one that says there are no more: it states a total that its own
+    listings reach, or (no total stated) it has no link to a next page."""
+    cols, pages = pages.columns, with_kind(pages)
+    marks = fragments(pages.where(F.col("source").isin(*NEXT_LINK_SOURCES) & _searched()), [*PAGE_KEYS, "kind"], ("page",))
+    size = F.coalesce(*[F.when(F.col("source") == s, F.lit(n)) for s, n in TOTAL_PAGE_SIZE.items()])
+    said = F.col("parts").getItem("total")
+    total = F.replace(F.regexp_extract(said, TOTAL_RE, 1), F.lit(","), F.lit("")).try_cast("bigint")
+    over = F.when(said.isNotNull(), F.col("page_no") * size >= total).otherwise(F.col("parts").getItem("next").isNull())
+    last = marks.where(over).groupBy(*SEARCH_KEYS).agg(F.min("page_no").alias("_last"))
+    return (pages.join(last, list(SEARCH_KEYS), "left").where(~_searched() | F.col("_last").isNull() | (F.col("page_no") <= F.col("_last")))
+            .select(*cols))

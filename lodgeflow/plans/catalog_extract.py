@@ -30,8 +30,13 @@ def driver_pages(spark, sf) -> DataFrame:
     return read_table(spark, sf, "pages")
 
 
-def rt_pages(spark, sf) -> DataFrame:
-    return RT.roundtrip_pages(spark, sf, PR)
+def rt_pages(spark, sf, general: bool = False) -> DataFrame:
+    return RT.roundtrip_pages(spark, sf, PR, general)
+
+
+def _pos():
+    """A listing's place in its page: on these pages one part of it at most differs from 0."""
+    return (F.col("item_pos.a") + F.col("item_pos.b") + F.col("item_pos.c")).cast("int").alias("item_pos")
 
 
 def rt_cards(spark, sf) -> DataFrame:
@@ -96,7 +101,7 @@ _CONT_SQL = OX.ctes_cards() + [
   AND regexp_matches(t, '(?i)(?:bed|br|studio|apartment|housing)')"""))
 def q_ext_container_fallback(spark, sf):
     """Listing-like containers (over 30 characters, a $ amount and a housing word): the card-less fallback."""
-    return EX.container_fallback(rt_pages(spark, sf), PK).select(*PK, "pos", "card")
+    return EX.container_fallback(rt_pages(spark, sf, general=True), PK).select(*PK, "pos", "card")
 
 
 @query("ext_links_title", f"""WITH a0 AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base,
@@ -164,24 +169,26 @@ _card_q("ext_address_split", f"{_SPLIT[0]} AS city, {_SPLIT[1]} AS state, {_SPLI
                                                                "^Location: ", "")), PR.city)
                  .getField(k).alias(k) for k in ("city", "state", "zip_code")])
 _card_q("ext_amenities", f"{OX.amenities('_t')} AS amenities", lambda: [EX.amenities("_t").alias("amenities")])
-_DEFAULT_TYPE = ("CASE " + " ".join(f"WHEN source = {OX.q(r.source)} THEN {OX.q(r.default_type)}"
-                                    for r in EX.HTML_RULES) + " ELSE 'market' END")
+_DEFAULT_TYPE = ("CASE source WHEN 'gosection8.com' THEN 'section8' WHEN 'nchousingsearch.org' THEN 'subsidized' WHEN 'hud.gov' THEN "
+                 "'subsidized' WHEN 'affordablehousing.com' THEN 'subsidized' ELSE 'market' END")
 _card_q("ext_housing_type", f"{OX.senior_type('_t', _DEFAULT_TYPE)} AS housing_type",
-        lambda: [EX.senior_type("_t", F.col("source"), F.coalesce(*[F.when(F.col("source") == r.source,
-                                                                          F.lit(r.default_type))
-                                                                   for r in EX.HTML_RULES], F.lit("market")))
+        lambda: [EX.senior_type("_t", F.col("source"), F.coalesce(*[F.when(F.col("source") == k, F.lit(t))
+                                                                    for k, t in EX.DEFAULT_TYPES.items()], F.lit("market")))
                  .alias("housing_type")])
 
 
-@query("ext_enrich", _w(CARD_CTES, f"""SELECT seq, {OX.price_min('_t', 50, 3000, True)} AS price,
-  {OX.bedrooms('_t')} AS bedrooms, {OX.bathrooms('_t')} AS bathrooms, {OX.phone('_t')} AS phone,
-  {OX.posted('_t')} AS date_posted FROM rt"""))
+@query("ext_enrich", _w(CARD_CTES, f"""SELECT seq, CASE WHEN seq % 3 = 0 THEN 77 ELSE {OX.price_min('_t', 50, 3000, True)} END AS price,
+  CASE WHEN seq % 4 = 0 THEN '9' ELSE {OX.bedrooms('_t')} END AS bedrooms,
+  CASE WHEN seq % 5 = 0 THEN 7.5 ELSE {OX.bathrooms('_t')} END AS bathrooms,
+  CASE WHEN seq % 6 = 0 THEN '1-800' ELSE {OX.phone('_t')} END AS phone,
+  CASE WHEN seq % 7 = 0 THEN 'today' ELSE {OX.posted('_t')} END AS date_posted FROM rt"""))
 def q_ext_enrich(spark, sf):
-    """Fill-only-if-missing pass over empty listings: everything comes from the card text."""
-    empty = rt_cards(spark, sf).select("seq", "_t", F.lit(None).cast("bigint").alias("price"),
-                                       F.lit("").alias("bedrooms"), F.lit(None).cast("double").alias("bathrooms"),
-                                       F.lit("").alias("phone"), F.lit("").alias("date_posted"))
-    return EX.enrich(empty, "_t").select("seq", "price", "bedrooms", "bathrooms", "phone", "date_posted")
+    """Fill-only-if-missing pass over listings that have some of their fields already."""
+    have = lambda n, v: F.when(F.col("seq") % n == 0, F.lit(v))
+    some = rt_cards(spark, sf).select("seq", "_t", have(3, 77).cast("bigint").alias("price"), F.coalesce(have(4, "9"), F.lit("")).alias("bedrooms"),
+                                      have(5, 7.5).alias("bathrooms"), F.coalesce(have(6, "1-800"), F.lit("")).alias("phone"),
+                                      F.coalesce(have(7, "today"), F.lit("")).alias("date_posted"))
+    return EX.enrich(some, "_t").select("seq", "price", "bedrooms", "bathrooms", "phone", "date_posted")
 
 
 @query("ext_default_city", _w(O.ctes_fixture(), f"""SELECT seq, CASE WHEN city <> '' THEN city ELSE
@@ -194,7 +201,7 @@ def q_ext_default_city(spark, sf):
 
 @query("ext_listings_html", _w(OX.ctes_html_listings(), f"SELECT {OX.HTML_COLS} FROM hl"))
 def q_ext_listings_html(spark, sf):
-    """Listings read from the HTML cards of every page by the per-source rules."""
+    """Listings read from the HTML cards of every page, each in its source's own markup."""
     out = XP.html_strategy(rt_pages(spark, sf), PR)
     return out.select(*[c.strip() for c in OX.HTML_COLS.split(",")])
 
@@ -226,24 +233,36 @@ def q_json_ld_graph(spark, sf):
     return g.select(*PK, "block_no", "node_no", JX.vstr(JX.vget("item", "$.name")).alias("name"))
 
 
-@query("json_ld_admit", _w(_LD_ALL, f"SELECT {PKS}, block_no, node_no FROM lb"))
+@query("json_ld_admit", """WITH o AS (
+  SELECT doc_id, ['apartments.com', 'zillow', 'rent.com', 'hud.gov'][doc_id % 4 + 1] AS source, doc_id % 3 = 0 AS from_graph,
+    CASE doc_id % 5 WHEN 0 THEN 'WebPage' WHEN 1 THEN 'ApartmentComplex' ELSE '' END AS kind,
+    doc_id % 7 IN (1, 2) AS named, doc_id % 11 < 4 AS placed FROM documents)
+SELECT doc_id, source FROM o WHERE CASE source WHEN 'apartments.com' THEN kind = 'ApartmentComplex' OR named OR placed WHEN 'hud.gov' THEN TRUE
+  ELSE placed OR (named AND NOT from_graph) END""")
 def q_json_ld_admit(spark, sf):
-    """Objects admitted as listings by each source's @type / address / name test."""
-    a = JX.jsonld_admit(JX.expand_graph(JX.jsonld_blocks(rt_pages(spark, sf), PK), PK))
-    return a.select(*PK, "block_no", "node_no")
+    """Objects admitted as listings by each source's @type / address / name test: one object for each document, some without."""
+    n = F.col("doc_id")
+    item = F.to_json(F.struct(
+        F.when(n % 5 == 0, "WebPage").when(n % 5 == 1, "ApartmentComplex").otherwise("").alias("@type"),
+        F.when((n % 7).isin(1, 2), "Home").when(n % 7 == 3, "").alias("name"),
+        F.when(n % 11 < 4, F.struct(F.lit("Concord").alias("addressLocality"))).alias("address")))
+    sources = F.array(*[F.lit(s) for s in ("apartments.com", "zillow", "rent.com", "hud.gov")])
+    items = read_table(spark, sf, "documents").select("doc_id", F.element_at(sources, (n % 4 + 1).cast("int")).alias("source"),
+                                                      (n % 3 == 0).alias("from_graph"), F.parse_json(item).alias("item"))
+    return JX.jsonld_admit(items).select("doc_id", "source")
 
 
 @query("json_ld_to_listing", _w(OX.ctes_jsonld_listings(), f"SELECT {OX.JSONLD_COLS} FROM jl"))
 def q_json_ld_to_listing(spark, sf):
     """Listing fields mapped from schema.org objects."""
-    out = XP.jsonld_strategy(rt_pages(spark, sf), PR)
+    out = XP.jsonld_strategy(rt_pages(spark, sf), PR).withColumn("item_pos", _pos())
     return out.select(*[c.strip() for c in OX.JSONLD_COLS.split(",")])
 
 
 @query("ext_housing_type_jsonld", _w(OX.ctes_jsonld_listings(), f"SELECT {PKS}, item_pos, housing_type FROM jl"))
 def q_ext_housing_type_jsonld(spark, sf):
     """Housing type of JSON-LD listings: source default, senior on name+description keywords."""
-    return XP.jsonld_strategy(rt_pages(spark, sf), PR).select(*PK, "item_pos", "housing_type")
+    return XP.jsonld_strategy(rt_pages(spark, sf), PR).select(*PK, _pos(), "housing_type")
 
 
 _MARKET = "('apartments.com', 'zillow', 'rent.com')"
@@ -260,17 +279,18 @@ def q_script_json_blocks(spark, sf):
                     n.cast("int").alias("n_results"))
 
 
-@query("json_listing_walk")
+@query("json_listing_walk", _w(OX.ctes_cards(), f"""SELECT {PKS}, 1 AS script_no, 0 AS part, pos,
+  '/props/pageProps/searchResults/listResults/' || lpad(pos::VARCHAR, 10, '0') AS hit_path FROM rc WHERE source IN {_MARKET}"""))
 def q_json_listing_walk(spark, sf):
-    """Listing objects found by the level-wise walk of script data (brute-force checked in tests)."""
+    """Listing objects found in script data, with their paths."""
     pages = rt_pages(spark, sf).where(F.col("source").isin(*XP.MARKET))
-    return JX.json_walk(JX.script_blocks(pages, PK), PK).select(*PK, "script_no", "part", "hit_path")
+    return JX.json_walk(JX.script_blocks(pages, PK), PK).select(*PK, "script_no", "part", "pos", "hit_path")
 
 
 @query("script_json_to_listing", _w(OX.ctes_script_listings(), f"SELECT {OX.SCRIPT_COLS} FROM sl"))
 def q_script_json_to_listing(spark, sf):
     """Listing fields mapped from script data objects by each source's alias chains."""
-    out = XP.script_strategy(rt_pages(spark, sf), PR)
+    out = XP.script_strategy(rt_pages(spark, sf), PR).withColumn("item_pos", _pos())
     return out.select(*[c.strip() for c in OX.SCRIPT_COLS.split(",")])
 
 
@@ -281,12 +301,12 @@ def _cands_sql() -> list[str]:
     ctes += OX.ctes_jsonld_listings()[len(OX.ctes_cards()):]
     ctes += OX.ctes_script_listings()[len(OX.ctes_cards()):]
     ctes += [
-        f"cand AS (SELECT {PKS}, 'html' AS strategy, pos AS item_pos, title, url, price, bedrooms, city, state, "
+        f"cand AS (SELECT {PKS}, kind, 'html' AS strategy, pos AS item_pos, title, url, price, bedrooms, city, state, "
         f"zip_code, neighborhood, housing_type FROM hl UNION ALL "
-        f"SELECT {PKS}, 'jsonld', item_pos, title, url, price, bedrooms, city, state, zip_code, '', housing_type "
+        f"SELECT {PKS}, kind, 'jsonld', item_pos, title, url, price, bedrooms, city, state, zip_code, '', housing_type "
         f"FROM jl UNION ALL "
-        f"SELECT {PKS}, 'script', item_pos, title, url, price, bedrooms, city, state, zip_code, '', 'market' FROM sl)",
-        f"qual AS (SELECT {PKS}, strategy, count(price) AS priced, count(*) FILTER (WHERE bedrooms <> '') AS bedded, "
+        f"SELECT {PKS}, kind, 'script', item_pos, title, url, price, bedrooms, city, state, zip_code, '', 'market' FROM sl)",
+        f"qual AS (SELECT {PKS}, kind, strategy, count(price) AS priced, count(*) FILTER (WHERE bedrooms <> '') AS bedded, "
         f"count(*) AS rows FROM cand GROUP BY ALL)",
     ]
     order = " ".join(f"WHEN source = {OX.q(s)} AND strategy = {OX.q(st)} THEN {i}"
@@ -297,7 +317,7 @@ def _cands_sql() -> list[str]:
         f"(PARTITION BY {PKS} ORDER BY priced DESC, bedded DESC, rows DESC, _ord) = 1)",
         f"fbm AS (SELECT *, min(_ord) OVER (PARTITION BY {PKS}) AS _min FROM qo "
         f"WHERE source NOT IN {_MARKET} AND _ord IS NOT NULL)",
-        f"fb AS (SELECT {PKS}, strategy FROM fbm WHERE source = 'hud.gov' OR _ord = _min)",
+        f"fb AS (SELECT {PKS}, strategy FROM fbm WHERE source = 'hud.gov' AND kind = 'search' OR _ord = _min)",
         f"chosen AS (SELECT c.* FROM cand c JOIN (SELECT * FROM best UNION ALL SELECT * FROM fb) k "
         f"USING ({PKS}, strategy))",
     ]
@@ -307,8 +327,7 @@ def _cands_sql() -> list[str]:
 @query("union_all_cities", _w(_cands_sql(), f"SELECT {PKS}, strategy, item_pos, title FROM cand"))
 def q_union_all_cities(spark, sf):
     """All strategies' listings across sources, cities and pages (union all)."""
-    return XP.candidates(rt_pages(spark, sf), PR).select(*PK, "strategy", F.col("item_pos").cast("int")
-                                                             .alias("item_pos"), "title")
+    return XP.candidates(rt_pages(spark, sf), PR).select(*PK, "strategy", _pos(), "title")
 
 
 @query("strategy_quality", _w(_cands_sql(), f"SELECT {PKS}, strategy, priced, bedded, rows FROM qual"))
@@ -331,25 +350,31 @@ def q_page_fallback_strategy(spark, sf):
     return PG.fallback_strategy(c, PK).select(*PK, "strategy").distinct()
 
 
+_TROUBLE = (f"tp AS (SELECT DISTINCT {PKS}, kind, source IN ('rent.com', 'hud.gov', 'affordablehousing.com', 'gosection8.com') AND city_ord % 3 = 1 "
+            f"AND page_no IN (0, 2, 6) AS failed, source <> 'rent.com' AND city_ord % 4 = 2 AND page_no = 3 AS empty FROM rc)")
+
+
 @query("page_limit", _w(OX.ctes_cards(), f"""SELECT DISTINCT {PKS} FROM rc
-  WHERE page_no <= CASE WHEN source = 'hud.gov' THEN 3 ELSE 5 END"""))
+  WHERE kind <> 'search' OR page_no <= CASE WHEN source = 'hud.gov' THEN 3 ELSE 4 END"""))
 def q_page_limit(spark, sf):
-    """Pages within the page cap (5; 3 for the hud.gov section-8 search)."""
-    return PG.page_limit(rt_pages(spark, sf), 5).select(*PK)
+    """Pages within a cap of 4 a search (3 for the hud.gov section-8 search; locator and senior pages have none)."""
+    return PG.page_limit(rt_pages(spark, sf), 4).select(*PK)
 
 
-@query("source_error_policy", _w(OX.ctes_cards(), f"SELECT DISTINCT {PKS} FROM rc"))
+@query("source_error_policy", _w(OX.ctes_cards() + [_TROUBLE], f"""SELECT {PKS} FROM tp WHERE NOT failed AND source <> 'rent.com'
+  AND (kind <> 'search' OR source NOT IN ('hud.gov', 'affordablehousing.com', 'gosection8.com') OR city_ord % 3 <> 1 OR page_no < 2)"""))
 def q_source_error_policy(spark, sf):
-    """Pages left after fetch errors are applied (none failed in this crawl)."""
-    return PG.error_policy(rt_pages(spark, sf)).select(*PK)
+    """Pages left after fetch errors: rent.com is lost, three searches stop at page 2, locator and senior pages fail alone."""
+    return PG.error_policy(RT.troubled(rt_pages(spark, sf))).select(*PK)
 
 
-@query("page_prefix", _w(_cands_sql(), f"SELECT {PKS}, strategy, item_pos FROM chosen"))
+@query("page_prefix", _w(_cands_sql() + [_TROUBLE], f"""SELECT {PKS}, strategy, item_pos FROM chosen JOIN tp USING ({PKS}) WHERE NOT empty
+  AND (tp.kind <> 'search' OR source IN ('rent.com', 'hud.gov') OR city_ord % 4 <> 2 OR page_no < 3)"""))
 def q_page_prefix(spark, sf):
-    """Chosen listings of pages before each search's first empty page."""
-    pages = rt_pages(spark, sf)
+    """Chosen listings of pages before each search's first empty page (its third, in a fourth of the searches)."""
+    pages = RT.troubled(rt_pages(spark, sf)).withColumn("error", F.lit(None).cast("string"))
     chosen = PG.choose_strategy(XP.candidates(pages, PR))
-    return PG.page_prefix(chosen, pages).select(*PK, "strategy", F.col("item_pos").cast("int").alias("item_pos"))
+    return PG.page_prefix(chosen, pages).select(*PK, "strategy", _pos())
 
 
 def _tag_sql(hood: str) -> str:
@@ -366,8 +391,7 @@ def q_tag_search_city(spark, sf):
     """Market listings found by another city's search carry that city in the neighborhood."""
     pages = rt_pages(spark, sf)
     chosen = PG.choose_strategy(XP.candidates(pages, PR)).where(F.col("source").isin(*XP.MARKET))
-    return EX.tag_search_city(chosen, PR.city).select(*PK, "strategy", F.col("item_pos").cast("int")
-                                                      .alias("item_pos"), "city", "neighborhood")
+    return EX.tag_search_city(chosen, PR.city).select(*PK, "strategy", _pos(), "city", "neighborhood")
 
 
 _SRC_ORD = "CASE " + " ".join(f"WHEN source = {OX.q(s)} THEN {i}" for i, (_, s, _, _) in enumerate(P.SOURCES)) + " END"
@@ -377,9 +401,8 @@ EXTRACT_COLS = ["seq", "source", "title", "url", "price", "bedrooms", "city", "s
                 "housing_type"]
 
 
-@query("extract_pages", _w(_cands_sql(), f"""SELECT (CAST({_SRC_ORD} AS BIGINT) << 56) + (CAST(city_ord AS BIGINT) << 28)
-  + (CAST(page_no AS BIGINT) << 18) + (CAST({_STRAT_ORD} AS BIGINT) << 14) + CAST(item_pos AS BIGINT) AS seq, source, title, url, price,
-  bedrooms, city, state, zip_code, CASE WHEN source IN {_MARKET} THEN {_tag_sql('neighborhood')} ELSE neighborhood
+@query("extract_pages", _w(_cands_sql(), f"""SELECT row_number() OVER (ORDER BY {_SRC_ORD}, city_ord, page_no, {_STRAT_ORD}, item_pos) AS seq,
+  source, title, url, price, bedrooms, city, state, zip_code, CASE WHEN source IN {_MARKET} THEN {_tag_sql('neighborhood')} ELSE neighborhood
   END AS neighborhood, housing_type FROM chosen"""))
 def q_extract_pages(spark, sf):
     """All pages to listings: strategies, page policies, search-city tags, crawl order."""

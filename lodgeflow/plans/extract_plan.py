@@ -1,61 +1,76 @@
 """Pages -> listings: all strategies, page policies, one listing frame.
 
-Per page: cards (HTML), JSON-LD objects and script data are extracted side
-by side (each narrow over the page rows), unioned, and each source's policy
-picks among them per page (an aggregate per page + semi join).  Pages after
-a search's first empty page, pages beyond the cap and failed fetches are
-removed by aggregates on (source, search) keys.  ``seq`` orders listings as
-the sequential crawl would: source registry order, search city, page,
-strategy append order, position in the page.
+One pass over each page's html gives its fragments (cards, JSON-LD scripts,
+listing objects of data scripts), written once; the strategies read them, and
+each source's policy picks among their listings per page (an aggregate per page
++ semi join).  Pages after a search's first empty page, pages beyond the cap and
+failed fetches are removed by aggregates on (source, search) keys.  ``seq`` numbers
+listings as the sequential crawl would meet them: source registry order, search
+city, page, strategy append order, position in the page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
 from lodgeflow import schema
 from lodgeflow.operators import extract as EX
 from lodgeflow.operators import json_extract as JX
+from lodgeflow.operators import markup as MU
 from lodgeflow.operators import pages as PG
 from lodgeflow.operators.rank import global_rank
 from lodgeflow.session import checkpoint_dir
 
 PAGE_COLS = ["source", "search_city", "city_ord", "page_no"]
+PAGE_KIND = [*PAGE_COLS, "kind"]
 MARKET = ("apartments.com", "zillow", "rent.com")
 
 
-def html_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
-    """Card listings; pages of card-less sources fall back to plausible containers."""
-    cards = EX.cards(pages, PAGE_COLS)
-    bare = pages.where(F.col("source").isin(*EX.CONTAINER_RULES) & ~EX.has_cards())
-    conts = EX.source_containers(bare, PAGE_COLS)
+def page_fragments(pages: DataFrame, want=("card", "jsonld", "script")) -> DataFrame:
+    """Fragments of all pages with their page keys and kind."""
+    return MU.fragments(PG.with_kind(pages), PAGE_KIND, want)
+
+
+def _html(found: DataFrame, params: P.SearchParams) -> DataFrame:
+    """Card listings. One source's two page kinds gate their cards by words."""
+    cards = found.where(F.col("what") == "card").select(*PAGE_KIND, "pos", "text", "parts", "details")
     hud = F.col("source") == "hud.gov"
-    all_cards = cards.unionByName(conts).where(~hud | EX.state_gate(EX.text_of(F.col("card"))))
-    out = EX.html_listings(all_cards, params.city, params.state)
-    out = out.withColumn("housing_type", F.when(hud, F.lit(P.TYPE_SUBSIDIZED)).otherwise(F.col("housing_type")))
-    return EX.admit(out).withColumns({"strategy": F.lit("html"), "item_pos": F.col("pos")})
+    gate = F.when(F.col("kind") == "locator", EX.housing_gate("text")).otherwise(EX.state_gate("text"))
+    out = EX.html_listings(cards.where(~hud | gate), params.city, params.state)
+    return EX.admit(out).withColumns({"strategy": F.lit("html"), "item_pos": F.struct(F.col("pos").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))})
 
 
-def jsonld_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
-    items = JX.jsonld_admit(JX.expand_graph(JX.jsonld_blocks(pages, PAGE_COLS), PAGE_COLS))
-    out = JX.jsonld_to_listing(items, params.city, params.state)
-    htype = JX.jsonld_housing_type(F.col("source"), F.col("senior_hint"))
-    out = out.withColumn("housing_type", F.when(F.col("source") == "hud.gov", F.lit(P.TYPE_SUBSIDIZED))
-                         .otherwise(htype))
-    pos = F.row_number().over(Window.partitionBy(*PAGE_COLS).orderBy("block_no", "item_no", "node_no")) - 1
-    return EX.admit(out).withColumns({"strategy": F.lit("jsonld"), "item_pos": pos})
+def _jsonld(found: DataFrame, params: P.SearchParams) -> DataFrame:
+    objects = JX.jsonld_objects(found.where(F.col("what") == "jsonld"), PAGE_KIND)
+    out = JX.jsonld_to_listing(JX.jsonld_admit(JX.expand_graph(objects, PAGE_KIND)), params.city, params.state)
+    htype = JX.jsonld_housing_type(F.col("source"), F.col("senior_hint"), F.col("kind"))
+    return EX.admit(out.withColumn("housing_type", htype)).withColumns({
+        "strategy": F.lit("jsonld"), "item_pos": F.struct(F.col("block_no").alias("a"), F.col("item_no").alias("b"), F.col("node_no").alias("c"))})
 
 
-def script_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
-    blocks = JX.script_blocks(pages.where(F.col("source").isin(*MARKET)), PAGE_COLS)
-    hits = JX.json_walk(blocks, PAGE_COLS)
+def _script(found: DataFrame, params: P.SearchParams) -> DataFrame:
+    hits = found.where(F.col("what") == "script").select(*PAGE_KIND, "pos", F.try_parse_json("item").alias("item"))
     out = JX.script_to_listing(hits, params.city, params.state).withColumn("housing_type", F.lit(P.TYPE_MARKET))
-    pos = F.row_number().over(Window.partitionBy(*PAGE_COLS).orderBy("script_no", "part", "hit_path")) - 1
     # only one source asks its script rows for a title or url
     admitted = out.where((F.col("source") != "apartments.com") | (F.col("title") != "") | (F.col("url") != ""))
-    return admitted.withColumns({"strategy": F.lit("script"), "item_pos": pos})
+    return admitted.withColumns({"strategy": F.lit("script"), "item_pos": F.struct(F.col("pos").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"))})
+
+
+def html_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
+    """Listings of cards, of containers where a page of some sources has none."""
+    return _html(page_fragments(pages, ("card",)), params)
+
+
+def jsonld_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
+    """Listings of JSON-LD objects."""
+    return _jsonld(page_fragments(pages, ("jsonld",)), params)
+
+
+def script_strategy(pages: DataFrame, params: P.SearchParams) -> DataFrame:
+    """Listings of the objects in script data (market sources)."""
+    return _script(page_fragments(pages.where(F.col("source").isin(*MARKET)), ("script",)), params)
 
 
 LISTING_FIELDS = ["title", "price", "bedrooms", "bathrooms", "sqft", "address", "city", "state", "zip_code",
@@ -65,68 +80,58 @@ LISTING_FIELDS = ["title", "price", "bedrooms", "bathrooms", "sqft", "address",
 def _conform(df: DataFrame) -> DataFrame:
     numeric = ("price", "bathrooms", "sqft")
     cols = [F.col(c) if c in df.columns else (F.lit(None) if c in numeric else F.lit("")) for c in LISTING_FIELDS]
-    return df.select(*PAGE_COLS, "strategy", "item_pos",
+    return df.select(*PAGE_KIND, "strategy", "item_pos",
                      *[c.alias(n) for c, n in zip(cols, LISTING_FIELDS)])
 
 
-def all_strategies(pages: DataFrame, params: P.SearchParams = P.DEFAULT) -> DataFrame:
+def all_strategies(found: DataFrame, params: P.SearchParams = P.DEFAULT) -> DataFrame:
     """Every strategy's listings of every page, unioned (before the per-page choice)."""
-    return (_conform(html_strategy(pages, params))
-            .unionByName(_conform(jsonld_strategy(pages, params)))
-            .unionByName(_conform(script_strategy(pages, params))))
+    return (_conform(_html(found, params)).unionByName(_conform(_jsonld(found, params)))
+            .unionByName(_conform(_script(found, params))))
 
 
 def candidates(pages: DataFrame, params: P.SearchParams = P.DEFAULT) -> DataFrame:
-    """All strategies' listings, written once to the shared checkpoint folder.
+    """All strategies' listings, written to the shared checkpoint folder as the fragments are.
 
     They feed several aggregates and joins (quality, choice, page prefix);
-    the stored rows are narrow (no html), so this is the natural stage cut.
+    the stored rows hold no html, so these are the natural stage cuts.
     """
     checkpoint_dir(pages.sparkSession)
-    return all_strategies(pages, params).checkpoint(eager=True)
+    return all_strategies(page_fragments(pages).checkpoint(eager=True), params).checkpoint(eager=True)
 
 
 def _order_columns() -> list[F.Column]:
     """Crawl order: source, search city, page, strategy, position."""
     src_ord = F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, (_, s, _, _) in enumerate(P.SOURCES)],
-                         F.lit(7))
+                         F.lit(len(P.SOURCES)))
     strat = PG.strategy_rank(F.col("source"), F.col("strategy"))
     return [src_ord, F.col("city_ord"), F.col("page_no"), strat, F.col("item_pos")]
 
 
-def order_key() -> F.Column:
-    """Crawl order as one number, for rows that :func:`_fits` holds for."""
-    src_ord, city, page, strat, item = [c.cast("bigint") for c in _order_columns()]
-    return (F.shiftleft(src_ord, 56) + F.shiftleft(city, 28) + F.shiftleft(page, 18) + F.shiftleft(strat, 14) + item)
-
-
-def _fits() -> F.Column:
-    """Whether city, page and position fit into their bits of :func:`order_key`."""
-    fit = (F.col("city_ord").between(0, (1 << 28) - 1) & F.col("page_no").between(0, (1 << 10) - 1)
-           & F.col("item_pos").between(0, (1 << 14) - 1))
-    return F.coalesce(fit, F.lit(False))
+def number(listings: DataFrame) -> DataFrame:
+    """``seq`` from 1 in crawl order, by a distributed rank."""
+    keys = [f"_o{i}" for i in range(5)]
+    return global_rank(listings.withColumns(dict(zip(keys, _order_columns()))), keys, "seq").drop(*keys)
 
 
 def extract_listings(pages: DataFrame, params: P.SearchParams = P.DEFAULT, cap: int | None = None,
-                     stop_at_errors: bool = False, stop_at_empty: bool = False) -> DataFrame:
+                     stop_at_errors: bool = False, stop_at_empty: bool = False, stop_at_end: bool = False) -> DataFrame:
     """Listings of all pages: LISTING columns plus page coordinates and strategy.
 
     Every page that was fetched counts; one that failed has no listings. The crawl's
     own cuts are offered for comparison with it: ``cap`` pages a search,
-    ``stop_at_errors`` (see error_policy) and ``stop_at_empty`` (see page_prefix).
+    ``stop_at_errors`` (see error_policy), ``stop_at_empty`` (see page_prefix) and
+    ``stop_at_end`` (see paging_stops).
     """
+    pages = PG.with_kind(pages)
     if cap is not None:
         pages = PG.page_limit(pages, cap)
     pages = PG.error_policy(pages) if stop_at_errors else pages.where(F.col("error").isNull())
-    found = candidates(pages, params)
-    chosen = PG.choose_strategy(found)
+    if stop_at_end:
+        pages = PG.paging_stops(pages)
+    chosen = PG.choose_strategy(candidates(pages, params))
     if stop_at_empty:
         chosen = PG.page_prefix(chosen, pages)
     market = F.col("source").isin(*MARKET)
     tagged = EX.tag_search_city(chosen.where(market), params.city).unionByName(chosen.where(~market))
-    # seq must be unique: where a field outgrows its bits, rows are numbered in the same order instead
-    if found.agg(F.every(_fits()).alias("fit")).first()["fit"] is False:
-        keys = [f"_o{i}" for i in range(5)]
-        numbered = global_rank(tagged.withColumns(dict(zip(keys, _order_columns()))), keys, "seq")
-        return schema.normalize(numbered.drop(*keys))
-    return schema.normalize(tagged.withColumn("seq", order_key()))
+    return schema.normalize(number(tagged))

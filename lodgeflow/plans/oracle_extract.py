@@ -1,10 +1,11 @@
 """Reference SQL (DuckDB) for extraction queries.
 
-HTML: DuckDB renders the same cards from the listings fixture and applies
-the same patterns (RE2), so Java-vs-RE2 and rule plumbing are checked.
-JSON-LD and script data: the expected listing fields are stated directly
-from the fixture columns (what a correct mapping must give), independent of
-how the Spark job walks the JSON.
+Field rules on single cards: DuckDB renders the same general cards from the
+listings fixture and applies the same patterns (RE2), so Java-vs-RE2 and rule
+plumbing are checked.  Whole listings, from each source's own markup, from JSON-LD
+and from script data: the expected fields are stated directly from the fixture
+columns (what a correct extraction must give), independent of how the Spark job
+reads the pages.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def senior_type(t: str, default: str) -> str:
 
 
 def absolute_url(href: str, base: str) -> str:
-    return (f"CASE WHEN {href} = '' THEN '' WHEN starts_with({href}, 'http') THEN {href} "
+    return (f"CASE WHEN {href} = '' OR starts_with({href}, '#') OR regexp_matches({href}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {href} "
             f"ELSE {base} || '/' || ltrim({href}, '/') END")
 
 
@@ -159,102 +160,74 @@ CARD = ("concat_ws(chr(10), '<article class=\"card\">', "
         f"'<p class=\"features\">' || {FEATURES} || '</p>', '</article>')")
 
 
+LINK = ("CASE WHEN seq % 29 = 0 THEN regexp_replace(url, '^https://(?:ex|EX)[.]org', '') "
+        "WHEN seq % 31 = 0 AND url <> '' THEN 'javascript:void(0)' ELSE url END")
+
+
 def ctes_cards() -> list[str]:
-    """``rc``: every fixture listing with its page coordinates, position and rendered card."""
+    """``rc``: every fixture listing with its page coordinates, kind of page, position, link and general card."""
     areas = RT.search_areas(PR)
-    n = "CASE WHEN source = 'hud.gov' THEN 3 ELSE 5 END"
+    n = "CASE source WHEN 'hud.gov' THEN 4 WHEN 'affordablehousing.com' THEN 6 ELSE 5 END"
     return O.ctes_fixture() + [
         f"rb AS (SELECT *, CAST(floor(seq / {RT.BLOCK}) AS INTEGER) AS _block FROM fx)",
         f"rp AS (SELECT *, CAST(floor(_block / {n}) AS INTEGER) AS city_ord, "
-        f"CAST(_block % {n} + 1 AS INTEGER) AS page_no FROM rb)",
+        f"CAST(_block % {n} + CASE WHEN source = 'hud.gov' THEN 0 ELSE 1 END AS INTEGER) AS page_no FROM rb)",
         f"rc AS (SELECT *, [{', '.join(q(a) for a in areas)}][city_ord % {len(areas)} + 1] AS search_city, "
+        f"CASE WHEN source = 'hud.gov' AND page_no = 0 THEN 'locator' WHEN source = 'affordablehousing.com' AND page_no = 6 "
+        f"THEN 'senior' ELSE 'search' END AS kind, "
         f"CAST(row_number() OVER (PARTITION BY source, city_ord, page_no ORDER BY seq) - 1 AS INTEGER) AS pos, "
-        f"{CARD} AS card FROM rp)",
+        f"{LINK} AS link, {CARD} AS card FROM rp)",
     ]
 
 
-# ------------------------------------------------------------------ HTML listings by rule
-
-def html_fields(city_default: str = PR.city, state_default: str = PR.state) -> dict[str, str]:
-    """Per-field CASE over the source rules, on columns ``card`` and ``_t`` (card text)."""
-    card, t = "card", "_t"
-    fields = {k: [] for k in ("price", "bedrooms", "bathrooms", "sqft", "address", "neighborhood", "city", "state",
-                              "zip_code", "phone", "date_posted", "amenities")}
-    tel = "regexp_extract(card, 'href=\"(tel:[^\"]*)\"', 1)"
-    for r in EX.HTML_RULES:
-        elem = element_text(card, "span", "price")
-        src = f"CASE WHEN {elem} <> '' THEN {elem} ELSE {t} END" if r.price_elem else t
-        if r.price[0] == "first":
-            p = price_first(elem)
-        elif r.price[0] == "min_all":
-            p = price_min(elem)
-        else:
-            _, lo, hi, inc = r.price
-            p = price_min(src, lo, hi, inc)
-        if r.income:
-            p = income_based(p, t, r.income)
-        if r.enrich:
-            p = f"coalesce({p}, {price_min(t, 50, 3000, True)})"
-        beds_src = element_text(card, "span", "beds") if r.beds_elem else t
-        b = bedrooms(beds_src, EX.BEDS_RE[r.beds], r.source == "apartments.com") if r.beds else "''"
-        if r.enrich:
-            b = f"coalesce(nullif({b}, ''), nullif({bedrooms(t)}, ''), '')"
-        if r.baths:
-            bsrc = element_text(card, "span", "baths") if r.source in ("apartments.com", "zillow", "rent.com") else t
-            ba = bathrooms(bsrc, EX.BATHS_RE[r.baths])
-        else:
-            ba = "CAST(NULL AS DOUBLE)"
-        if r.enrich:
-            ba = f"coalesce({ba}, {bathrooms(t)})"
-        sq = sqft(element_text(card, "span", "sqft") if r.source != "gosection8.com" else t, EX.SQFT_RE[r.sqft]) \
-            if r.sqft else "CAST(NULL AS BIGINT)"
-        addr_el = element_text(card, "div", "address")
-        hood = element_text(card, "span", "hood")
-        addr = {"element": addr_el, "street": street(t), "hood": hood}[r.address]
-        if r.csz == "nc":
-            c, s_, z = csz_parts(t, city_default, state_default)
-        elif r.csz == "split":
-            sc, ss, sz = split_address(addr_el, city_default)
-            c = f"coalesce(nullif({sc}, ''), {q(city_default)})"
-            s_ = f"coalesce(nullif({ss}, ''), {q(state_default)})"
-            z = sz
-        else:
-            c, s_, z = q(city_default), q(state_default), "''"
-        ph = phone(t, tel if r.source in ("apartments.com", "zillow", "rent.com") else None)
-        d = posted(t) if r.date else "''"
-        if r.source == "craigslist":
-            d = f"coalesce(nullif(regexp_extract(card, 'datetime=\"([^\"]*)\"', 1), ''), {posted(t)})"
-        vals = {"price": p, "bedrooms": b, "bathrooms": ba, "sqft": sq, "address": addr,
-                "neighborhood": hood if r.address == "hood" else "''", "city": c, "state": s_, "zip_code": z,
-                "phone": ph, "date_posted": d, "amenities": amenities(t) if r.amenities else "''"}
-        for k, v in vals.items():
-            fields[k].append((r.source, v))
-    out = {}
-    for k, pairs in fields.items():
-        out[k] = "CASE " + " ".join(f"WHEN source = {q(s)} THEN {v}" for s, v in pairs) + " END"
-    return out
+# ------------------------------------------------------------------ HTML listings: what each source's page says
+
+NCH, HUD, AFF, GS8 = "'nchousingsearch.org'", "'hud.gov'", "'affordablehousing.com'", "'gosection8.com'"
 
 
 def ctes_html_listings() -> list[str]:
     """``hl``: HTML-strategy listings of the round-trip pages, admitted, with page keys and pos."""
-    base = "CASE " + " ".join(f"WHEN source = {q(s)} THEN {q(b)}" for _, s, _, b in P.SOURCES) + " END"
-    f = html_fields()
-    defaults = "CASE " + " ".join(f"WHEN source = {q(r.source)} THEN {q(r.default_type)}" for r in EX.HTML_RULES) \
-        + " ELSE 'market' END"
-    link_href = "regexp_extract(card, '(?s)<a\\s[^>]*?href=\"([^\"]*)\"', 1)"
-    link_text = strip(text_of("regexp_extract(card, '(?s)<a\\s[^>]*>(.*?)</a>', 1)"))
-    sel = ", ".join(f"{v} AS {k}" for k, v in f.items())
+    base = "CASE source " + " ".join(f"WHEN {q(s)} THEN {q(b)}" for _, s, _, b in P.SOURCES) + " END"
+    subsidized = f"source IN ({NCH}, {HUD}, {AFF}, {GS8})"
+    # 'City, NC 12345' is read from a card's text only where it stands there in that form, the city in letters
+    found = "state = 'NC' AND zip_code <> '' AND regexp_matches(city, '^[A-Za-z ]*$')"
+    # the address element's text: its pieces without white space around them
+    line = f"{strip('address')} || {strip(chr(39) + ', ' + chr(39) + ' || city || ' + chr(39) + ', ' + chr(39) + ' || state || ' + chr(39) + ' ' + chr(39) + ' || zip_code')}"
+    dated = "regexp_extract(date_posted, '^[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}')"
+    area = "CAST(500 * (1 + bathrooms) AS BIGINT)"
     return ctes_cards() + [
-        f"ht AS (SELECT source, search_city, city_ord, page_no, pos, card, {text_of('card')} AS _t FROM rc)",
-        f"hx AS (SELECT source, search_city, city_ord, page_no, pos, {link_text} AS title, "
-        f"CASE WHEN {link_href} <> '' THEN {absolute_url(link_href, base)} ELSE '' END AS url, {sel}, "
-        f"CASE WHEN source = 'hud.gov' THEN 'subsidized' ELSE {senior_type('_t', defaults)} END AS housing_type "
-        f"FROM ht WHERE source <> 'hud.gov' OR {state_gate('_t')})",
+        f"""hx AS (SELECT source, search_city, city_ord, page_no, kind, pos,
+  CASE WHEN source = 'zillow' THEN {strip('address')}
+       WHEN source = 'apartments.com' AND {strip('title')} = '' AND link <> '' THEN 'View' ELSE {strip('title')} END AS title,
+  CASE WHEN link = '' OR starts_with(link, 'http') THEN link
+       WHEN source IN ({NCH}, {HUD}, {AFF}) THEN {base} || '/' || ltrim(link, '/')
+       WHEN starts_with(link, '/') THEN {base} || link
+       WHEN source = {GS8} THEN {base} || '/' || link ELSE link END AS url,
+  CASE WHEN source = {NCH} AND coalesce(price, 0) = 0 OR source = {AFF} AND price = 0 THEN 0
+       WHEN price > 0 AND (price <= 2000 OR NOT {subsidized}) THEN price END AS price,
+  CASE WHEN source = {HUD} THEN '' ELSE bedrooms END AS bedrooms,
+  CASE WHEN source NOT IN ({HUD}, {AFF}, 'craigslist') THEN bathrooms END AS bathrooms,
+  CASE WHEN source NOT IN ({NCH}, {HUD}, {AFF}) THEN {area} END AS sqft,
+  CASE source WHEN {HUD} THEN {street(text_of('card'))} WHEN 'craigslist' THEN neighborhood
+       WHEN 'apartments.com' THEN {line} ELSE {strip('address')} END AS address,
+  CASE WHEN source = 'craigslist' THEN neighborhood ELSE '' END AS neighborhood,
+  CASE WHEN {subsidized} AND {found} THEN {strip('city')} WHEN source = 'apartments.com' AND {strip('city')} <> '' THEN {strip('city')}
+       ELSE {q(PR.city)} END AS city,
+  CASE WHEN source = 'apartments.com' AND state || zip_code <> '' THEN CASE WHEN state <> '' THEN state ELSE zip_code END
+       ELSE {q(PR.state)} END AS state,
+  CASE WHEN {subsidized} AND {found} OR source = 'apartments.com' AND state <> '' THEN zip_code ELSE '' END AS zip_code,
+  phone,
+  CASE WHEN source = 'craigslist' THEN date_posted WHEN source IN ({NCH}, {HUD}, {AFF}) THEN '' ELSE {dated} END AS date_posted,
+  CASE WHEN source = {NCH} THEN concat_ws(', ', CASE WHEN bathrooms >= 1 THEN 'Laundry' END, CASE WHEN zip_code <> '' THEN 'Parking' END,
+       CASE WHEN price IS NULL THEN 'Pets, No Pets' END) ELSE '' END AS amenities,
+  CASE WHEN source = {GS8} THEN 'section8' WHEN NOT {subsidized} THEN 'market' WHEN source = {HUD} AND kind = 'search' THEN 'subsidized'
+       WHEN housing_type = 'senior' OR kind = 'senior' THEN 'senior' ELSE 'subsidized' END AS housing_type
+  FROM rc WHERE source <> {HUD} OR CASE WHEN kind = 'locator' THEN housing_type = 'senior' ELSE {state_gate(text_of('card'))} END)""",
         "hl AS (SELECT * FROM hx WHERE title <> '' OR url <> '')",
     ]
 
 
-HTML_COLS = ("source, search_city, city_ord, page_no, pos, title, url, price, bedrooms, bathrooms, sqft, address, "
+HTML_COLS = ("source, search_city, city_ord, page_no, kind, pos, title, url, price, bedrooms, bathrooms, sqft, address, "
              "neighborhood, city, state, zip_code, phone, date_posted, amenities, housing_type")
 
 
@@ -265,19 +238,18 @@ def ctes_jsonld_listings() -> list[str]:
     rooms = ("CASE WHEN lower(bedrooms) IN ('studio', '0') THEN 'Studio' "
              "WHEN regexp_matches(bedrooms, '^\\d+$') THEN CAST(CAST(bedrooms AS BIGINT) AS VARCHAR) END")
     hint = ("(" + " OR ".join(f"contains(lower(title || {FEATURES}), {q(k)})" for k in P.SENIOR_KEYWORDS) + ")")
-    htype = (f"CASE WHEN source = 'gosection8.com' THEN 'section8' WHEN source = 'hud.gov' THEN 'subsidized' "
-             f"WHEN source IN ('nchousingsearch.org', 'affordablehousing.com') THEN "
-             f"CASE WHEN {hint} THEN 'senior' ELSE 'subsidized' END ELSE 'market' END")
+    htype = (f"CASE WHEN source = 'gosection8.com' THEN 'section8' WHEN source = 'hud.gov' AND kind = 'search' THEN 'subsidized' "
+             f"WHEN source IN ({NCH}, {HUD}, {AFF}) THEN "
+             f"CASE WHEN {hint} OR kind = 'senior' THEN 'senior' ELSE 'subsidized' END ELSE 'market' END")
     return ctes_cards() + [
-        f"jx AS (SELECT source, search_city, city_ord, page_no, seq, "
+        f"jx AS (SELECT source, search_city, city_ord, page_no, kind, pos AS item_pos, "
         f"CASE WHEN title <> '' THEN title ELSE substr({FEATURES}, 1, 60) END AS title, "
         f"CASE WHEN price IS NULL OR price = 0 THEN NULL ELSE price END AS price, url, address, "
         f"CASE WHEN city <> '' THEN city ELSE {q(PR.city)} END AS city, "
         f"CASE WHEN state <> '' THEN state ELSE {q(PR.state)} END AS state, zip_code, "
         f"coalesce({rooms}, '') AS bedrooms, CAST(NULL AS DOUBLE) AS bathrooms, CAST(NULL AS BIGINT) AS sqft, "
         f"phone, {htype} AS housing_type FROM rc)",
-        "jl AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, city_ord, page_no ORDER BY seq) - 1 AS INTEGER)"
-        " AS item_pos FROM jx WHERE title <> '' OR url <> '')",
+        "jl AS (SELECT * FROM jx WHERE title <> '' OR url <> '')",
     ]
 
 
@@ -292,7 +264,7 @@ def ctes_script_listings() -> list[str]:
     rooms_num = "CASE WHEN lower(bedrooms) IN ('studio', '0') THEN 0 WHEN regexp_matches(bedrooms, '^\\d+$') " \
                 "THEN CAST(bedrooms AS BIGINT) END"
     return ctes_cards() + [
-        f"sx AS (SELECT source, search_city, city_ord, page_no, seq, "
+        f"sx AS (SELECT source, search_city, city_ord, page_no, kind, pos AS item_pos, "
         f"CASE source WHEN 'zillow' THEN address ELSE title END AS title, "
         f"CASE source WHEN 'zillow' THEN '' ELSE url END AS url, "
         f"CASE WHEN source = 'rent.com' OR price = 0 THEN NULL ELSE price END AS price, "
@@ -303,8 +275,7 @@ def ctes_script_listings() -> list[str]:
         f"address, {zc} AS city, {zs} AS state, zip_code, phone, "
         f"CASE source WHEN 'zillow' THEN date_posted ELSE '' END AS date_posted FROM rc "
         f"WHERE source IN ('apartments.com', 'zillow', 'rent.com'))",
-        "sl AS (SELECT *, CAST(row_number() OVER (PARTITION BY source, city_ord, page_no ORDER BY seq) - 1 AS INTEGER)"
-        " AS item_pos FROM sx WHERE source <> 'apartments.com' OR title <> '' OR url <> '')",
+        "sl AS (SELECT * FROM sx WHERE source <> 'apartments.com' OR title <> '' OR url <> '')",
     ]
 
 

@@ -28,6 +28,8 @@ PAGE = T.StructType([
     T.StructField("city_ord", I), T.StructField("page_no", I),
     T.StructField("url", S), T.StructField("html", S),
     T.StructField("fetched_at", TS), T.StructField("error", S),
+    # search (also null), locator or senior; a locator's or senior page's number differs from those of the search it stands beside
+    T.StructField("kind", S),
 ])
 
 SEEN = T.StructType([
