@@ -62,85 +62,110 @@ def link() -> Column:
             .when((F.col("seq") % 31 == 0) & (u != ""), F.lit("javascript:void(0)")).otherwise(u))
 
 
-def _shown() -> dict[str, Column]:
+def _shown(link_col: Column) -> dict[str, Column]:
     """The parts of a card as texts."""
     g = F.col
+    some = lambda text, unit: F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit(unit)))
+    baths = F.when(g("bathrooms").isNull(), F.lit("")).otherwise(short_float(g("bathrooms")))
+    area = F.when(g("bathrooms").isNull(), F.lit("")).otherwise(F.format_number((500 * (1 + g("bathrooms"))).cast("bigint"), 0))
+    counted = g("bedrooms").rlike(r"^\d+$")
+    tel = F.concat(F.lit('<a class="call" href="tel:'), g("phone"), F.lit('">Call</a>'))
     return {
-        "title": _esc(g("title")), "link": _esc(link()), "address": _esc(g("address")),
+        "title": _esc(g("title")), "link": _esc(link_col), "address": _esc(g("address")),
         "place": F.concat(_esc(g("city")), F.lit(", "), g("state"), F.lit(" "), g("zip_code")),
         "price": F.when(g("price").isNull(), F.lit("Call for rent")).when(g("price") == 0, F.lit("Income based"))
         .otherwise(F.concat(F.lit("$"), F.format_number(g("price"), 0))),
-        "baths": F.when(g("bathrooms").isNull(), F.lit("")).otherwise(short_float(g("bathrooms"))),
-        "area": F.when(g("bathrooms").isNull(), F.lit("")).otherwise(F.format_number((500 * (1 + g("bathrooms"))).cast("bigint"), 0)),
-        "phone": g("phone"), "posted": g("date_posted"), "features": features(), "hood": g("neighborhood"),
+        "phone": g("phone"), "tel": F.when(g("phone") == "", F.lit("")).otherwise(tel), "posted": g("date_posted"), "features": features(),
+        "hood": g("neighborhood"), "rooms": g("bedrooms"), "bed": F.when(counted, F.lit(" bed")).otherwise(F.lit("")),
+        "br": F.when(counted, F.lit("br")).otherwise(F.lit("")), "beds": F.when(counted, F.lit(" Beds")).otherwise(F.lit("")),
+        "bds": F.when(counted, F.lit(" bds")).otherwise(F.lit("")), "bath": some(baths, " bath"), "bths": some(baths, " Baths"),
+        "ba": some(baths, " ba"), "sq_ft": some(area, " sq ft"), "feet": some(area, "ft"), "sqft": some(area, " sqft"), "area": some(area, " Sq. Ft."),
     }
 
 
-def _beds(unit: str) -> Column:
-    b = F.col("bedrooms")
-    return F.when(b.rlike(r"^\d+$"), F.concat(b, F.lit(unit))).otherwise(b)
-
-
-def _with(text: Column, unit: str) -> Column:
-    return F.when(text == "", F.lit("")).otherwise(F.concat(text, F.lit(unit)))
-
-
-def _lines(*lines: str, **more: Column) -> Column:
-    """Lines of markup; {name} stands for a part of the card."""
-    parts = _shown() | more
-    out = []
-    for line in lines:
-        pieces = [F.lit(p) if i % 2 == 0 else parts[p] for i, p in enumerate(re.split(r"\{(\w+)\}", line))]
-        out.append(F.concat(*pieces))
-    return F.concat_ws("\n", *out)
+#: Cards in general markup, and in that of five sources; {name} stands for a part of the card.
+GENERAL_CARD = """<article class="card">
+<h2><a href="{link}">{title}</a></h2>
+<span class="price">{price}</span>
+<span class="beds">{rooms}{bed}</span>
+<span class="baths">{bath}</span>
+<span class="sqft">{sq_ft}</span>
+<div class="address">{address}</div>
+<div class="location">Location: {place}</div>
+<span class="phone">{phone}</span>
+<span class="posted">Posted: {posted}</span>
+<p class="features">{features}</p>
+</article>"""
+SOURCE_CARDS = {
+    "nchousingsearch.org": """<div class="listing-result">
+<div class="row"><div class="row"><h2><a href="{link}">{title}</a></h2></div></div>
+<div class="rent"><div>{price}</div></div>
+<span class="beds">{rooms}{bed}</span>
+<span class="baths">{bath}</span>
+<div class="address"><div>{address}</div></div>
+<div class="place">Location: {place}</div>
+<span class="phone">{phone}</span>
+<p class="features">{features}</p>
+</div>""",
+    "apartments.com": """<article data-testid="property-card" class="wide placard">
+<div class="property-title"><span>{title}</span></div>
+<a class="property-link" href="{link}">View</a>
+<div class="property-pricing"><div>{price}</div></div>
+<div class="property-beds">{rooms}{bed}</div>
+<div class="property-baths">{bath}</div>
+<div class="property-sqft">{sq_ft}</div>
+<div class="property-address"><div>{address}</div><div>, {place}</div></div>
+{tel}
+<div class="when">Posted: {posted}</div>
+<p class="features">{features}</p>
+</article>""",
+    "craigslist": """<li class="cl-static-search-result">
+<a class="titlestring" href="{link}">{title}</a>
+<div class="priceinfo">{price}</div>
+<div class="meta"><span class="housing">{rooms}{br} - {feet}</span></div>
+<div class="nearby">({hood})</div>
+<time datetime="{posted}">{posted}</time>
+<span>{phone}</span>
+<ul><li>{features}</li></ul>
+</li>""",
+    "zillow": """<article data-test="property-card" class="Tile">
+<a href="{link}" data-test="property-card-link"><address>{address}</address></a>
+<span data-test="property-card-price">{price}</span>
+<ul><li>{rooms}{bds}</li><li>{ba}</li><li>{sqft}</li></ul>
+{tel}
+<span>Posted: {posted}</span>
+<p>{features}</p>
+</article>""",
+    "rent.com": """<div data-tid="property-card" class="x1">
+<div><a href="{link}" class="property-link">{title}</a></div>
+<div data-tid="price">{price}</div>
+<span data-tid="bed">{rooms}{beds}</span><span data-tid="bath">{bths}</span><span data-tid="sqft">{area}</span>
+<div data-tid="address"><div>{address}</div></div>
+{tel}
+<span>Posted: {posted}</span>
+<p>{features}</p>
+</div>""",
+}
+
+
+def _filled(card: str, part) -> Column:
+    pieces = [F.lit(p) if i % 2 == 0 else part(p) for i, p in enumerate(re.split(r"\{(\w+)\}", card))]
+    return F.concat(*pieces)
+
+
+def card_html() -> Column:
+    """One listing card of general markup; elements on their own lines like a formatted page."""
+    parts = _shown(F.col("url"))
+    return _filled(GENERAL_CARD, parts.__getitem__)
 
 
-def card_html(link_col: str = "url") -> Column:
-    """One listing card of general markup; elements on their own lines like a formatted page."""
-    return _lines(
-        '<article class="card">', '<h2><a href="{href}">{title}</a></h2>', '<span class="price">{price}</span>',
-        '<span class="beds">{beds}</span>', '<span class="baths">{bathing}</span>', '<span class="sqft">{size}</span>',
-        '<div class="address">{address}</div>', '<div class="location">Location: {place}</div>', '<span class="phone">{phone}</span>',
-        '<span class="posted">Posted: {posted}</span>', '<p class="features">{features}</p>', "</article>",
-        href=_esc(F.col("url") if link_col == "url" else link()), beds=_beds(" bed"), bathing=_with(_shown()["baths"], " bath"),
-        size=_with(_shown()["area"], " sq ft"))
-
-
-def source_card() -> Column:
-    """One listing card in the markup of its source; three sources use the general one."""
-    tel = F.when(F.col("phone") != "", F.concat(F.lit('<a class="call" href="tel:'), F.col("phone"), F.lit('">Call</a>')))
-    more = dict(beds=_beds(" bed"), bathing=_with(_shown()["baths"], " bath"), size=_with(_shown()["area"], " sq ft"), tel=F.coalesce(tel, F.lit("")))
-    item = lambda text: F.when(text == "", F.lit("")).otherwise(F.concat(F.lit("<li>"), text, F.lit("</li>")))
-    own = {
-        "nchousingsearch.org": _lines(
-            '<div class="listing-result">', '<div class="row"><div class="row"><h2><a href="{link}">{title}</a></h2></div></div>',
-            '<div class="rent"><div>{price}</div></div>', '<span class="beds">{beds}</span>', '<span class="baths">{bathing}</span>',
-            '<div class="address"><div>{address}</div></div>', '<div class="place">Location: {place}</div>', '<span class="phone">{phone}</span>',
-            '<p class="features">{features}</p>', "</div>", **more),
-        "apartments.com": _lines(
-            '<article data-testid="property-card" class="wide placard">', '<div class="property-title"><span>{title}</span></div>',
-            '<a class="property-link" href="{link}">View</a>', '<div class="property-pricing"><div>{price}</div></div>',
-            '<div class="property-beds">{beds}</div>', '<div class="property-baths">{bathing}</div>', '<div class="property-sqft">{size}</div>',
-            '<div class="property-address"><div>{address}</div><div>, {place}</div></div>', "{tel}", '<div class="when">Posted: {posted}</div>',
-            '<p class="features">{features}</p>', "</article>", **more),
-        "craigslist": _lines(
-            '<li class="cl-static-search-result">', '<a class="titlestring" href="{link}">{title}</a>', '<div class="priceinfo">{price}</div>',
-            '<div class="meta"><span class="housing">{rooms} - {feet}</span></div>', '<div class="nearby">({hood})</div>',
-            '<time datetime="{posted}">{posted}</time>', "<span>{phone}</span>", "<ul><li>{features}</li></ul>", "</li>",
-            rooms=_beds("br"), feet=_with(_shown()["area"], "ft")),
-        "zillow": _lines(
-            '<article data-test="property-card" class="Tile">', '<a href="{link}" data-test="property-card-link"><address>{address}</address></a>',
-            '<span data-test="property-card-price">{price}</span>', "<ul>{bds}{ba}{sf}</ul>", "{tel}", "<span>Posted: {posted}</span>",
-            "<p>{features}</p>", "</article>", bds=item(_beds(" bds")), ba=item(_with(_shown()["baths"], " ba")),
-            sf=item(_with(_shown()["area"], " sqft")), **{"tel": more["tel"]}),
-        "rent.com": _lines(
-            '<div data-tid="property-card" class="x1">', '<div><a href="{link}" class="property-link">{title}</a></div>',
-            '<div data-tid="price">{price}</div>', '<span data-tid="bed">{rooms}</span><span data-tid="bath">{bathing}</span>'
-            '<span data-tid="sqft">{feet}</span>', '<div data-tid="address"><div>{address}</div></div>', "{tel}", "<span>Posted: {posted}</span>",
-            "<p>{features}</p>", "</div>", rooms=_beds(" Beds"), feet=_with(_shown()["area"], " Sq. Ft."),
-            **{"tel": more["tel"], "bathing": _with(_shown()["baths"], " Baths")}),
-    }
-    return F.coalesce(*[F.when(F.col("source") == s, c) for s, c in own.items()], card_html("link"))
+def with_source_card(fx: DataFrame) -> DataFrame:
+    """Listings with ``card`` in the markup of their source; three sources use the general one.
+    The parts are columns first, as all markups share them."""
+    parts = {f"_{k}": v for k, v in _shown(link()).items()}
+    part = lambda k: F.col(f"_{k}")
+    cards = [F.when(F.col("source") == s, _filled(c, part)) for s, c in SOURCE_CARDS.items()]
+    return fx.withColumns(parts).withColumn("card", F.coalesce(*cards, _filled(GENERAL_CARD, part))).drop(*parts)
 
 
 def jsonld_item() -> Column:
@@ -185,7 +210,8 @@ def render_pages(fx: DataFrame, params: P.SearchParams = P.DEFAULT, general: boo
     areas = search_areas(params)
     src_base = {s: b for _, s, _, b in P.SOURCES}
     lp = listings_with_page(fx)
-    per = lp.select("source", "city_ord", "page_no", "seq", (card_html() if general else source_card()).alias("card"),
+    lp = lp.withColumn("card", card_html()) if general else with_source_card(lp)
+    per = lp.select("source", "city_ord", "page_no", "seq", "card",
                     F.to_json(jsonld_item()).alias("ld"), script_item().alias("item"))
     grouped = per.groupBy("source", "city_ord", "page_no").agg(
         F.array_sort(F.collect_list(F.struct("seq", "card", "ld", "item"))).alias("rows"))
