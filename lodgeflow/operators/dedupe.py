@@ -1,16 +1,14 @@
 """Duplicate removal: first listing per url, then first per (title, price).
 
 The sequential rule (a url is recorded before the title test, so url
-survival does not depend on titles) is two independent "first row per key"
-steps.  Both are computed on narrow key columns only:
-
-* ``groupBy(key).agg(min(seq))`` is a hash aggregate with map-side partial
-  aggregation, so a key holding a third of all rows collapses to one row per
-  map task before the shuffle;
-* survivors are then selected by joining on ``seq`` (unique), which spreads
-  evenly whatever the key skew.
-
-The wide rows are shuffled exactly once, in the final semi join on ``seq``.
+survival does not depend on titles) is two "first row per key" steps.  Both
+work on narrow columns only, and each is one aggregate: the first row of a key
+carries what the next step needs, so nothing is joined back to find it.  Partial
+aggregation reduces a key holding a third of all rows to one row per map task
+before the shuffle.
+
+The wide rows are read a second time and shuffled exactly once, in the final
+semi join on ``seq``, which is unique and so spreads evenly whatever the skew.
 """
 
 from __future__ import annotations
@@ -21,9 +19,10 @@ from pyspark.sql import functions as F
 from lodgeflow.functions.text import norm_lower, url_clean
 
 
-def _first_seq_flag(keys: DataFrame, key_cols, order: str, flag: str) -> DataFrame:
-    # seq is unique across the whole input, so the first seq names the row
-    return keys.groupBy(*key_cols).agg(F.min(order).alias(order)).select(order, F.lit(True).alias(flag))
+def _firsts(rows: DataFrame, key_cols, order: str) -> DataFrame:
+    """The row of the smallest ``order`` of each key, whole; ``order`` is unique in the input."""
+    rest = [c for c in rows.columns if c not in key_cols and c != order]
+    return rows.groupBy(*key_cols).agg(F.min(F.struct(order, *rest)).alias("_first")).select(*key_cols, "_first.*")
 
 
 def url_survivors(narrow: DataFrame, order: str = "seq", by=()) -> DataFrame:
@@ -32,23 +31,24 @@ def url_survivors(narrow: DataFrame, order: str = "seq", by=()) -> DataFrame:
     ``by`` names columns that split the input into independent runs (e.g. one
     crawl snapshot each); keys are only compared inside a run.
     """
-    has_url = F.col("url") != ""
-    firsts = _first_seq_flag(narrow.where(has_url).select(*by, url_clean("url").alias("_u"), order),
-                             [*by, "_u"], order, "_first_url")
-    return (narrow.join(firsts, order, "left")
-            .where(~has_url | F.col("_first_url").isNotNull()).drop("_first_url"))
+    own = F.concat(F.lit("#"), F.col(order).cast("string"))
+    keyed = narrow.withColumn("_u", F.when(F.col("url") == "", own).otherwise(F.concat(F.lit("u"), url_clean("url"))))
+    return _firsts(keyed, [*by, "_u"], order).select(*narrow.columns)
 
 
 def title_price_survivors(narrow: DataFrame, order: str = "seq", by=()) -> DataFrame:
     """Rows kept by the title rule: empty raw title, or first row of (stripped title, price).
 
     Empty-title rows are always kept but their key still counts, so a later
-    whitespace-only title with the same price is dropped.
+    whitespace-only title with the same price is dropped. Such a row stands
+    twice: under its key, where it only counts, and under one of its own.
     """
-    firsts = _first_seq_flag(narrow.select(*by, norm_lower("title").alias("_t"), "price", order),
-                             [*by, "_t", "price"], order, "_first_key")
-    return (narrow.join(firsts, order, "left")
-            .where((F.col("title") == "") | F.col("_first_key").isNotNull()).drop("_first_key"))
+    empty = F.col("title") == ""
+    own = F.concat(F.lit("#"), F.col(order).cast("string"))
+    keys = F.array(F.concat(F.lit("t"), norm_lower("title")), F.when(empty, own))
+    keyed = narrow.withColumn("_t", F.explode(F.filter(keys, lambda k: k.isNotNull())))
+    first = _firsts(keyed.withColumn("_price", F.when(~F.startswith("_t", F.lit("#")), F.col("price"))), [*by, "_t", "_price"], order)
+    return first.where(~empty | F.startswith("_t", F.lit("#"))).select(*narrow.columns)
 
 
 def _keep(df: DataFrame, survivors: DataFrame, order: str) -> DataFrame:

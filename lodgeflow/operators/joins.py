@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
-from lodgeflow.functions.text import listing_id, norm_lower
+from lodgeflow.functions.text import listing_id, norm_lower, py_strip
 from lodgeflow.operators.classify import effective_zip
 
-# Dimension tables below this many rows may be broadcast; above it the
-# operator falls back to a shuffle join.  Checked with a bounded count.
+# Dimension tables below this many rows and characters may be broadcast; above it the
+# same join is a shuffle join.  Checked with a bounded count.
 BROADCAST_ROW_LIMIT = 100_000
+BROADCAST_CHARS = 8 << 20
 
 
-def bounded_broadcast(dim: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a dimension only after proving its size is under ``limit`` rows."""
-    n = dim.limit(limit + 1).count()
-    return F.broadcast(dim) if n <= limit else dim
+def bounded_broadcast(dim: DataFrame, rows: int = BROADCAST_ROW_LIMIT, chars: int = BROADCAST_CHARS) -> DataFrame:
+    """Broadcast a dimension only after proving its size: few rows, and few characters in its texts."""
+    texts = [F.length(c) for c, kind in dim.dtypes if kind == "string"]
+    width = sum((F.coalesce(t, F.lit(0)) for t in texts), F.lit(0))
+    n, size = dim.select(width.alias("w")).limit(rows + 1).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(dim) if n <= rows and (size or 0) <= chars else dim
 
 
 def sources_dim(spark, config: P.SourceConfig | None = None) -> DataFrame:
@@ -76,23 +79,27 @@ def areas_dim(spark, params: P.SearchParams = P.DEFAULT) -> DataFrame:
     return spark.createDataFrame(rows, "tier string, tier_ord int, ord int, name string")
 
 
-def _contains_matches(narrow: DataFrame, areas: DataFrame) -> DataFrame:
-    """(seq, tier) for every area name contained in ``_text``, without pairing all rows.
+def _contained(narrow: DataFrame, areas: DataFrame, sizes: list[int]) -> DataFrame:
+    """(seq, _tier) for every area name contained in ``_text``.
 
-    Exact and distributed: with k the shortest area name length, a text
-    contains an area iff at some position its k characters equal the area's
-    first k and the whole name follows there.  Texts emit their k-grams, the
-    join is an equi-join on the gram (hot grams are split by AQE skew
-    handling) and each candidate is verified in place.
+    A text that contains a name has a window equal to the name's head, the longest
+    one of a power of two letters. So windows of those few sizes and heads meet in an
+    equi-join, at least half of each name is compared there, and a candidate is
+    verified with its text. Names are unique, so a window that many texts hold
+    meets the names of that head only.
     """
-    k = areas.agg(F.min(F.length("_area")).alias("k")).first()["k"] or 1
-    grams = narrow.select("seq", "_text", F.explode(F.sequence(F.lit(1), F.greatest(
-        F.length("_text") - k + 1, F.lit(1)))).alias("_pos")) \
-        .select("seq", "_text", "_pos", F.substring("_text", F.col("_pos"), k).alias("_gram"))
-    seeds = areas.select("_tier", "_area", F.substring("_area", 1, k).alias("_gram"))
-    cand = grams.join(seeds, "_gram")
-    hit = F.substring(F.col("_text"), F.col("_pos"), F.length("_area")) == F.col("_area")
-    return cand.where(hit).select("seq", "_tier").distinct()
+    if not sizes:
+        return narrow.select("seq", F.lit(0).alias("_tier")).limit(0)
+    placed = narrow.where(F.col("_text") != "").select("seq", "_text", F.explode(F.sequence(F.lit(1), F.length("_text"))).alias("_pos"))
+    tails = placed.select("seq", F.substring("_text", F.col("_pos"), F.lit(sizes[-1])).alias("_tail"))
+    windows = tails.select("seq", F.explode(F.array(*[F.substring("_tail", F.lit(1), F.lit(n)) for n in sizes])).alias("_head"))
+    found = windows.join(areas.withColumn("_head", _head()), "_head").select("seq", "_area", "_tier").distinct()
+    return found.join(narrow.select("seq", "_text"), "seq").where(F.col("_text").contains(F.col("_area"))).select("seq", "_tier")
+
+
+def _head() -> Column:
+    n = F.pow(F.lit(2), F.floor(F.log2(F.length("_area")))).cast("int")
+    return F.substring("_area", F.lit(1), n)
 
 
 def tier_join(df: DataFrame, areas: DataFrame, zips: DataFrame) -> DataFrame:
@@ -100,29 +107,19 @@ def tier_join(df: DataFrame, areas: DataFrame, zips: DataFrame) -> DataFrame:
 
     Matches are: city equal to the area (both tiers), a preferred zip, or the
     area name contained in the address text.  Preferred-by-text outranks
-    expanded-by-city, as in the literal form.  Only narrow columns enter the
-    joins.  The area table is broadcast after a bounded size check; beyond the
-    bound, city equality is a shuffle equi-join and containment uses k-gram
-    seeds (see ``_contains_matches``), so no join pairs every row with every area.
+    expanded-by-city, as in the literal form.  Blank area names match nothing.
+    Only narrow columns enter the joins, all of which are equi-joins whatever
+    the size of the tables; a dimension of proven small size is broadcast.
     """
     text = F.lower(F.concat_ws(" ", "address", "neighborhood", "full_address"))
     narrow = df.select("seq", norm_lower("city").alias("_city"), text.alias("_text"),
                        effective_zip().alias("_zip"))
-    a = areas.select(F.col("tier_ord").alias("_tier"), F.lower("name").alias("_area"))
-    small = a.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT
-    # rank: 0 preferred (exact or text), 1 expanded by city, 2 expanded by text
-    if small:
-        hits = narrow.join(F.broadcast(a), (F.col("_city") == F.col("_area")) | F.col("_text").contains(F.col("_area")))
-        ranks = hits.select("seq", F.when(F.col("_tier") == 0, 0).when(F.col("_city") == F.col("_area"), 1)
-                            .otherwise(2).alias("_r"))
-    else:
-        by_city = narrow.join(a, F.col("_city") == F.col("_area")) \
-            .select("seq", F.when(F.col("_tier") == 0, 0).otherwise(1).alias("_r"))
-        by_text = _contains_matches(narrow, a).select("seq", F.when(F.col("_tier") == 0, 0).otherwise(2).alias("_r"))
-        ranks = by_city.unionByName(by_text)
-    zip_hits = narrow.join(bounded_broadcast(zips.select(F.col("zip_code").alias("_zip"))), "_zip", "left_semi") \
-        .select("seq", F.lit(0).alias("_r"))
-    best = ranks.unionByName(zip_hits).groupBy("seq").agg(F.min("_r").alias("_r"))
-    tier = F.when(F.col("_r") == 0, P.TIER_PREFERRED).when(F.col("_r").isin(1, 2), P.TIER_EXPANDED) \
-        .otherwise(P.TIER_OTHER)
-    return df.join(best, "seq", "left").withColumn("location_tier", tier).drop("_r")
+    a = (areas.where(py_strip("name") != "").select(F.col("tier_ord").alias("_tier"), F.lower("name").alias("_area"))
+         .groupBy("_area").agg(F.min("_tier").alias("_tier")))
+    sizes = sorted(r.n for r in a.select(F.length(_head()).alias("n")).distinct().collect())      # powers of two: a few rows
+    a = bounded_broadcast(a)
+    by_city = narrow.join(a, F.col("_city") == F.col("_area")).select("seq", "_tier")
+    by_zip = narrow.join(bounded_broadcast(zips.select(F.col("zip_code").alias("_zip"))), "_zip", "left_semi").select("seq", F.lit(0).alias("_tier"))
+    best = _contained(narrow, a, sizes).unionByName(by_city).unionByName(by_zip).groupBy("seq").agg(F.min("_tier").alias("_tier"))
+    tier = F.when(F.col("_tier") == 0, P.TIER_PREFERRED).when(F.col("_tier") == 1, P.TIER_EXPANDED).otherwise(P.TIER_OTHER)
+    return df.join(best, "seq", "left").withColumn("location_tier", tier).drop("_tier")
