@@ -42,7 +42,3 @@ def contains_any(text: Column, needles) -> Column:
     for n in needles:
         out = out | text.contains(n)
     return out
-
-
-def first_non_empty(*cols) -> Column:
-    return F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cols], F.lit(""))

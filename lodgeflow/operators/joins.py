@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
 from lodgeflow.functions.text import listing_id, norm_lower, py_strip
 from lodgeflow.operators.classify import effective_zip
+from lodgeflow.operators.rank import global_rank
+from lodgeflow.schema import normalize
 
 # Dimension tables below this many rows and characters may be broadcast; above it the
 # same join is a shuffle join.  Checked with a bounded count.
@@ -39,6 +43,22 @@ def with_source(df: DataFrame, sources: DataFrame) -> DataFrame:
     return df.join(bounded_broadcast(dim), "source", "left")
 
 
+def union_sources(listings: list[DataFrame], sources: DataFrame, order: str = "seq") -> DataFrame:
+    """The listings of many inputs as one, in crawl order.
+
+    Inputs may lack columns (texts become "", numbers null) and carry others, which all
+    rows then have. ``seq`` counts from 1 by (priority, source order, the input's own
+    ``order``, input); sources that the registry does not know come last, by name.
+    Inputs are merged by name, and numbered by a distributed rank.
+    """
+    tagged = [df.withColumnRenamed(order, "_own").withColumn("_input", F.lit(i)) for i, df in enumerate(listings)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    late = F.lit(2 ** 31 - 1)
+    ranked = with_source(rows, sources).withColumns({"_p": F.coalesce("priority", late), "_s": F.coalesce("source_ord", late)})
+    keys = ["_p", "_s", "source", "_own", "_input"]
+    return normalize(global_rank(ranked, keys, "seq").drop("_p", "_s", "_own", "_input"))
+
+
 def select_sources(df: DataFrame, sources: DataFrame, priority: int | None = None) -> DataFrame:
     """Keep listings of enabled sources, optionally of one priority only."""
     dim = sources.where("enabled")

@@ -95,13 +95,17 @@ def q_search(spark, sf):
 
 # ---------------------------------------------------------------- sources
 
-@query("scan_listings", O.with_(O.ctes_fixture(), f"""SELECT {_sel(LISTING_COLS)}, s.source_key, s.priority,
-  s.source_ord FROM fx JOIN (VALUES {", ".join(f"('{k}', '{n}', {p}, {i})" for i, (k, n, p, _) in enumerate(P.SOURCES))})
+@query("scan_listings", O.with_(O.ctes_fixture(), f"""SELECT row_number() OVER (ORDER BY s.priority, s.source_ord, seq) AS seq,
+  {_sel(c for c in LISTING_COLS if c not in ("seq", "neighborhood", "phone"))},
+  CASE WHEN source = 'hud.gov' THEN '' ELSE neighborhood END AS neighborhood, CASE WHEN source = 'zillow' THEN '' ELSE phone END AS phone,
+  s.source_key, s.priority, s.source_ord FROM fx JOIN (VALUES {", ".join(f"('{k}', '{n}', {p}, {i})" for i, (k, n, p, _) in enumerate(P.SOURCES))})
   AS s(source_key, src, priority, source_ord) ON fx.source = s.src"""))
 def q_scan_listings(spark, sf):
-    """All sources as one listing set carrying source priority and registry order."""
-    out = JN.with_source(fx(spark, sf), JN.sources_dim(spark))
-    return out.select(*LISTING_COLS, "source_key", "priority", "source_ord")
+    """All sources as one listing set in crawl order: one input a source, two of them without a column the others have."""
+    lacks = {"hud.gov": ["neighborhood"], "zillow": ["phone"]}
+    f = fx(spark, sf).select(*LISTING_COLS)
+    inputs = [f.where(F.col("source") == s).drop(*lacks.get(s, [])) for _, s, _, _ in reversed(P.SOURCES)]
+    return JN.union_sources(inputs, JN.sources_dim(spark)).select(*LISTING_COLS, "source_key", "priority", "source_ord")
 
 
 SOURCE_CONFIG = P.SourceConfig({
@@ -486,25 +490,31 @@ CSV_SQL_COLS = {
 @query("export_csv", O.with_(O.ctes_search(), "SELECT " + ", ".join(CSV_SQL_COLS.get(c, c) for c in P.CSV_COLUMNS)
                              + " FROM s"))
 def q_export_csv(spark, sf):
-    """The CSV rows: 23 columns in export order with display labels."""
-    return PB.csv_frame(searched(spark, sf))
+    """The CSV rows, 23 columns in export order with display labels, written in rank order and read back."""
+    path = scratch_path(spark, "csv")
+    PB.write_csv(RK.rank_listings(searched(spark, sf)), path)
+    return PB.read_csv(spark, path)
 
 
 _GROUP_KEY_SQL = "CASE priority_group " + " ".join(f"WHEN {g} THEN '{k}'" for g, k, _ in P.PRIORITY_GROUPS) + " END"
 
 
-@query("export_json_groups", O.with_(O.ctes_search(), f"SELECT {_sel(SEARCH_COLS)}, {_GROUP_KEY_SQL} AS group_key FROM s"))
+@query("export_json_groups", O.with_(O.ctes_search(), f"SELECT {_sel(SEARCH_COLS)}, {_GROUP_KEY_SQL} AS group_key, {O.RANK_SQL} FROM s"))
 def q_export_json_groups(spark, sf):
-    """Listings with the export group they are written under."""
-    return PB.with_group(searched(spark, sf)).select(*SEARCH_COLS, "group_key")
+    """Listings with the export group and rank they were written under, read back from the groups' folders."""
+    path = scratch_path(spark, "groups")
+    ranked = RK.rank_listings(searched(spark, sf))
+    PB.write_grouped_json(ranked, path)
+    schema = ranked.select(*SEARCH_COLS, "rank").withColumn("group_key", F.lit("")).schema
+    return PB.read_grouped_json(spark, path, schema).select(*SEARCH_COLS, "group_key", "rank")
 
 
-@query("export_metadata", O.with_(O.ctes_search(), f"""SELECT 'Mom' AS resident, CAST(64 AS BIGINT) AS resident_age,
-  CAST(1300 AS BIGINT) AS monthly_income, '{PR.state}' AS search_state, '${PR.min_rent}-${PR.max_rent}' AS rent_range,
+@query("export_metadata", O.with_(O.ctes_search(), f"""SELECT 'R. Example' AS resident, CAST(71 AS BIGINT) AS resident_age,
+  CAST(2050 AS BIGINT) AS monthly_income, '{PR.state}' AS search_state, '${PR.min_rent}-${PR.max_rent}' AS rent_range,
   '{", ".join(PR.bedrooms)}' AS bedrooms, count(*) AS total_results, '{PR.as_of.replace(" ", "T")}' AS scraped_at
   FROM s"""))
 def q_export_metadata(spark, sf):
-    return PB.run_metadata(searched(spark, sf), PR)
+    return PB.run_metadata(searched(spark, sf), PR, resident={"name": "R. Example", "age": 71, "monthly_income": 2050})
 
 
 STORE_COLS = ["listing_id", "title", "price", "url", "source", "first_seen", "batch_id"]
@@ -547,21 +557,23 @@ def q_seen_append(spark, sf):
     return _store_out(read_seen(spark, _appended_store(spark, sf)))
 
 
-@query("seen_registry", APPEND_SQL.replace("SELECT * FROM store", """SELECT listing_id, min(first_seen) AS first_seen,
-  count(*) AS sightings FROM store GROUP BY listing_id"""))
+@query("seen_registry", APPEND_SQL.replace("SELECT * FROM store", """SELECT listing_id, title, price, url, source, first_seen,
+  count(*) OVER (PARTITION BY listing_id) AS sightings FROM store QUALIFY row_number() OVER (PARTITION BY listing_id
+  ORDER BY first_seen, batch_id, title, price NULLS FIRST, url, source) = 1"""))
 def q_seen_registry(spark, sf):
-    """One row per id of the store: first time seen and number of sightings."""
+    """One row per id of the store: its first record and number of sightings."""
     reg = MN.seen_registry(spark, _appended_store(spark, sf))
-    return reg.select("listing_id", _ts_text("first_seen").alias("first_seen"), "sightings")
+    return reg.select("listing_id", *MN.FIRST, _ts_text("first_seen").alias("first_seen"), "sightings")
 
 
 @query("alert_text", O.with_(O.ctes_search() + [SEEN_SQL, f"""n AS (SELECT *, row_number() OVER (ORDER BY type_ord,
   tier_ord, recent_ord, price_key, seq) AS alert_no FROM s WHERE {O.listing_id_sql()} NOT IN
-  (SELECT listing_id FROM seen))"""], f"SELECT seq, alert_no, {O.alert_sql('alert_no')} AS alert FROM n"))
+  (SELECT listing_id FROM seen))"""], f"SELECT seq, alert_no, {O.alert_sql('alert_no')} AS alert, {O.mail_sql('alert_no')} AS mail FROM n"))
 def q_alert_text(spark, sf):
-    """Numbered console alert blocks for this run's new listings, in rank order."""
+    """Numbered alert blocks for this run's new listings, in rank order: as the console and as a mail show them."""
     ranked = RK.rank_listings(_new(spark, sf), "alert_no")
-    return ranked.select("seq", "alert_no", LB.alert_block(F.col("alert_no")).alias("alert"))
+    return ranked.select("seq", "alert_no", LB.alert_block(F.col("alert_no")).alias("alert"),
+                         LB.alert_block(F.col("alert_no"), "mail").alias("mail"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -617,7 +629,7 @@ def q_stream_monitor(spark, sf):
     snaps = _snapshots(spark, sf).select(*MN.SNAPSHOT_SCHEMA.fieldNames())
     for cond in ("snapshot <= 1997", "snapshot > 1997"):
         snaps.where(cond).write.mode("append").partitionBy("snapshot").parquet(src)
-        _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True))
+        _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True, digits=1))
     return spark.read.parquet(f"{out}/alerts").select(*ALERT_COLS)
 
 
@@ -626,7 +638,7 @@ def q_monitor_once(spark, sf):
     """One cycle over the crawls from 1998 on, against the store of earlier crawls."""
     src = _stage(spark, sf, "snapshot >= 1998")
     out, ckpt = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
-    _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True, seed_store=_written_seen(spark, sf)))
+    _run(MN.monitor(spark, src, out, ckpt, PR, available_now=True, seed_store=_written_seen(spark, sf), digits=1))
     return spark.read.parquet(f"{out}/alerts").select(*ALERT_COLS)
 
 
@@ -639,6 +651,20 @@ def q_stream_first_seen(spark, sf):
     return spark.read.parquet(out).select("listing_id")
 
 
+@query("stream_registry", O.with_(O.ctes_fixture(), f"""SELECT listing_id, title, price, url, source, snapshot AS first_snapshot,
+  max(snapshot) OVER (PARTITION BY listing_id) AS last_snapshot, count(*) OVER (PARTITION BY listing_id) AS sightings
+  FROM (SELECT *, {O.listing_id_sql()} AS listing_id, CAST(year(crawled_at) AS BIGINT) AS snapshot FROM fx)
+  QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY snapshot, seq) = 1"""))
+def q_stream_registry(spark, sf):
+    """The registry after two polls of the crawl snapshots (to 1997, then the rest), the second from the first one's state."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("snapshots", "registry", "registry-ckpt"))
+    snaps = _snapshots(spark, sf).select(*MN.SNAPSHOT_SCHEMA.fieldNames())
+    for cond in ("snapshot <= 1997", "snapshot > 1997"):
+        snaps.where(cond).write.mode("append").partitionBy("snapshot").parquet(src)
+        _run(MN.registry(spark, src, out, ckpt))
+    return MN.read_registry(spark, out)
+
+
 # extraction queries register themselves into QUERIES / SQL on import
 from lodgeflow.plans import catalog_extract  # noqa: E402,F401
 

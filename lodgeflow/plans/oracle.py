@@ -187,3 +187,14 @@ def alert_sql(num: str) -> str:
         f"CASE WHEN directions_url <> '' THEN '      Directions: ' || directions_url END, "
         f"'      Source:   ' || source)"
     )
+
+
+def mail_sql(num: str) -> str:
+    return (
+        f"concat_ws(chr(10), '--- Listing ' || CAST({num} AS VARCHAR) || ' ---', 'Name:      ' || title, 'Type:      ' || {TYPE_LABEL_SQL}, "
+        f"'Price:     ' || {price_label_sql(P.MISSING_PRICE_CSV)} || '/mo', "
+        f"'Beds:      ' || CASE WHEN bedrooms <> '' THEN bedrooms ELSE 'N/A' END, "
+        f"'Address:   ' || CASE WHEN full_address <> '' THEN full_address ELSE address END, 'Area:      ' || {TIER_LABEL_SQL}, "
+        f"CASE WHEN phone <> '' THEN 'Phone:     ' || phone END, 'Link:      ' || url, "
+        f"CASE WHEN directions_url <> '' THEN 'Directions: ' || directions_url END, 'Source:    ' || source, '')"
+    )

@@ -6,7 +6,7 @@ rank through a range-partitioned sort, never through a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgeflow import params as P
@@ -24,14 +24,29 @@ def csv_frame(df: DataFrame) -> DataFrame:
     return df.select(*[labelled.get(c, F.col(c)).alias(c) for c in P.CSV_COLUMNS])
 
 
+def _ordered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in order: parts by ranges, sorted inside, so the files in order of their names are the whole order."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def write_csv(df: DataFrame, path: str, order: str = "rank") -> None:
-    """CSV with header; quotes doubled, spaces kept, empty fields written empty."""
-    out = csv_frame(df.orderBy(order)) if order in df.columns else csv_frame(df)
+    """CSV with header; quotes doubled, spaces kept, empty fields written empty. Rows stand in
+    ``order`` within a file, and the files in order of their names."""
+    out = csv_frame(_ordered(df, order) if order in df.columns else df)
     (out.write.mode("overwrite").option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("emptyValue", "").csv(path))
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of :func:`write_csv`, as text but for the numbers; empty texts stay empty."""
+    numbers = {"bathrooms": "double", "sqft": "bigint"}
+    schema = ", ".join(f"{c} {numbers.get(c, 'string')}" for c in P.CSV_COLUMNS)
+    rows = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return rows.na.fill("", [c for c in P.CSV_COLUMNS if c not in numbers])
+
+
 def with_group(df: DataFrame) -> DataFrame:
     """Attach the priority group number and its export key."""
     g = priority_group()
@@ -40,14 +55,21 @@ def with_group(df: DataFrame) -> DataFrame:
     return df.withColumn("priority_group", g).withColumn("group_key", key)
 
 
-def write_grouped_json(df: DataFrame, path: str) -> None:
-    """One JSON-lines folder per priority group; reading the root gives all listings."""
-    with_group(df).write.mode("overwrite").partitionBy("group_key").json(path)
+def write_grouped_json(df: DataFrame, path: str, order: str = "rank") -> None:
+    """One JSON-lines folder per priority group, in ``order`` within it; reading the root gives all listings."""
+    out = with_group(df)
+    out = _ordered(out, "group_key", order) if order in df.columns else out
+    out.write.mode("overwrite").partitionBy("group_key").json(path)
+
+
+def read_grouped_json(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The listings of :func:`write_grouped_json` with the schema they had; ``rank`` gives their order."""
+    return spark.read.schema(schema).json(path)
 
 
-def run_metadata(df: DataFrame, params: P.SearchParams) -> DataFrame:
-    """The one-row run summary: resident, search, total, scrape time."""
-    res = dict(params.resident)
+def run_metadata(df: DataFrame, params: P.SearchParams, resident: dict) -> DataFrame:
+    """The one-row run summary: resident (name, age, monthly_income), search, total, scrape time."""
+    res = resident
     scraped = params.as_of.replace(" ", "T")
     return df.agg(F.count(F.lit(1)).alias("total_results")).select(
         F.lit(res.get("name", "")).alias("resident"),

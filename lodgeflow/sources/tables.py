@@ -17,7 +17,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.schema(schema.PAGE).format(fmt).load(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -26,6 +26,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
     """The seen-listing store; an empty frame with the store schema when absent."""
-    if path and _exists(spark, path):
+    if path and exists(spark, path):
         return spark.read.schema(schema.SEEN).parquet(path)
     return spark.createDataFrame([], schema.SEEN)

@@ -6,7 +6,7 @@ listings whose id is neither in the seen store nor in an earlier snapshot of
 the same batch, and writes alerts and store rows into the batch's own
 partition.  So the answer does not depend on how files fall into
 micro-batches, and a replayed batch (same batch id after a failure) reads
-the same store (``batch_id < current``) and overwrites only its own output.
+the store as the batch before left it and overwrites only its own output.
 """
 
 from __future__ import annotations
@@ -21,20 +21,14 @@ from lodgeflow.operators.classify import classify, priority_group
 from lodgeflow.operators.dedupe import dedupe
 from lodgeflow.operators.filters import filter_listings
 from lodgeflow.operators.rank import with_sort_keys
-from lodgeflow.plans.publish import append_seen, seen_rows
+from lodgeflow.plans.publish import seen_rows
 from lodgeflow.schema import LISTING, SEEN
-from lodgeflow.sources.tables import _exists
+from lodgeflow.sources.seen_store import DIGITS, SeenStore
+from lodgeflow.sources.tables import exists
 
 SNAPSHOT_SCHEMA = T.StructType(LISTING.fields + [T.StructField("snapshot", T.LongType())])
 
 
-def stage_snapshots(df: DataFrame, path: str, snapshots) -> None:
-    """Test/driver helper: append snapshots to a folder in order, one write per snapshot."""
-    for s in snapshots:
-        df.where(F.col("snapshot") == s).select(*SNAPSHOT_SCHEMA.fieldNames()) \
-            .write.mode("append").parquet(path)
-
-
 def snapshot_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA)
     if max_files:
@@ -43,17 +37,20 @@ def snapshot_stream(spark: SparkSession, path: str, max_files: int | None = None
 
 
 def read_store(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], SEEN)
     seen = spark.read.schema(SEEN).parquet(path)
     return seen if before_batch is None else seen.where(F.col("batch_id") < before_batch)
 
 
-def new_in_batch(batch: DataFrame, seen: DataFrame, params: P.SearchParams) -> DataFrame:
-    """Per-snapshot search result, keeping ids seen neither before nor in an earlier snapshot."""
+def searched(batch: DataFrame, params: P.SearchParams) -> DataFrame:
+    """Each snapshot's search result with listing ids."""
     result = classify(dedupe(filter_listings(batch, params), by=("snapshot",)), params)
-    result = with_sort_keys(result.withColumn("priority_group", priority_group())) \
-        .withColumn("listing_id", listing_id())
+    return with_sort_keys(result.withColumn("priority_group", priority_group())).withColumn("listing_id", listing_id())
+
+
+def unseen(result: DataFrame, seen: DataFrame) -> DataFrame:
+    """Listings whose id was seen neither before nor in an earlier snapshot of the batch."""
     fresh = result.join(seen.select("listing_id"), "listing_id", "left_anti")
     first = fresh.groupBy("listing_id").agg(F.min("snapshot").alias("_first"))
     return fresh.join(first, "listing_id").where(F.col("snapshot") == F.col("_first")).drop("_first")
@@ -61,26 +58,28 @@ def new_in_batch(batch: DataFrame, seen: DataFrame, params: P.SearchParams) -> D
 
 def monitor(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
             params: P.SearchParams = P.DEFAULT, available_now: bool = True,
-            interval: str = "60 minutes", max_files: int | None = None, seed_store: str | None = None):
+            interval: str = "60 minutes", max_files: int | None = None, seed_store: str | None = None, digits: int = DIGITS):
     """Start the monitor; ``available_now`` runs what is there and stops (one cycle).
 
-    Alerts go to ``out_path/alerts`` and the store to ``out_path/seen``, both
-    partitioned by batch id.  ``seed_store`` optionally names an existing store
-    folder read as history before the first batch.
+    Alerts go to ``out_path/alerts``, partitioned by batch id, and the store to
+    ``out_path/seen`` (:class:`SeenStore`). A poll reads only the id ranges of the
+    store that its results fall into; ``digits`` of the id make a range. ``seed_store`` optionally names an existing
+    store folder (partitioned by batch) read as history before the first batch.
     """
-    alerts_path, store_path = f"{out_path}/alerts", f"{out_path}/seen"
+    alerts_path, store = f"{out_path}/alerts", SeenStore(spark, f"{out_path}/seen", digits)
     as_of = F.to_timestamp(F.lit(params.as_of))
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        seen = read_store(spark, store_path, before_batch=batch_id)
+        result = searched(batch, params).persist()      # its ranges, then its rows
+        seen = store.rows(batch_id, near=result)
         if seed_store:
             seen = seen.unionByName(read_store(spark, seed_store))
-        new = new_in_batch(batch, seen, params).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        new = new.persist()   # two writes read it
+        new = unseen(result, seen).withColumn("batch_id", F.lit(batch_id).cast("bigint")).persist()   # two writes read it
         (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(alerts_path))
-        append_seen(seen_rows(new, batch_id, as_of), store_path)
+        store.append(seen_rows(new, batch_id, as_of), batch_id)
         new.unpersist()
+        result.unpersist()
 
     writer = (snapshot_stream(spark, source_path, max_files).writeStream
               .foreachBatch(run_batch).option("checkpointLocation", checkpoint))
@@ -114,7 +113,41 @@ def first_seen(spark: SparkSession, source_path: str, out_path: str, checkpoint:
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+FIRST = ("title", "price", "url", "source")
+
+
 def seen_registry(spark: SparkSession, store_path: str) -> DataFrame:
-    """The store as one row per id: first time seen and number of sightings."""
-    return read_store(spark, store_path).groupBy("listing_id").agg(
-        F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("sightings"))
+    """The store as one row per id: its first record, by time, then batch and content, and the number of sightings."""
+    first = F.min(F.struct("first_seen", "batch_id", *FIRST))
+    return (read_store(spark, store_path).groupBy("listing_id").agg(first.alias("_f"), F.count(F.lit(1)).alias("sightings"))
+            .select("listing_id", *[F.col(f"_f.{c}") for c in FIRST], "_f.first_seen", "sightings"))
+
+
+def registry(spark: SparkSession, source_path: str, out_path: str, checkpoint: str, available_now: bool = True,
+             interval: str = "60 minutes"):
+    """Keep the registry of all ids up to date: first record, first and last snapshot, sightings.
+
+    The state holds one record an id; a batch is reduced to one row an id and task
+    before its exchange, and only the ids it touches are written, in the batch's own
+    partition of ``out_path``. A batch that runs again overwrites that partition.
+    """
+    use_rocksdb_state(spark)
+    stream = snapshot_stream(spark, source_path).withColumn("listing_id", listing_id())
+    state = stream.groupBy("listing_id").agg(F.min(F.struct("snapshot", "seq", *FIRST)).alias("_f"), F.max("snapshot").alias("last_snapshot"),
+                                             F.count(F.lit(1)).alias("sightings"))
+    rows = state.select("listing_id", *[F.col(f"_f.{c}") for c in FIRST], F.col("_f.snapshot").alias("first_snapshot"), "last_snapshot", "sightings")
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_path))
+
+    writer = rows.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry as the last batch left it: each id's latest row."""
+    rows = spark.read.parquet(path)
+    cols = [c for c in rows.columns if c not in ("listing_id", "batch_id")]
+    return rows.groupBy("listing_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r")).select("listing_id", "_r.*")

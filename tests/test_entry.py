@@ -24,11 +24,11 @@ def test_entry_runs(spark):
 def test_oracle_keys_are_queries():
     assert set(E.oracle_sql()) <= set(E.queries())
     missing = set(QUERIES) - set(E.oracle_sql())
-    assert missing == {"json_listing_walk"}   # checked against a direct recursion in test_extract
+    assert not missing
 
 
 @pytest.mark.parametrize("name", CORE + EXTRACTION_SMOKE)
 def test_query_runs_small(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert df.count() >= 0
+    assert df.count() > 0
     assert len(df.columns) == len(set(df.columns))
