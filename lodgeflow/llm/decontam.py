@@ -19,13 +19,11 @@ def words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, item_id: str, text_col: str, window: int) -> DataFrame:
-    """(gram, len, items): the distinct windows and the sorted ids of the items that hold them."""
+    """(item, win, gram, len): each item's windows; ``win`` names equal windows of all items."""
     w = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(window))
-    return (w.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1),
-                                                   lambda i: F.slice("w", i, size))).alias("gram"))
-            .groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
-            .select("gram", F.size("gram").alias("len"), "items"))
+    grams = w.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("gram"))
+    return grams.select("item", F.sha2(F.array_join("gram", " "), 256).alias("win"), "gram", F.size("gram").alias("len")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -46,12 +44,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     document that lacks it cannot hold the window. Documents' words are joined with
     the prefix words; the word's offset in the window bounds the start, the window's
     length must fit, and the words at that place are compared exactly. Windows come
-    in blocks of ``block``; a block (one row of at most ``window`` words a window) is
-    what is broadcast, so its size is bounded whatever the benchmark's. All documents
-    pass every block; of the documents only hits and word counts are shuffled.
+    in blocks of ``block``; a block (one row of at most ``window`` words a window, and
+    its name) is what is broadcast, so its size is bounded whatever the benchmark's
+    and however many items share a window: their ids meet a document's windows in a
+    join afterwards. All documents pass every block; of the documents only hits and
+    word counts are shuffled.
     """
     spark = docs.sparkSession
-    grams = written(item_windows(items, item_id, item_text, window), "windows")
+    held = written(item_windows(items, item_id, item_text, window), "windows")
+    grams = written(held.select("win", "gram", "len").distinct(), "grams")
     body = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), words(F.col(text_col)).alias("w"))
 
     # rarity: how often the items' words occur in the documents
@@ -59,18 +60,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     seen = body.select(F.explode("w").alias("word"))
     small = grams.count() * window <= 2_000_000
     often = seen.join(F.broadcast(asked) if small else asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("often"))
-    ranked = grams.select("gram", "len", "items", F.posexplode("gram").alias("at", "word")).join(often, "word", "left")
+    often = written(often, "word-counts")              # a row a word of the items: as many as were asked for at most
+    ranked = grams.select("win", "gram", "len", F.posexplode("gram").alias("at", "word")).join(F.broadcast(often) if small else often, "word", "left")
     prefix = written(
-        ranked.groupBy("gram", "len", "items").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word", "at")).alias("p"))
-        .where("p.often > 0").select("gram", "len", "items", "p.word", "p.at"), "prefixes")
+        ranked.groupBy("win").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "word", "at")).alias("p"), F.first("gram").alias("gram"),
+                                  F.first("len").alias("len")).where("p.often > 0").select("win", "gram", "len", "p.word", "p.at"), "prefixes")
     n_blocks = max(1, -(-prefix.count() // block))
 
     found = None
     for b in range(n_blocks):
-        mine = prefix.where(F.pmod(F.xxhash64("gram"), F.lit(n_blocks)) == b)
+        mine = prefix.where(F.pmod(F.xxhash64("win"), F.lit(n_blocks)) == b)
         if b == 0:                                   # each document is found once by its end mark
-            mark = spark.range(1).select(F.array().cast("array<string>").alias("gram"), F.lit(0).alias("len"),
-                                         F.array().cast("array<string>").alias("items"), F.lit(END).alias("word"), F.lit(0).alias("at"))
+            mark = spark.range(1).select(F.lit("").alias("win"), F.array().cast("array<string>").alias("gram"), F.lit(0).alias("len"),
+                                         F.lit(END).alias("word"), F.lit(0).alias("at"))
             mine = mine.union(mark)
             pos = body.select("id", "t", "w", F.posexplode(F.array_append("w", F.lit(END))).alias("pos", "word"))
         else:
@@ -79,13 +81,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         hit = pos.join(F.broadcast(mine), "word").where(
             (start >= 0) & (start + F.col("len") <= F.size("w"))
             & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("gram")))
-        part = hit.select("id", "t", start.cast("long").alias("start"), F.col("len").cast("long").alias("len"), "items")
+        part = hit.select("id", "t", start.cast("long").alias("start"), F.col("len").cast("long").alias("len"), "win")
         found = part if found is None else found.union(part)
     # an end mark has length 0; its start is the number of words
-    doc = found.groupBy("id", "t").agg(
+    doc = written(found.groupBy("id", "t").agg(
         F.count_if(F.col("len") == 0).alias("copies"), F.max(F.when(F.col("len") == 0, F.col("start"))).alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("len") > 0, F.struct("start", (F.col("start") + F.col("len")).alias("end"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("len") > 0, F.col("items")))))).alias("item_ids"))
+        F.collect_set(F.when(F.col("len") > 0, F.col("win"))).alias("wins")), "hits")
+    names = (doc.select("id", "t", F.explode("wins").alias("win")).join(held.where("item is not null").select("win", "item"), "win")
+             .groupBy(F.col("id").alias("hit_id"), F.col("t").alias("hit_t")).agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
+    doc = (doc.join(names, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("t").eqNullSafe(F.col("hit_t")), "left")
+           .withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<string>"))))
     covered = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"),

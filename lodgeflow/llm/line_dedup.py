@@ -75,7 +75,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_chars`` code points held by at least ``min_docs`` rows loses all its lines
     except those of the largest id holding it; the rest stay, joined by \\n. Each row
     counts as a document; rows that repeat the largest id all keep their lines. A
-    null id is smaller than any other. Empty tables give empty tables.
+    null id is smaller than any other. Ids may be of any type with an order; those
+    that are not whole numbers make one batch. Empty tables give empty tables.
 
     Method. One pass over the texts writes a (batch, id, hash) table, batches in
     falling order of id. Each batch is reduced to its distinct hashes and
@@ -88,7 +89,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     idc = F.col(id_col)
-    span = docs.agg(F.min(id_col), F.max(id_col)).first()
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        batches = 1
+    span = docs.agg(F.min(id_col), F.max(id_col)).first() if batches > 1 else (None,)
     lines = docs.select(
         idc.alias("id"),
         F.explode(F.array_distinct(F.array_compact(_hashes(line_keys(F.col(text_col)), min_chars)))).alias("h")

@@ -16,7 +16,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: For each base weight, the factor of the weight over training time, as (time, factor)
 #: points joined by straight lines: the first sources early, the last ones late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.2), (0.5, 0.8), (1.0, 2.0)))
-_MAX_ROUNDS = 100
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = 3.0) -> DataFrame:
@@ -26,7 +25,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     the index of the weight. All words are shared by weight; a target stops at ``cap``
     times its source's size, and what exceeds it is shared among the others by
     weight until none is above. The rounds work on one level, the words a unit of
-    weight gets: a source is full if its cap over its weight is below the level.
+    weight gets: a source is full if its cap over its weight is below the level. The
+    level rises as long as a round fills a source, so the rounds end.
     """
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), F.col("class") + 1)
     s = (global_rank(sizes, [F.col("source").asc_nulls_last()], "rank")
@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     full = F.col("source_size") * F.lit(float(cap)) / F.col("weight")
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0
-    for _ in range(_MAX_ROUNDS):
+    while True:
         open_w, closed = s.agg(F.sum(F.when(full > level, F.col("weight"))), F.sum(F.when(full <= level, F.col("source_size")))).first()
         new = (total - cap * (closed or 0)) / open_w if open_w else level
         if new <= level:
@@ -114,10 +114,12 @@ def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """``docs`` in training order: each document as often as it is taken, with
     ``mix_position``, range-sorted by it (ties by id). Rows that share an id and
-    a source are one document and come together."""
+    a source are one document and come together. A column ``mix_position`` of ``docs`` is
+    replaced; all others, whatever their names, come back as they are."""
     plan = curriculum(docs, id_col, text_col, source_col, **kw)
-    taken = (plan.where(F.size("positions") > 0).select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), "positions")
-             .groupBy("__id", "__source").agg(F.max("positions").alias("positions")))
-    same = docs[id_col].eqNullSafe(taken["__id"]) & docs[source_col].eqNullSafe(taken["__source"])
-    each = docs.join(taken, same).select(*(docs[c] for c in docs.columns), F.explode("positions").alias("mix_position"))
-    return each.orderBy("mix_position", F.col(id_col).asc_nulls_last())
+    taken = (plan.where(F.size("positions") > 0).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "positions")
+             .groupBy("id", "source").agg(F.max("positions").alias("positions")))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("doc_source"), F.struct(*(c for c in docs.columns if c != "mix_position")).alias("doc"))
+    same = whole["doc_id"].eqNullSafe(taken["id"]) & whole["doc_source"].eqNullSafe(taken["source"])
+    each = whole.join(taken, same).select("doc_id", "doc", F.explode("positions").alias("mix_position"))
+    return each.orderBy("mix_position", F.col("doc_id").asc_nulls_last()).select("doc.*", "mix_position")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeflow.llm.common import UPPER, written
 
-MAX_BITS = 1 << 27     # a level may take 16 MB; the levels are literals of the plan
+MAX_BITS = 1 << 26     # a first level takes 8 MB at most: the levels are literals of a plan, a longer list takes more plans
 
 
 def host_of(url: Column) -> Column:
@@ -49,11 +50,21 @@ class Cascade:
     listed key, and a factor of log(universe / listed), not space by the corpus.
     """
 
+    @staticmethod
+    def shape(n: int, rest: int) -> tuple[float, int]:
+        """Error rate and bits of a first level for n listed keys of a universe of ``rest``."""
+        rate = min(0.5, n * math.sqrt(0.5) / max(1, rest))
+        return rate, max(64, -(-math.ceil(1.4427 * n * Cascade._hashes(rate)) // 64) * 64)
+
+    @staticmethod
+    def _hashes(rate: float) -> int:
+        return max(1, math.ceil(-math.log2(rate)))
+
     def __init__(self, listed: DataFrame, universe: DataFrame, name: str):
         own = written(listed.select("key").distinct(), f"{name}-1")
         n, rest = own.count(), universe.count()
-        self.levels: list[tuple[int, int, np.ndarray]] = []
-        rate = min(0.5, n * math.sqrt(0.5) / max(1, rest))
+        self.levels: list[tuple[int, int, Column]] = []
+        rate = self.shape(n, rest)[0] if n else 0.5
         now, before = own, None
         while n:
             self._add(now, n, rate)
@@ -64,25 +75,23 @@ class Cascade:
             before, now, n = now, wrong, wrong.count()
 
     def _add(self, keys: DataFrame, n: int, rate: float) -> None:
-        k = max(1, math.ceil(-math.log2(rate)))
+        k = self._hashes(rate)
         m = max(64, -(-math.ceil(1.4427 * n * k) // 64) * 64)
-        if m > MAX_BITS:
-            raise ValueError(f"{n} keys need {m} bits; split the list")
         level = len(self.levels) + 1
         at = F.explode(F.array(*(self._place(F.col("key"), level, j, m) for j in range(k))))
-        words = np.zeros(m // 64, np.int64)
-        for r in (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word"))
-                  .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).collect()):   # m / 64 rows at most
-            words[r.word] = r.bits
-        self.levels.append((m, k, words))
+        words = np.zeros(m // 64, ">i8")
+        found = (keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word"))
+                 .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow())        # m / 64 rows at most
+        words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+        self.levels.append((m, k, _longs(words)))
 
     @staticmethod
     def _place(key: Column, level: int, j: int, m: int) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(m))
 
     def _holds(self, key: Column, level: int) -> Column:
-        m, k, words = self.levels[level - 1]
-        bits, out = F.lit(words), F.lit(True)
+        m, k, bits = self.levels[level - 1]
+        out = F.lit(True)
         for j in range(k):
             at = self._place(key, level, j, m)
             out = out & (F.getbit(F.element_at(bits, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
@@ -95,7 +104,15 @@ class Cascade:
         return out
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def _longs(words: np.ndarray) -> Column:
+    """An array literal of 64-bit words, handed over as bytes at once: element by element takes minutes."""
+    sc = SparkContext._active_spark_context
+    jvm, out = sc._jvm, sc._gateway.new_array(sc._jvm.long, len(words))
+    jvm.java.nio.ByteBuffer.wrap(bytearray(words.tobytes())).asLongBuffer().get(out)
+    return Column(jvm.org.apache.spark.sql.functions.lit(out))
+
+
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", *, max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, host, path, rule, verdict) for every row of ``pages``.
 
     ``rules`` has (host, path, action): action allow or block, path begins and ends
@@ -111,6 +128,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     so a rule fits just if it is among them. The distinct keys of all pages are the
     universe; a :class:`Cascade` for either action, built over it, then answers for each
     key by its bits, in the row: no join, and no wrong answer for any key of the corpus.
+    A list whose first level would outgrow ``max_bits`` is split by hash into parts with
+    cascades of their own, asked one after the other.
     """
     ok = rules.where("host is not null and path is not null and action in ('allow', 'block')")
     if ok.where("path not rlike '^/(.*/)?$' or host = ''").limit(1).count():
@@ -120,10 +139,21 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     universe = written(rows.select("host", "path").distinct().select(F.explode(keys_of(F.col("host"), F.col("path"))).alias("key"))
                        .distinct(), "universe")
-    block = Cascade(listed.where("action = 'block'"), universe, "block")
-    allow = Cascade(listed.where("action = 'allow'"), universe, "allow")
-    hits = F.filter(keys_of(F.col("host"), F.col("path")), lambda k: block.has(k) | allow.has(k))
-    best = F.array_max(F.transform(hits, lambda k: F.struct(F.char_length(k), F.instr(k, "/"), k.alias("key"))))["key"]
-    return rows.withColumn("rule", best).select(
-        F.col("id").alias(id_col), "host", "path", "rule",
-        F.when(F.col("rule").isNotNull() & block.has(F.col("rule")), "block").otherwise("allow").alias("verdict"))
+    n, rest = listed.count(), universe.count()
+    parts = max(1, -(-Cascade.shape(n, rest)[1] // max_bits)) if n else 1
+    keys = keys_of(F.col("host"), F.col("path"))
+    hits: list[Column] = []
+    for p in range(parts):
+        part = F.pmod(F.xxhash64("key", F.lit(-1)), F.lit(parts)) == p
+        block, allow = (Cascade(listed.where((F.col("action") == a) & part), universe.where(part), a) for a in ("block", "allow"))
+        mine = F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(-1)), F.lit(parts)) == p) if parts > 1 else keys
+        found = F.filter(mine, lambda k: block.has(k) | allow.has(k))
+        best = F.array_max(F.transform(found, lambda k: F.struct(
+            F.char_length(k).alias("n"), F.instr(k, "/").alias("at"), k.alias("key"), block.has(k).alias("blocked"))))
+        rows = rows.withColumn(f"best{p}", best)
+        hits.append(F.col(f"best{p}"))
+        if parts > 1:                       # the next part's levels belong to a plan of their own
+            rows = written(rows, f"part-{p}")
+    rows = rows.withColumn("best", F.greatest(*hits) if parts > 1 else hits[0])
+    return rows.select(F.col("id").alias(id_col), "host", "path", F.col("best.key").alias("rule"),
+                       F.when(F.col("best.blocked"), "block").otherwise("allow").alias("verdict"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodgeflow.llm import decontam
 
@@ -57,3 +58,14 @@ def test_empty_tables_and_extra_columns(spark):
     d = spark.createDataFrame([(1, "x y", "k", 1), (2, "y z", "k", 2), (None, "x y", "k", 3)], "doc_id long, text string, word string, pos int")
     i = spark.createDataFrame([(7, "X  Y", "k")], "item_id long, text string, gram string")
     assert sorted(r.pos for r in decontam.drop_contaminated(d, i).collect()) == [2, 3]
+
+
+def test_a_window_that_many_items_share(spark):
+    from lodgeflow.llm.decontam import decontaminate
+    shared = " ".join(f"p{i}" for i in range(13))
+    items = spark.createDataFrame([(i, shared + f" own{i}") for i in range(3000)] + [(None, shared)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a " + shared + " b"), (2, shared[3:]), (None, shared + " own7"), (3, None)], "doc_id long, text string") \
+        .withColumn("win", F.lit("w")).withColumn("wins", F.lit(1)).withColumn("hit_id", F.lit(2))
+    got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
+    assert got[1].n_items == 3000 and got[1].item_ids == sorted(map(str, range(3000))) and got[1].n_hit == 13 and got[1].contaminated
+    assert got[2].n_hit == 0 and got[2].item_ids == [] and got[None].n_hit == 14 and got[None].n_items == 3000 and got[3].n_words == 0

@@ -102,3 +102,13 @@ def test_cells_leave_no_link_out_and_skip_far_cells(spark):
     base = rng.normal(size=(40, 16))
     rows = [(i, [float(v) for v in np.float32(base[i % 40] + 0.2 * rng.normal(size=16))], i % 2) for i in range(900)]
     assert run(spark, rows, block=32) == brute(rows)
+
+
+def test_columns_named_like_the_operators_own(spark):
+    from pyspark.sql import functions as F
+
+    from lodgeflow.llm.embed_dedup import near_vectors
+    df = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.99, 0.01]), (3, "b", [1.0, 0.0])], "vec_id long, label string, embedding array<double>")
+    for c in ("id", "v", "good", "cid", "mult", "n_links", "component_id", "kept", "home", "near", "k0", "k1"):
+        df = df.withColumn(c, F.lit("own"))
+    assert sorted(tuple(r) for r in near_vectors(df).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

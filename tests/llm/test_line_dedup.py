@@ -59,3 +59,11 @@ def test_runs_are_compacted(spark):
     assert [len(x) for x in index.levels] == [0, 0, 1]
     got = index.split(spark.createDataFrame([(2, 0), (9, 0)], "h1 long, h2 int"))
     assert sorted((r.h1, r.fresh) for r in got.collect()) == [(2, False), (9, True)]
+
+
+def test_ids_of_other_types(spark):
+    line = "z" * 50
+    rows = [(f"d{i}", line + f"\n{i}") for i in range(6)] + [(None, line)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in dedup_lines(df).collect()}
+    assert got == {**{f"d{i}": (str(i), 1) for i in range(5)}, "d5": (line + "\n5", 0), None: ("", 1)}

@@ -92,3 +92,23 @@ def test_mix_is_ordered_by_position(spark):
     df = spark.createDataFrame([(i, "w " * (1 + i % 5), f"s{i % 4}") for i in range(200)], "doc_id long, text string, source string")
     pos = [r.mix_position for r in mixing.mix(df).collect()]
     assert pos == sorted(pos) and len(pos) == mixing.curriculum(df).agg(F.sum(F.size("positions"))).first()[0]
+
+
+def test_columns_named_like_the_operators_own_come_back(spark):
+    names = ["positions", "mix_position", "id", "source", "doc", "target", "taken", "size", "key", "bucket", "name"]
+    df = spark.createDataFrame([(i, "w " * 5, f"s{i % 2}") for i in range(20)], "doc_id long, text string, source string")
+    for n in names:
+        if n != "source":
+            df = df.withColumn(n, F.lit(f"own {n}"))
+    got = mixing.mix(df)
+    assert got.columns == [c for c in df.columns if c != "mix_position"] + ["mix_position"]
+    rows = got.collect()
+    assert rows and all(r.positions == "own positions" and r.doc == "own doc" and 0 <= r.mix_position < 1 for r in rows)
+
+
+def test_rounds_go_on_until_no_source_is_above_its_cap(spark):
+    sizes = spark.createDataFrame([(f"s{i:04d}", 2 ** (i // 8)) for i in range(400)], "source string, source_size long")
+    rows = mixing.source_targets(sizes, cap=1.5).collect()
+    total = float(sum(r.source_size for r in rows))
+    assert all(r.target <= 1.5 * float(r.source_size) * (1 + 1e-12) for r in rows)
+    assert math.isclose(sum(r.target for r in rows), total, rel_tol=1e-9)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 import __spark_entry__ as E
 
@@ -56,3 +58,21 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_every_stage_takes_columns_named_like_its_own(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(60)), "en", f"s{i % 2}", 1) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("positions", "mix_position", "id", "fp", "kept", "n_words", "h", "p", "q", "win", "wins", "t", "key", "size", "n_dropped", "n_lines", "component_id"):
+        d = d.withColumn(c, F.lit("own"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "no such words at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for i, (name, stage) in enumerate(P.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        assert out.columns[:5] == d.columns[:5] and (out.columns == d.columns or i == 4), name
+        out.write.parquet(f"{tmp_path}/out{i}")
+        at = spark.read.parquet(f"{tmp_path}/out{i}")
+    assert at.count() > 0 and at.select("positions").distinct().collect() == [("own",)] and at.schema["mix_position"].dataType.typeName() == "double"

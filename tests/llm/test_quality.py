@@ -64,3 +64,56 @@ def test_sparse_sites_shrink_towards_their_parents(spark):
     assert abs(got[1] - big) < 0.03 and abs(got[950] - good) < 0.05       # large sites keep their own mean
     assert own < got[2000] < whole                                       # one document moves a site only part of the way
     assert got[2001] < 0.5                                               # a sparse path stays near its host, not the global mean
+
+
+def brute_posteriors(rows):
+    """Site posteriors from (host, path, n_words, quality logit, toxic logit), by the formulas of the docstring."""
+    sig, logit = lambda x: 1 / (1 + math.exp(-x)), lambda p: math.log(min(max(p, 1e-9), 1 - 1e-9) / (1 - min(max(p, 1e-9), 1 - 1e-9)))
+    out = [{} for _ in rows]
+    for at, name in ((3, "quality"), (4, "toxic")):
+        known = [r for r in rows if r[2] > 0]
+        whole = sum(sig(r[at]) for r in known) / len(known)
+
+        def groups(key):
+            found = {}
+            for r in rows:
+                s = found.setdefault(key(r), [0, 0.0])
+                if r[2] > 0:
+                    s[0] += 1
+                    s[1] += sig(r[at])
+            return found
+
+        def strength(found, prior):
+            some = {k: v for k, v in found.items() if v[0] > 0}
+            between = sum(n * (s / n - prior(k)) ** 2 - prior(k) * (1 - prior(k)) for k, (n, s) in some.items()) / sum(n for n, _ in some.values())
+            inside = sum(prior(k) * (1 - prior(k)) for k in some) / len(some)
+            return 10_000.0 if between <= 0 or not inside else min(10_000.0, max(1.0, inside / between - 1))
+
+        hosts = groups(lambda r: r[0])
+        k = strength(hosts, lambda h: whole)
+        host = {h: (s + k * whole) / (n + k) for h, (n, s) in hosts.items()}
+        paths = groups(lambda r: r[:2])
+        k = strength(paths, lambda p: host[p[0]])
+        path = {p: (s + k * host[p[0]]) / (n + k) for p, (n, s) in paths.items()}
+        for o, r in zip(out, rows):
+            prior = path[r[:2]]
+            o[name] = sig(r[at] + logit(prior) - logit(whole)) if r[2] > 0 else prior
+            o[name + "_prior"], o["n"] = prior, r[2]
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = spark.createDataFrame([(-1, None, "src1", None), (-2, " ", None, "xx"), (-3, "some words", "tiny", "en")], "doc_id long, text string, source string, lang string")
+    d = d.select("doc_id", "text", "source", "lang").union(odd)
+    model = quality.fit(d, lab)
+    seen = {r.id: r for r in quality.evidence(d, model, "doc_id", "text", F.col("source"), F.col("lang")).collect()}
+    ids = sorted(seen)
+    want = brute_posteriors([(seen[i].host, seen[i].path, seen[i].n_words, seen[i].quality_logit, seen[i].toxic_logit) for i in ids])
+    got = {r.doc_id: r for r in quality.judge(d, lab).collect()}
+    assert len(got) == len(ids) > 900
+    for i, w in zip(ids, want):
+        r = got[i]
+        assert all(math.isclose(r[c], w[c], rel_tol=1e-7, abs_tol=1e-9) for c in ("quality", "toxic", "quality_prior", "toxic_prior"))
+        assert r.kept == (w["n"] == 0 or (w["quality"] >= 0.5 and w["toxic"] <= 0.5))
+    assert 0 < sum(not r.kept for r in got.values()) < len(ids) / 2

@@ -45,3 +45,23 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert len(c.levels) > 2
     wrong = universe.where(c.has(F.col("key")) != (F.expr("abs(hash(key)) % 7 = 0"))).count()
     assert wrong == 0
+
+
+def test_long_lists_are_split_and_answer_alike(spark):
+    rng = random.Random(8)
+    rows = [(i, f"http://h{rng.randrange(3000)}.net/a/b") for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.range(2000).select(F.concat(F.lit("h"), F.col("id"), F.lit(".net")).alias("host"), F.lit("/a/").alias("path"),
+                                     F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("action"))
+    whole = sorted(tuple(r) for r in judge_urls(df, rules).collect())
+    assert sorted(tuple(r) for r in judge_urls(df, rules, max_bits=4096).collect()) == whole
+    for _, host, _, rule, verdict in whole:
+        n = int(host[1:].split(".")[0])
+        assert (rule, verdict) == ((host + "/a/", "allow" if n % 3 == 0 else "block") if n < 2000 else (None, "allow"))
+
+
+def test_a_large_level_is_handed_over_whole(spark):
+    universe = spark.range(300_000).select(F.col("id").cast("string").alias("key"))
+    c = Cascade(universe.where("key % 2 = 0"), universe, "large")
+    assert c.levels[0][0] > 200_000
+    assert universe.where(c.has(F.col("key")) != (F.expr("key % 2 = 0"))).count() == 0
