@@ -73,8 +73,7 @@ def group_arrays(df: DataFrame, chunk: int = 500) -> DataFrame:
 
     One array per group would put a whole group (possibly a third of all
     rows) into one task; chunks keep every array and task bounded.  Positions
-    come from the distributed global rank, shifted by each group's first rank
-    (one row per group, broadcast).
+    come from the distributed global rank, shifted by each group's first rank.
     """
     from lodgeflow.operators.rank import SORT_KEYS, global_rank, with_sort_keys
     keyed = with_sort_keys(df if "priority_group" in df.columns else df.withColumn("priority_group",

@@ -78,8 +78,8 @@ def top_n(df: DataFrame, group: str = "priority_group", n: int = 30) -> DataFram
     top = keyed.withColumn("group_pos", F.row_number().over(w)).where(F.col("group_pos") <= n) \
         .withColumn("group_pos", F.col("group_pos").cast("bigint"))
     sizes = keyed.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
-    # one row per group value: the group dimension is fixed (four groups)
-    return (top.join(F.broadcast(sizes), group)
+    # a row per group value on one side, n at most on the other
+    return (top.join(sizes, group)
             .withColumn("left_out", F.greatest(F.col("group_size") - n, F.lit(0))))
 
 

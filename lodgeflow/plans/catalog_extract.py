@@ -361,6 +361,14 @@ def q_page_limit(spark, sf):
     return PG.page_limit(rt_pages(spark, sf), 4).select(*PK)
 
 
+@query("paging_stops", _w(OX.ctes_cards(), f"""SELECT DISTINCT {PKS} FROM rc WHERE CASE source
+  WHEN 'apartments.com' THEN page_no <= CASE WHEN city_ord % 4 = 3 THEN 1 ELSE 4 - city_ord % 4 END
+  WHEN 'craigslist' THEN page_no <= CASE WHEN city_ord % 2 = 0 THEN 1 + city_ord % 5 ELSE 2 END ELSE TRUE END"""))
+def q_paging_stops(spark, sf):
+    """Pages up to the one that says there are no more, by its links or its stated total of listings."""
+    return PG.paging_stops(RT.with_paging(rt_pages(spark, sf))).select(*PK)
+
+
 @query("source_error_policy", _w(OX.ctes_cards() + [_TROUBLE], f"""SELECT {PKS} FROM tp WHERE NOT failed AND source <> 'rent.com'
   AND (kind <> 'search' OR source NOT IN ('hud.gov', 'affordablehousing.com', 'gosection8.com') OR city_ord % 3 <> 1 OR page_no < 2)"""))
 def q_source_error_policy(spark, sf):

@@ -250,3 +250,13 @@ def troubled(pages: DataFrame) -> DataFrame:
     empty = ~F.col("source").isin("rent.com") & (F.col("city_ord") % 4 == 2) & (F.col("page_no") == 3)
     return pages.withColumns({"error": F.when(failed, F.lit("timeout")),
                               "html": F.when(empty, F.lit("<html><body><p>Nothing found.</p></body></html>")).otherwise(F.col("html"))})
+
+
+def with_paging(pages: DataFrame) -> DataFrame:
+    """The crawl with the marks that two sources give of more pages: a link to the next, or a stated total."""
+    nxt = F.lit('<a class="next" href="?more">next</a>')
+    total = F.concat(F.lit('<span class="totalcount">1 - 120 of '), F.format_number(113 + 120 * (F.col("city_ord") % 5), 0), F.lit("</span>"))
+    mark = (F.when((F.col("source") == "apartments.com") & ((F.col("city_ord") + F.col("page_no")) % 4 != 0), nxt)
+            .when((F.col("source") == "craigslist") & (F.col("city_ord") % 2 == 0), total)
+            .when((F.col("source") == "craigslist") & (F.col("page_no") != 2), nxt).otherwise(F.lit("")))
+    return pages.withColumn("html", F.concat("html", mark))

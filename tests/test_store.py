@@ -109,3 +109,17 @@ def test_union_numbers_uneven_inputs_in_crawl_order(spark, listings):
     assert [(r.seq, r.title) for r in rows] == [(1, "h9"), (2, "z1"), (3, "z1b"), (4, "z5"), (5, "?2")]
     assert [r.extra for r in rows] == ["x", None, None, None, None] and rows[1].phone == "" and rows[1].price is None
     assert JN.union_sources([a.limit(0), b.limit(0)], JN.sources_dim(spark)).count() == 0
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from lodgeflow import session
+    old, session._SCRATCH = session._SCRATCH, []
+    try:
+        path = session.scratch_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.exists(path.removeprefix("file:")) and session.clear_scratch(spark) == 1
+        assert not os.path.exists(path.removeprefix("file:")) and session.clear_scratch(spark) == 0
+    finally:
+        session._SCRATCH = old
