@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -169,13 +170,17 @@ class Elements:
         self.pieces: list[str] = []
         self.scripts: list[tuple[dict[str, str], str]] = []
         stack: list[int] = []
+        is_open: Counter = Counter()
         pos, end = 0, len(html)
 
         def close(upto: int) -> None:
             while len(stack) > upto:
+                is_open[self.tag[stack[-1]]] -= 1
                 self.last[stack.pop()] = len(self.pieces)
 
         def opened(names, scope=()) -> int | None:
+            if not any(is_open[name] for name in names):
+                return None
             for at in range(len(stack) - 1, -1, -1):
                 name = self.tag[stack[at]]
                 if name in names:
@@ -219,6 +224,7 @@ class Elements:
                 pos = done.end()
             elif tag not in VOID:
                 stack.append(len(self.tag) - 1)
+                is_open[tag] += 1
         close(0)
 
     def text(self, i: int) -> str:

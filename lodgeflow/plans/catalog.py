@@ -429,8 +429,13 @@ def q_new_listings(spark, sf):
 
 @query("new_minus_seen", NEW_SQL)
 def q_new_minus_seen(spark, sf):
-    """Set difference new - seen by id (anti join, not EXCEPT of whole rows)."""
-    return _new(spark, sf).select(*SEARCH_COLS, "listing_id")
+    """Set difference new - seen by id, against a seen store of one run a crawl year, its runs merged in pairs."""
+    store = SeenStore(spark, scratch_path(spark, "store"), digits=1, fanout=2)
+    seen = seen_fixture(spark, sf)
+    for n, year in enumerate(("batch_id <= 1995", "batch_id = 1996", "batch_id >= 1997")):
+        store.append(seen.where(year), n)
+    result = searched(spark, sf).withColumn("listing_id", listing_id())
+    return result.join(store.rows(near=result).select("listing_id"), "listing_id", "left_anti").select(*SEARCH_COLS, "listing_id")
 
 
 @query("tier_join", O.with_(K, "SELECT seq, location_tier FROM k"))
@@ -476,6 +481,7 @@ def q_py_strip(spark, sf):
 
 from lodgeflow.plans import publish as PB  # noqa: E402
 from lodgeflow.session import scratch_path  # noqa: E402
+from lodgeflow.sources.seen_store import SeenStore  # noqa: E402
 from lodgeflow.sources.tables import read_seen  # noqa: E402
 from lodgeflow.streaming import monitor as MN  # noqa: E402
 
