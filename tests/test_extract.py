@@ -343,3 +343,13 @@ def test_pages_of_any_shape_do_not_crash(spark):
     from lodgeflow.plans.extract_plan import extract_listings
     assert {r.title for r in extract_listings(pages).collect()} == {"A"}
     assert extract_listings(pages.limit(0)).count() == 0
+
+
+def test_sparse_objects_beside_each_listing_are_admitted_by_the_sources_rule(listings):
+    """Of three listings (all named and placed) the sparse object of one is named and placed, of one neither, of one named only."""
+    from lodgeflow.sources import roundtrip as RT
+    keys = ["source", "city_ord", "page_no"]
+    for source, expected in (("zillow", {(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (3, 0)}), ("craigslist", {(i, 0) for i in range(6)})):
+        pages = RT.render_pages(listings(*(dict(seq=s, title="T", city="C", source=source) for s in (1, 5, 8))), sparse=True)
+        got = JX.jsonld_admit(JX.expand_graph(JX.jsonld_blocks(pages, keys), keys)).collect()
+        assert {(r.block_no, r.node_no) for r in got} == expected and len(got) == len(expected)
