@@ -353,3 +353,24 @@ def test_sparse_objects_beside_each_listing_are_admitted_by_the_sources_rule(lis
         pages = RT.render_pages(listings(*(dict(seq=s, title="T", city="C", source=source) for s in (1, 5, 8))), sparse=True)
         got = JX.jsonld_admit(JX.expand_graph(JX.jsonld_blocks(pages, keys), keys)).collect()
         assert {(r.block_no, r.node_no) for r in got} == expected and len(got) == len(expected)
+
+
+def test_scripts_alone_are_those_that_the_elements_hold():
+    rng = random.Random(5)
+    bits = ['<script type="application/ld+json">', "</script>", "</SCRIPT >", "<!--", "-->", "<!x>", "<", "</", "< ", '"', "=", "<p>", '<a title="<script>">',
+            "<textarea>", "</textarea>", "<scriptx>", "<script/", "<style", "</3", "{}", "\n"]
+    for _ in range(3000):
+        html = "".join(rng.choices(bits, k=rng.randint(1, 15)))
+        assert MU.scripts_of(html) == MU.Elements(html).scripts, html
+
+
+def test_long_scripts_are_handed_on_in_parts(spark, monkeypatch):
+    """Rows leave Python a few at a time, in order, however many a batch of pages gives."""
+    body = json.dumps([{"rent": i} for i in range(50)])
+    pages = spark.createDataFrame([("rent.com", i, f"<script type='application/json'>{body}</script>") for i in range(4)],
+                                  "source string, page int, html string").coalesce(1)
+    monkeypatch.setattr(MU, "_FLUSH", 700)
+    got = JX.json_walk(JX.script_blocks(pages, ["source", "page"]), ["source", "page"]).collect()
+    assert [(r.page, r.pos) for r in got] == [(p, i) for p in range(4) for i in range(50)]
+    found = MU.fragments(pages, ["source", "page"], ("script",)).collect()
+    assert [(r.page, r.pos, json.loads(r.item)["rent"]) for r in found] == [(p, i, i) for p in range(4) for i in range(50)]
