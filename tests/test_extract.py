@@ -374,3 +374,16 @@ def test_long_scripts_are_handed_on_in_parts(spark, monkeypatch):
     assert [(r.page, r.pos) for r in got] == [(p, i) for p in range(4) for i in range(50)]
     found = MU.fragments(pages, ["source", "page"], ("script",)).collect()
     assert [(r.page, r.pos, json.loads(r.item)["rent"]) for r in found] == [(p, i, i) for p in range(4) for i in range(50)]
+
+
+def test_candidates_hold_the_fields_asked_for_and_all_rows(listings):
+    from lodgeflow.plans import extract_plan as XP
+    from lodgeflow.sources import roundtrip as RT
+    pages = RT.render_pages(listings(*(dict(seq=s, title=f"T{s}", price=100 * s, bedrooms="2", city="C", state="NC", source=source)
+                                       for s, source in enumerate(("zillow", "rent.com", "hud.gov", "craigslist", "apartments.com", "zillow"), 1))))
+    few, full = XP.candidates(pages, fields=PG.QUALITY_FIELDS), XP.candidates(pages)
+    assert few.columns == [*XP.PAGE_KIND, "strategy", "item_pos", "price", "bedrooms"]
+    rows = lambda df: sorted(map(repr, df.select(few.columns).collect()))
+    assert rows(few) == rows(full) and {r.strategy for r in few.collect()} == {"html", "jsonld", "script"}
+    nothing = XP.candidates(pages.where("source = 'none'"), fields=())
+    assert nothing.count() == 0
