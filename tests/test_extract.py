@@ -387,3 +387,21 @@ def test_candidates_hold_the_fields_asked_for_and_all_rows(listings):
     assert rows(few) == rows(full) and {r.strategy for r in few.collect()} == {"html", "jsonld", "script"}
     nothing = XP.candidates(pages.where("source = 'none'"), fields=())
     assert nothing.count() == 0
+
+
+def test_fallback_choice_never_broadcasts_a_pages_listings(spark, tmp_path):
+    page = F.col("id") % 40
+    source = F.when(page % 2 == 0, F.lit("hud.gov")).otherwise(F.lit("gosection8.com"))
+    strategy = F.when((F.col("id") % 3 == 0) & (page % 4 != 1), F.lit("jsonld")).otherwise(F.lit("html"))
+    path = str(tmp_path / "listings")
+    (spark.range(60_000, numPartitions=2).select(source.alias("source"), F.lit("Concord").alias("search_city"), F.lit(0).alias("city_ord"),
+                                                 page.cast("int").alias("page_no"), F.lit("search").alias("kind"), strategy.alias("strategy"))
+     .sortWithinPartitions("page_no", "strategy").write.parquet(path))
+    out = PG.fallback_strategy(spark.read.parquet(path), ["source", "search_city", "city_ord", "page_no"])
+    got = {(r.source, r.page_no % 4, r.strategy): r["count"] for r in out.groupBy("source", "page_no", "strategy").count().collect()}
+    assert got == {("hud.gov", 0, "jsonld"): 500, ("hud.gov", 0, "html"): 1000, ("hud.gov", 2, "jsonld"): 500, ("hud.gov", 2, "html"): 1000,
+                   ("gosection8.com", 1, "html"): 1500, ("gosection8.com", 3, "jsonld"): 500}
+    counted = out.groupBy().count()
+    assert counted.collect()[0][0] == 10 * (1500 + 1500 + 1500 + 500)
+    plan = counted._jdf.queryExecution().executedPlan().toString()              # as it ran
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
